@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paginarium.llm import shuffle
+from paginarium.llm import automaton, shuffle
 
 QUERIES = {
+    "op6_bpe_automaton": automaton.op6,
     "op8_two_pass_shuffle": shuffle.op8,
 }
 ORACLES: dict[str, str] = {}
