@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paginarium.llm import automaton, shuffle
+from paginarium.llm import automaton, rans, shuffle
 
 QUERIES = {
+    "op1_rans_tokens": rans.op1,
     "op6_bpe_automaton": automaton.op6,
     "op8_two_pass_shuffle": shuffle.op8,
 }
