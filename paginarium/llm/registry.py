@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paginarium.llm import automaton, packing, rans, shuffle
+from paginarium.llm import automaton, packing, qda, rans, shuffle
 
 QUERIES = {
     "op1_rans_tokens": rans.op1,
+    "op3_qda_quality": qda.op3,
     "op6_bpe_automaton": automaton.op6,
     "op7_cutting_stock": packing.op7,
     "op8_two_pass_shuffle": shuffle.op8,
