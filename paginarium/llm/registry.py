@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from paginarium.llm import automaton, packing, qda, rans, shuffle
+from paginarium.llm import automaton, counterfactual, packing, qda, rans, shuffle
 
 QUERIES = {
     "op1_rans_tokens": rans.op1,
     "op3_qda_quality": qda.op3,
+    "op5_counterfactual_toxicity": counterfactual.op5,
     "op6_bpe_automaton": automaton.op6,
     "op7_cutting_stock": packing.op7,
     "op8_two_pass_shuffle": shuffle.op8,
