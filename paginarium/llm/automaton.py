@@ -52,13 +52,24 @@ class TokenAutomaton:
             self.label[k] = bytes(symbol[c] for c in text)
         for text, k in self.specials.items():
             self.label[k] = text.encode()
-        self.arc_of = {self.label[k]: k for k in vocab.values()}
-        self.longest = max(map(len, self.arc_of), default=1)
         self.never = len(model["model"]["merges"])
         self.gadget: dict[int, int] = {}
         self.left, self.right, self.made = [-1] * size, [-1] * size, [-1] * size
         for k, (u, v) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]):
             self._merge(k, vocab[u], vocab[v], vocab[u + v])
+        # labels by their bytes; one that no gadget makes, unless it is a byte, is on no path
+        self.arc_of = {self.label[k]: k for k in vocab.values() if self.made[k] >= 0 or len(self.label[k]) == 1}
+        self.longest = max(map(len, self.arc_of), default=1)
+        self.step, self.token = {}, [-1]
+        for label, k in self.arc_of.items():
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                if key not in self.step:
+                    self.step[key] = len(self.token)
+                    self.token.append(-1)
+                node = self.step[key]
+            self.token[node] = k
         self.cells: dict[int, bool] = {}
         self.presplit = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
@@ -93,28 +104,30 @@ class TokenAutomaton:
 
     def word(self, w: bytes) -> list[int]:
         """The path that spells the bytes of a pre-split word."""
-        whole = self.arc_of.get(w)
-        n, longest, arc_of, path, at, last = len(w), self.longest, self.arc_of, [], 0, -1
-        if whole is not None and self._spells(w, whole):
-            return [whole]
+        n, step, token, cells, path, at, last = len(w), self.step, self.token, self.cells, [], 0, -1
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
-                t = arc_of.get(w[at:end])
-                if t is not None and (last < 0 or self.has_arc(last, t)) and self._reached(t):
-                    path.append(t)
-                    at, last = end, t
+            found, node, k = [], 0, at
+            while k < n:
+                node = step.get(node << 8 | w[k])
+                if node is None:
+                    break
+                k += 1
+                if token[node] >= 0:
+                    found.append(token[node])
+            while found:
+                t = found.pop()
+                if last < 0:
+                    break
+                arc = cells.get(last << 20 | t)
+                if arc or (arc is None and self.has_arc(last, t)):
                     break
             else:
                 return self._all_positions(w)
+            path.append(t)
+            last = t
+            at += len(self.label[t])
         return path
 
-    def _reached(self, t: int) -> bool:
-        """A label no gadget makes (unless it is a byte) is on no path."""
-        return self.made[t] >= 0 or len(self.label[t]) == 1
-
-    def _spells(self, w: bytes, t: int) -> bool:
-        return self._reached(t)
-
     def _all_positions(self, w: bytes) -> list[int]:
         n, last = len(w), {0: -1}
         for at in range(n):
@@ -123,7 +136,7 @@ class TokenAutomaton:
                 continue
             for end in range(at + 1, min(n, at + self.longest) + 1):
                 t = self.arc_of.get(w[at:end])
-                if t is not None and end not in last and (a < 0 or self.has_arc(a, t)) and self._reached(t):
+                if t is not None and end not in last and (a < 0 or self.has_arc(a, t)):
                     last[end] = t
         path, at = [], n
         while at:
@@ -134,7 +147,7 @@ class TokenAutomaton:
     def text(self, text: str) -> list[int]:
         """Special strings stand for themselves; the rest is pre-split into words."""
         ids: list[int] = []
-        for part in self.cut.split(text) if self.cut else (text,):
+        for part in self.cut.split(text) if self.cut and self.cut.search(text) else (text,):
             if part in self.specials:
                 ids.append(self.specials[part])
             else:
