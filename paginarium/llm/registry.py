@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paginarium.llm import automaton, counterfactual, packing, qda, rans, shuffle
+from paginarium.llm import automaton, counterfactual, packing, qda, rans, shuffle, topk
 
 QUERIES = {
     "op1_rans_tokens": rans.op1,
@@ -11,5 +11,8 @@ QUERIES = {
     "op6_bpe_automaton": automaton.op6,
     "op7_cutting_stock": packing.op7,
     "op8_two_pass_shuffle": shuffle.op8,
+    "op9_threshold_topk": topk.op9,
+}
+ORACLES = {
+    "op9_threshold_topk": topk.ORACLE,
 }
-ORACLES: dict[str, str] = {}
