@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from paginarium.llm import automaton, counterfactual, packing, qda, rans, shuffle, topk
+from paginarium.llm import automaton, counterfactual, packing, qda, rans, shuffle, topk, tsearch
 
 QUERIES = {
     "op1_rans_tokens": rans.op1,
     "op3_qda_quality": qda.op3,
+    "op4_divideskip_join": tsearch.op4,
     "op5_counterfactual_toxicity": counterfactual.op5,
     "op6_bpe_automaton": automaton.op6,
     "op7_cutting_stock": packing.op7,
