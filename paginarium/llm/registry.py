@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paginarium.llm import automaton, counterfactual, packing, qda, rans, shuffle, topk, tsearch
+from paginarium.llm import automaton, brown, counterfactual, packing, qda, rans, shuffle, topk, tsearch
 
 QUERIES = {
     "op1_rans_tokens": rans.op1,
+    "op2_brown_lm": brown.op2,
     "op3_qda_quality": qda.op3,
     "op4_divideskip_join": tsearch.op4,
     "op5_counterfactual_toxicity": counterfactual.op5,
