@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paginarium.llm import automaton, brown, counterfactual, packing, qda, rans, shuffle, topk, tsearch
+from paginarium.llm import automaton, brown, counterfactual, packing, qda, rans, shuffle, topk, tsearch, webp
 
 QUERIES = {
     "op1_rans_tokens": rans.op1,
@@ -14,6 +14,8 @@ QUERIES = {
     "op7_cutting_stock": packing.op7,
     "op8_two_pass_shuffle": shuffle.op8,
     "op9_threshold_topk": topk.op9,
+    "op10_webp_lossless": webp.op10,
+    "op10_webp_lossless": webp.op10,
 }
 ORACLES = {
     "op9_threshold_topk": topk.ORACLE,
