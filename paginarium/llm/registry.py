@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from paginarium.llm import automaton, brown, counterfactual, packing, qda, rans, shuffle, topk, tsearch, webp
 
 QUERIES = {
@@ -15,7 +16,9 @@ QUERIES = {
     "op8_two_pass_shuffle": shuffle.op8,
     "op9_threshold_topk": topk.op9,
     "op10_webp_lossless": webp.op10,
+    "pipeline": corpus_pipeline.run,
     "op10_webp_lossless": webp.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op9_threshold_topk": topk.ORACLE,

@@ -21,7 +21,7 @@ joined by those links need no comparison, the others are all enumerated.
 
 Defined cases: a null text is empty; a text with one to four words has one shingle;
 texts without words link with nothing, not even each other; a null doc_id takes part
-and counts in a component only if no member has an id; repeated rows are documents.
+and names a component only if no member has an id; repeated rows are documents.
 """
 
 from __future__ import annotations
@@ -121,13 +121,13 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, short): set size, digest of the set, and the shingles whose lists are merged."""
+    """(doc_id, text_hash, n, key, short): set size, digest of the set, the shingles whose lists are merged."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, hashes = batch.column(0), batch.column(1), batch.column(2)
             for at in range(0, len(ids), 500):
                 rows = []
                 for text in texts.slice(at, 500).to_pylist():
@@ -144,13 +144,13 @@ def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 lengths = np.fromiter(map(len, short), np.int64, len(short))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, 500).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
+                        ids.slice(at, 500).cast(pa.int64()), hashes.slice(at, 500), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate(short))),
                     ],
-                    names=["doc_id", "n", "key", "short"],
+                    names=["doc_id", "text_hash", "n", "key", "short"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, short array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, key binary, short array<long>")
 
 
 def key_bit(key) -> F.Column:
@@ -234,7 +234,11 @@ def similar_sizes(a: str, b: str) -> F.Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, row) for every document; rows keep their multiplicity."""
+    """(doc_id, n_shingles, component_id, text_hash, component) for every document, repeated rows included.
+
+    ``component`` numbers the components of documents with words (null without words),
+    also where no member has an id.
+    """
     hot = hot_shingles(docs)
     facts = settle(spark, described(docs, hot).withColumn("row", F.monotonically_increasing_id()), "facts")
     classes = settle(
@@ -275,21 +279,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     named = classes.select("key", "rid", "first_doc").join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
     smallest = named.groupBy("c").agg(F.min("first_doc").alias("component_id"))
-    by_key = named.join(smallest, "c").select("key", "component_id")
+    by_key = named.join(smallest, "c").select("key", "component_id", F.col("c").alias("component"))
     return (
-        facts.select("doc_id", "n", "key", "row").join(by_key, "key", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row")
+        facts.select("doc_id", "n", "key", "text_hash").join(by_key, "key", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
     )
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each component (the smallest id, one row of it), with its own columns."""
-    keep = near_duplicates(spark, docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "row")
-    # the first row of the kept id; documents without an id have no smaller companion
-    chosen = keep.groupBy("doc_id").agg(F.min("row").alias("row"))
-    numbered = docs.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return numbered.where("row = 1").join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component (its smallest id), and every document without words; own columns.
+
+    Of rows that agree in id and text one stays. The texts are shuffled once, by id and
+    text hash, for both the choice among such rows and the join with what is kept.
+    """
+    found = near_duplicates(spark, docs).where(F.col("component").isNotNull())
+    no_id = F.col("doc_id").isNull()
+    kept = found.groupBy("component").agg(F.min(F.struct(no_id.alias("k1"), F.coalesce("doc_id", F.lit(0)).alias("k2"), F.col("text_hash").alias("k3"))).alias("k"))
+    keys = ["k1", "k2", "k3"]
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = docs.select(
+        own, no_id.alias("k1"), F.coalesce("doc_id", F.lit(0)).alias("k2"), F.xxhash64("text").alias("k3"),
+        F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("has_words"),
+    )
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("own"))
+    first = rows.where("has_words").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    chosen = first.join(kept.select("k.*").distinct(), keys, "left_semi")
+    return chosen.select("own.*").union(rows.where(~F.col("has_words")).select("own.*"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "component")
