@@ -15,8 +15,7 @@ without labels); repeated rows are scored each; extra columns are kept by
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,34 +29,59 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 TO_POOLED, TO_DIAGONAL = 0.1, 0.05
 
-LETTER = re.compile(r"[^\W\d_]+")
-DIGITS = re.compile(r"\d+")
-UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}")
-TAIL = re.compile(r"[^\w\s.,;:?'\"()­-]+(?=\s|$)")
-STOP = re.compile(r"[.?!](?=\s|$)")
-MARK = re.compile(r"[^\w\s]")
+SPACE, LETTER, UPPER, DIGIT, STOP, MARK, SYMBOL = range(7)
+#: Marks of ordinary prose; other signs are symbols.
+PROSE = ",;:'\"()-\u00ad\u2019\u201c\u201d"
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of each code point of the first plane; what lies beyond is a symbol."""
+    out = np.full(1 << 16, SYMBOL, np.int8)
+    for k in range(len(out) - 1):
+        c = chr(k)
+        if c.isspace():
+            out[k] = SPACE
+        elif c.isalpha():
+            out[k] = UPPER if c.isupper() else LETTER
+        elif c.isdigit():
+            out[k] = DIGIT
+        elif c in ".?!":
+            out[k] = STOP
+        elif c in PROSE:
+            out[k] = MARK
+    return out
 
 
 def statistics(text: str) -> tuple[float, ...]:
     """The transformed statistics of one text."""
+    kind = classes()[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+    kind = np.append(np.append(np.int8(SPACE), kind), np.int8(SPACE))
+    chars = len(text)
+    of_kind = np.bincount(kind, minlength=7)
+    space = kind == SPACE
+    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1  # of every word
+    last = np.flatnonzero(~space[:-1] & space[1:])
+    lengths = last - first + 1
+    upper = kind == UPPER
     words = text.split()
-    n, chars = len(words), len(text)
+    n, some = len(words), max(len(words), 1)
+    index: dict[str, int] = {}
+    at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, n)
+    most = int(np.bincount(at).max()) if n else 0
+    threes = len(np.unique((at[:-2] * n + at[1:-1]) * n + at[2:])) if n > 2 else 0
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(map(len, LETTER.findall(text)))
-    counts = Counter(words)
-    lengths = np.fromiter(map(len, words), float, n) if n else np.zeros(1)
-    repeats = sum(a == b for a, b in zip(words, words[1:]))
-    threes = len(set(zip(words, words[1:], words[2:])))
-    some, per = max(n, 1), lambda k, m: np.log((k + 0.5) / (m + 1.0))
+    per = lambda k, m: float(np.log((k + 0.5) / (m + 1.0)))
+    signs = int(of_kind[STOP] + of_kind[MARK] + of_kind[SYMBOL])
     return (
-        np.log1p(n), np.log1p(chars), np.log1p(len(lines)),
-        per(chars - letters, chars), per(sum(map(len, DIGITS.findall(text))), chars),
-        per(sum(map(len, UPPER.findall(text))), chars), per(len(MARK.findall(text)), some),
-        per(len(TAIL.findall(text)), some), per(len(STOP.findall(text)), some),
-        float(np.log1p(lengths.mean())), float(np.log1p(lengths.std())),
-        per(n - len(counts), some), per(max(counts.values(), default=0), some), per(repeats, some),
+        float(np.log1p(n)), float(np.log1p(chars)), float(np.log1p(len(lines))),
+        per(chars - int(of_kind[LETTER] + of_kind[UPPER]), chars), per(int(of_kind[DIGIT]), chars),
+        per(int((upper[1:] & upper[:-1]).sum()), chars), per(signs, some),
+        per(int((kind[last] == SYMBOL).sum()), some), per(int((kind[last] == STOP).sum()), some),
+        float(np.log1p(lengths.mean() if n else 0.0)), float(np.log1p(lengths.std() if n else 0.0)),
+        per(n - len(index), some), per(most, some), per(int((at[1:] == at[:-1]).sum()), some),
         per(max(n - 2, 0) - threes, some), per(len(lines) - len(set(lines)), max(len(lines), 1)),
-        per(sum(w[:1].isupper() for w in words), some), per(sum(len(w) <= 3 for w in words), some),
+        per(int(upper[first].sum()), some), per(int((lengths <= 3).sum()), some),
     )
 
 
