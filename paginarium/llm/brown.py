@@ -47,6 +47,8 @@ SHARE = 1 / 20_000
 #: A slice is what one task reads; beyond four times this much text it reports its words in parts.
 SLICE_BYTES = 24_000_000
 ROUNDS = 12
+#: Words whose votes are worked out together in a task.
+WORDS_AT_ONCE = 50_000
 END = b"\n"  # no word contains white space
 
 
@@ -179,13 +181,18 @@ def word_votes(texts: DataFrame, core: list[bytes], label: np.ndarray, pair: np.
             words, at, counts = list(index), np.concatenate(flat), np.concatenate(counted)
             known = np.array([number.get(w, classes) for w in words], np.int64)  # ``classes``: not in the core
             cls = known[at]
-            sums = np.zeros((len(words), classes))
-            for near, table in ((np.append(0, cls[:-1]), follows), (np.append(cls[1:], 0), precedes)):
-                use = counts & (cls == classes) & (near < classes)
-                seen = np.bincount(at[use] * classes + near[use], minlength=len(words) * classes).reshape(len(words), classes)
-                sums += seen @ table
-                sums -= seen.sum(axis=1, keepdims=True) * (prior / 2)
-            vote = np.where(known < classes, known, (sums + prior).argmax(axis=1))
+            vote = np.empty(len(words), np.int64)
+            use = counts & (cls == classes)
+            sides = [(at[u], near[u], table) for near, table in ((np.append(0, cls[:-1]), follows), (np.append(cls[1:], 0), precedes)) for u in [use & (near < classes)]]
+            for low in range(0, len(words), WORDS_AT_ONCE):
+                high = min(low + WORDS_AT_ONCE, len(words))
+                sums = np.tile(prior, (high - low, 1))
+                for word, near, table in sides:
+                    own = (word >= low) & (word < high)
+                    seen = np.bincount((word[own] - low) * classes + near[own], minlength=(high - low) * classes).reshape(-1, classes)
+                    sums += seen @ table
+                    sums -= seen.sum(axis=1, keepdims=True) * (prior / 2)
+                vote[low:high] = np.where(known[low:high] < classes, known[low:high], sums.argmax(axis=1))
             n = np.bincount(at[counts], minlength=len(words))
             out = pa.table(
                 [pa.array(np.full(len(words), state["slice"], np.int32)), pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(vote.astype(np.int32))],
