@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where that setting is absent (a local session, as in tests) a temporary
-    folder takes its place.
+    folder takes its place, one for the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="paginarium-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="paginarium-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/paginarium-{uuid.uuid4().hex}"
 
 
