@@ -26,7 +26,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from paginarium.llm.tokens import WordEncoder
+from paginarium.llm.tokens import WordEncoder, one_by_one
 
 #: Transition cells kept per process.
 CELLS = 2_000_000
@@ -165,7 +165,7 @@ _AUTOMATA: dict[str, tuple[TokenAutomaton, WordEncoder]] = {}
 def automaton(path: str) -> tuple[TokenAutomaton, WordEncoder]:
     if path not in _AUTOMATA:
         a = TokenAutomaton(path)
-        _AUTOMATA[path] = a, WordEncoder(lambda words: map(a.text, words), spaced=True)
+        _AUTOMATA[path] = a, WordEncoder(one_by_one(a.text), spaced=True)
     return _AUTOMATA[path]
 
 
@@ -183,8 +183,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
         a, encoder = automaton(path)
         decimal = [str(k) for k in range(len(a.label))]
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).to_pylist()
-            for k, flat, counts in encoder.batches(texts):
+            ids_of = batch.column(0)
+            for k, flat, counts in encoder.batches(batch.column(1)):
                 rows, at = [], 0
                 for n in counts:
                     ids = flat[at : at + n].tolist()

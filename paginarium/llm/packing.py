@@ -45,7 +45,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY)
         encoder = library_encoder(path, False)
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for k, flat, counts in encoder.batches(batch.column("text").to_pylist()):
+            for k, flat, counts in encoder.batches(batch.column("text")):
                 rows, at = [], 0
                 for j, n in enumerate(counts.tolist()):
                     ids = np.append(flat[at : at + n], end_id).astype("<u4")

@@ -164,7 +164,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, partitions: int) -> DataF
 
         encoder, seq, before = library_encoder(path, True), 0, 0
         for batch in batches:
-            for k, flat, counts in encoder.batches(batch.column("text").to_pylist()):
+            for k, flat, counts in encoder.batches(batch.column("text")):
                 n = len(counts)
                 packed, at = [], 0
                 for c in counts.tolist():

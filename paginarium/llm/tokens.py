@@ -1,27 +1,39 @@
 """Encoding of many texts by way of their distinct words.
 
-Text is cut at spaces into words; each distinct word is encoded once per worker
-process by a backend and its ids are then gathered by index. Cutting at a space is
-exact for both vocabularies: no pre-token of either crosses from a non-space
-character into a space. Only a space that stands between white space on its left
-and white space (or the end) on its right belongs to a longer run; texts with one
-are encoded whole.
+Arrow cuts the texts of a slice at spaces and numbers the distinct words; each of
+those is looked up in a table of the worker process, and encoded by a backend when
+it is new. Cutting at a space is exact for both vocabularies: no pre-token of either
+crosses from a non-space character into a space. A word that is empty or starts with
+white space shows that a space belongs to a longer run; texts with one are encoded
+whole where spaces matter. A comma or full stop after a letter (one whose lower case is a letter) is a pre-token of its
+own, so such a word's ids are those of its stem and of the mark.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of distinct words kept per worker process before the table starts anew.
 TABLE_CHARS = 12_000_000
-TEXTS_AT_ONCE = 400
-RUN = re.compile(r"(?<=\s) (?!\S)")
+#: Text encoded at a time, in bytes (a longer text is a slice by itself).
+SLICE_BYTES = 6_000_000
 
-Backend = Callable[[Sequence[str]], Iterable[Sequence[int]]]
+#: Words to all their ids one after another, and how many each word has.
+Backend = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def one_by_one(encode: Callable[[str], list[int]]) -> Backend:
+    def run(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [encode(w) for w in words]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int32, len(found))
+
+    return run
 
 
 class _Index(dict):
@@ -37,6 +49,25 @@ class _Index(dict):
         return at
 
 
+class _Pool:
+    """A growing array."""
+
+    def __init__(self):
+        self.data, self.n = np.zeros(1 << 16, np.int32), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.append(self.data[: self.n], np.zeros(max(self.n, len(more)), np.int32))
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+def pieces(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every piece, one piece after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class WordEncoder:
     """``spaced``: a word's ids include the space before it (byte-level vocabularies)."""
 
@@ -46,57 +77,82 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.index, self.chars = _Index(), 0
-        self.starts, self.lengths, self.pool = (np.zeros(0, np.int64) for _ in range(3))
+        self.starts, self.lengths, self.odd, self.pool = _Pool(), _Pool(), _Pool(), _Pool()
+
+    def _form(self, word: str) -> str:
+        # a word with a leading space is one that has no space before it in its text
+        return (word[1:] if word[:1] == " " else " " + word) if self.spaced else word
 
     def _learn(self) -> None:
-        words, self.index.new = self.index.new, []
-        if not words:
+        """Encode the words that wait, then what consists of a stem and a mark."""
+        known, new = self.index, self.index.new
+        if not new:
             return
-        self.chars += sum(map(len, words))
-        # a word with a leading space is one that has no space before it in its text
-        forms = [w[1:] if w[:1] == " " else " " + w for w in words] if self.spaced else words
-        found = [np.asarray(ids, np.int64) for ids in self.backend(forms)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.cumsum(lengths) - lengths + len(self.pool)
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, *found])
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has."""
+        is_marked = lambda w: w[-1:] in (",", ".") and len(w) > 2 and w[-2].isalpha() and w[-2].lower().isalpha()
+        marked = [w for w in new if is_marked(w)]
+        stems = np.fromiter((known[w[:-1]] for w in marked), np.int64, len(marked))  # new stems join the list
+        known.new, base = [], self.lengths.n
+        self.chars += sum(map(len, new))
+        at = np.fromiter(map(known.__getitem__, marked), np.int64, len(marked)) - base
+        plain = np.ones(len(new), bool)
+        plain[at] = False
+        form = self._form
+        flat, sizes = self.backend([form(w) for w, p in zip(new, plain.tolist()) if p])
+        starts, lengths = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32)
+        starts[plain], lengths[plain] = np.cumsum(sizes) - sizes + self.pool.n, sizes
+        self.pool.add(flat)
+        self.starts.add(starts), self.lengths.add(lengths)
+        if len(marked):
+            marks, size = self.backend([",", "."])
+            which = np.fromiter((w[-1] == "." for w in marked), np.int64, len(marked))
+            own, more = self.lengths.data[stems].astype(np.int64), size[which].astype(np.int64)
+            total = own + more
+            begin = np.cumsum(total) - total
+            ids = np.zeros(int(total.sum()), np.int32)
+            ids[pieces(begin, own)] = self.pool.data[pieces(self.starts.data[stems].astype(np.int64), own)]
+            ids[pieces(begin + own, more)] = marks[pieces((np.cumsum(size) - size)[which], more)]
+            self.starts.data[base + at], self.lengths.data[base + at] = begin + self.pool.n, total
+            self.pool.add(ids)
+        self.odd.add(np.fromiter((w == "" or (w[0] != " " and w[0].isspace()) for w in new), np.int32, len(new)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has. No text is null."""
         if self.chars > TABLE_CHARS:
             self._reset()
-        index, rows, counts, whole = self.index, [], np.zeros(len(texts), np.int64), {}
-        for k, text in enumerate(texts):
-            if self.spaced and RUN.search(text):
-                whole[k] = None
-                rows.append(np.zeros(0, np.int64))
-                continue
-            words = text.split(" ")
-            if self.spaced:
-                words[0] = " " + words[0]
-                if words[0] == " ":
-                    del words[0]
-            rows.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        row_of = np.fromiter(map(self.index.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(words.dictionary))
+        rows = row_of[words.indices.to_numpy(zero_copy_only=False)]
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(counts) - counts
+        if self.spaced:
+            heads = pc.list_element(split, 0).to_pylist() if len(split) else []
+            rows[first] = np.fromiter((self.index[" " + w] for w in heads), np.int64, len(heads))
         self._learn()
-        ids = []
-        for k, ids_of in zip(whole, self.backend([texts[k] for k in whole]) if whole else ()):
-            whole[k] = np.asarray(ids_of, np.int64)
-        for k, at in enumerate(rows):
-            if k in whole:
-                found = whole[k]
-            else:
-                lengths = self.lengths[at]
-                ends = np.cumsum(lengths)
-                total = int(ends[-1]) if len(ends) else 0
-                found = self.pool[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)]
-            counts[k] = len(found)
-            ids.append(found)
-        return np.concatenate(ids) if ids else np.zeros(0, np.int64), counts
-
-    def batches(self, texts: Sequence[str]):
-        """(first text, flat ids, counts) of a few texts at a time."""
-        for k in range(0, len(texts), TEXTS_AT_ONCE):
-            yield (k, *self.encode(texts[k : k + TEXTS_AT_ONCE]))
+        lengths = self.lengths.data[rows].astype(np.int64)
+        flat = self.pool.data[pieces(self.starts.data[rows].astype(np.int64), lengths)]
+        ends = np.cumsum(lengths)
+        sizes = ends[first + counts - 1] - ends[first] + lengths[first]
+        if not self.spaced:
+            return flat, sizes
+        odd = np.flatnonzero(np.add.reduceat(self.odd.data[rows], first)) if len(first) else first
+        if not len(odd):
+            return flat, sizes
+        cuts = np.cumsum(sizes)
+        parts = np.split(flat, cuts[:-1])
+        ids, many = self.backend([texts[int(k)].as_py() for k in odd])
+        for k, own in zip(odd, np.split(ids, np.cumsum(many)[:-1])):
+            parts[k], sizes[k] = own, len(own)
+        return np.concatenate(parts), sizes
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, flat ids, counts), a slice of the texts at a time."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield (at, *self.encode(texts.slice(at, end - at)))
+            at = end
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -111,7 +167,15 @@ def library_encoder(path: str, spaced: bool) -> WordEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _ENCODERS[path, spaced] = WordEncoder(
-            lambda words: (e.ids for e in tokenizer.encode_batch_fast(list(words), add_special_tokens=False)), spaced
-        )
+
+        def backend(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for at in range(0, len(words), 20_000):
+                part = list(words[at : at + 20_000])
+                found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(found.ids, np.int32))
+                sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)).astype(np.int32))
+            return np.concatenate(ids), np.concatenate(sizes)
+
+        _ENCODERS[path, spaced] = WordEncoder(backend, spaced)
     return _ENCODERS[path, spaced]
