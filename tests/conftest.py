@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
 
     local = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.local.dir", str(local))
         .config("spark.checkpoint.dir", f"file://{local}/shared").config("spark.sql.adaptive.coalescePartitions.enabled", "true").getOrCreate()
     )
