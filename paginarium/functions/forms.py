@@ -23,6 +23,26 @@ def simple_calculate(op: str, value: Column) -> Column:
     return six_places(F.coalesce(kinds[op.upper()](value), F.lit(1.0 if op.upper() == "PRD" else 0.0)))
 
 
+def simple(op: str, a: Column, b: Column) -> Column:
+    """The same operations on two values."""
+    kinds = {"SUM": a + b, "AVG": (a + b) / 2, "PRD": a * b, "MIN": F.least(a, b), "MAX": F.greatest(a, b)}
+    if op.upper() not in kinds:
+        raise ValueError(f"unknown operation {op!r}")
+    return kinds[op.upper()]
+
+
+def merge_change(value: Column, change: str, start: int, end: int) -> Column:
+    """A value with the characters from ``start`` up to ``end`` (from 0) replaced; a negative start keeps all before."""
+    size = F.length(value)
+    head = F.substring(value, 1, start) if start >= 0 else value
+    return F.concat(head, F.lit(change), F.substring(value, F.lit(max(end, 0) + 1), size))
+
+
+def is_number(text: Column) -> Column:
+    """One decimal mark of either kind, a sign only first, an exponent only with its own sign."""
+    return text.rlike(r"^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-][0-9]+)?$")
+
+
 def with_marks(text: Column, style: int) -> Column:
     """``1,234.56`` in another number style."""
     group, point = STYLES[style]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paginarium.functions import forms, text
-from paginarium.operators import pages, search, structure
+from paginarium.operators import lookup, pages, search, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -552,6 +552,125 @@ def document_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
+# --- geometry on a character grid: column and line are a character's place ---------------------
+
+
+@query(
+    "text_in_rect",
+    f"""WITH l AS (SELECT doc_id, {PAGE_LINES} AS ls FROM documents)
+SELECT doc_id, array_to_string(list_transform(ls[2:5], lambda x: substr(x, 11, 30)), chr(10)) AS text FROM l WHERE len(ls) >= 2""",
+)
+def text_in_rect(spark, sf_dir):
+    """What stands in columns 10 to 39 of lines 1 to 4 of each page (both from 0)."""
+    each = table(spark, sf_dir, "documents").select("doc_id", text.lines(F.col("text")).alias("ls")).where(F.size("ls") >= 2)
+    return each.select("doc_id", F.array_join(F.transform(F.slice("ls", 2, 4), lambda x: F.substring(x, 11, 30)), "\n").alias("text"))
+
+
+@query(
+    "page_extent",
+    f"""WITH l AS (SELECT doc_id, {PAGE_LINES} AS ls FROM documents)
+SELECT doc_id, CAST(len(ls) AS INTEGER) AS height, CAST(coalesce(list_max(list_transform(ls, lambda x: length(x))), 0) AS INTEGER) AS width FROM l""",
+)
+def page_extent(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").select("doc_id", text.lines(F.col("text")).alias("ls"))
+    width = F.coalesce(F.array_max(F.transform("ls", lambda x: F.length(x))), F.lit(0))
+    return each.select("doc_id", F.size("ls").alias("height"), width.alias("width"))
+
+
+# --- pairing, as-of, uses, rejoining ---------------------------------------------------------------
+
+
+@query(
+    "diff_pairing",
+    f"""WITH {TURNS}, l AS (SELECT conv_id // 2 AS pair, conv_id % 2 AS side, page, CAST(len({PAGE_LINES}) AS INTEGER) AS n FROM turns)
+SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.page, b.page) AS page, coalesce(a.n, -1) AS "left", coalesce(b.n, -1) AS "right"
+FROM (SELECT * FROM l WHERE side = 0) a FULL JOIN (SELECT * FROM l WHERE side = 1) b ON a.pair = b.pair AND a.page = b.page""",
+)
+def diff_pairing(spark, sf_dir):
+    each = turns(spark, sf_dir).select(F.floor(F.col("conv_id") / 2).alias("pair"), (F.col("conv_id") % 2).alias("side"), "page", F.size(text.lines(F.col("text"))).alias("n"))
+    found = lookup.paired(each.where("side = 0"), each.where("side = 1"), ["pair", "page"], "n")
+    return found.select("pair", "page", *[F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("left", "right")])
+
+
+@query(
+    "asof_lookup",
+    """WITH e AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'), c AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT e.user_id, e.event_id, coalesce(c.event_id, -1) AS last_click FROM e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts""",
+)
+def asof_lookup(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    errors, clicks = (events.where(F.col("event_type") == k).drop("event_type") for k in ("error", "click"))
+    return lookup.as_of(errors, clicks, "user_id", "ts", "event_id", "last_click").select("user_id", "event_id", F.coalesce("last_click", F.lit(-1)).alias("last_click"))
+
+
+@query(
+    "object_uses",
+    "SELECT l_partkey, count(*) AS uses, min(l_orderkey) AS first_use, count(DISTINCT l_orderkey) AS documents FROM lineitem GROUP BY l_partkey",
+)
+def object_uses(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.count(F.lit(1)).alias("uses"), F.min("l_orderkey").alias("first_use"), F.countDistinct("l_orderkey").alias("documents")
+    )
+
+
+@query("unreferenced_objects", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '5-LOW')")
+def unreferenced_objects(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '5-LOW'")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
+
+
+@query(
+    "rejoined_paragraphs",
+    f"""WITH {TURNS}, b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY page) AS before FROM turns),
+c AS (SELECT *, CASE WHEN coalesce({CARRIES}, false) THEN 0 ELSE 1 END AS starts FROM b),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paragraph FROM c)
+SELECT conv_id, CAST(paragraph AS BIGINT) AS paragraph, min(page) AS first_page, string_agg(trim(text), ' ' ORDER BY page) AS text FROM g GROUP BY conv_id, paragraph""",
+)
+def rejoined_paragraphs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("page")
+    goes_on = F.coalesce(text.carries_on(F.lag("text").over(order), F.col("text")), F.lit(False))
+    each = turns(spark, sf_dir).withColumn("starts", F.when(goes_on, 0).otherwise(1))
+    each = each.withColumn("paragraph", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("page", F.trim("text").alias("t")))), lambda x: x["t"])
+    return each.groupBy("conv_id", "paragraph").agg(F.min("page").alias("first_page"), F.array_join(parts, " ").alias("text"))
+
+
+@query("af_merge_change", "SELECT c_custkey, substr(c_name, 1, 8) || 'No ' || substr(c_name, 10) AS merged FROM customer")
+def af_merge_change(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", forms.merge_change(F.col("c_name"), "No ", 8, 9).alias("merged"))
+
+
+@query("af_simple", "SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS sum, (l_quantity + l_tax) / 2 AS avg, l_quantity * l_tax AS prd, least(l_quantity, l_tax) AS min, greatest(l_quantity, l_tax) AS max FROM lineitem")
+def af_simple(spark, sf_dir):
+    cols = [forms.simple(op, F.col("l_quantity"), F.col("l_tax")).alias(op.lower()) for op in ("SUM", "AVG", "PRD", "MIN", "MAX")]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *cols)
+
+
+@query("af_is_number", r"SELECT p_partkey, regexp_matches(replace(p_brand, 'Brand#', ''), '^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-][0-9]+)?$') AS brand, regexp_matches(p_name, '^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-][0-9]+)?$') AS name FROM part")
+def af_is_number(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", forms.is_number(F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit(""))).alias("brand"), forms.is_number(F.col("p_name")).alias("name")
+    )
+
+
+@query(
+    "date_round_trip",
+    "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS shown, CAST(epoch(o_orderdate) AS BIGINT) AS seconds FROM orders",
+)
+def date_round_trip(spark, sf_dir):
+    shown = F.date_format("o_orderdate", "dd.MM.yyyy")
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"), F.unix_timestamp(F.try_to_timestamp(shown, F.lit("dd.MM.yyyy"))).alias("seconds"))
+
+
+@query("hex_and_base64", "SELECT doc_id, md5(hex(encode(text))) AS hex_md5, length(base64(encode(text))) AS base64_length, octet_length(encode(text)) AS bytes FROM documents")
+def hex_and_base64(spark, sf_dir):
+    raw = F.encode("text", "UTF-8")
+    b64 = (F.ceil(F.octet_length("text") / 3) * 4).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.hex(raw)).alias("hex_md5"), b64.alias("base64_length"), F.octet_length("text").cast("long").alias("bytes"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search with offsets and hit lines."""
     return text_search(spark, sf_dir)

@@ -90,3 +90,15 @@ def test_streamed_documents_come_once(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["text"] for r in spark.table("once").collect()) == ["a", "b"]
+
+
+def test_as_of_and_reachability(spark):
+    from paginarium.operators import lookup
+
+    left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c")], "k int, at int, name string")
+    right = spark.createDataFrame([(1, 2, 20), (1, 5, 50), (1, 6, 60), (3, 1, 1)], "k int, at int, v int")
+    assert {(r["name"], r["seen"]) for r in lookup.as_of(left, right, "k", "at", "v", "seen").collect()} == {("a", 50), ("b", None), ("c", None)}
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "src int, dst int")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    found = lookup.reachable(edges, spark.createDataFrame([(1,)], "node int"))
+    assert {(r["node"], r["steps"]) for r in found.collect()} == {(1, 0), (2, 1), (3, 2)}
