@@ -26,6 +26,7 @@ table gives no blocks.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -40,7 +41,7 @@ BITS = 20
 LANES = 64
 BLOCK = 1 << 15
 #: Blocks coded together, so that numpy works on LANES * TOGETHER states.
-TOGETHER = 24
+TOGETHER = 48
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIQII")
 
@@ -63,7 +64,7 @@ class Frequencies:
             freq[order[:short]] += 1
         self.freq = freq.astype(np.uint64)
         self.low = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(counts), dtype=np.int32), freq)
+        self.symbol = np.repeat(np.arange(len(counts), dtype=np.uint16 if len(counts) <= 1 << 16 else np.int32), freq)
 
 
 def _grid(parts: list[np.ndarray], fill: int) -> np.ndarray:
@@ -144,12 +145,19 @@ def from_bytes(block: bytes) -> tuple[np.ndarray, int, int, tuple[np.ndarray, np
     return counts, first, crc, (states, words, n_ids)
 
 
+def id_type(path: str) -> str:
+    """Two bytes an id where the vocabulary allows it, else four."""
+    model = json.load(open(path, encoding="utf-8"))
+    return "<u2" if len(model["model"]["vocab"]) + len(model["added_tokens"]) <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int, partitions: int) -> DataFrame:
-    """(shard, seq, before, doc_id, ids) in ascending doc_id order; ids as packed u32.
+    """(shard, seq, before, doc_id, ids) in ascending doc_id order; ids as one binary.
 
     ``shard`` numbers the ranges of doc_id, ``seq`` the rows of a shard, ``before``
-    counts the shard's ids before the row.
+    counts the shard's ids before the row. Ids are packed by ``id_type(path)``.
     """
+    kind = id_type(path)
     ranged = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
@@ -168,7 +176,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, partitions: int) -> DataF
                 n = len(counts)
                 packed, at = [], 0
                 for c in counts.tolist():
-                    packed.append(np.append(flat[at : at + c], end_id).astype("<u4").tobytes())
+                    packed.append(np.append(flat[at : at + c], end_id).astype(kind).tobytes())
                     at += c
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -183,7 +191,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, partitions: int) -> DataF
     return ranged.mapInArrow(run, "shard int, seq long, before long, doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
     """(id, n) over the whole table, counted within tasks first."""
 
     def run(batches):
@@ -191,18 +199,18 @@ def count_ids(tokens: DataFrame) -> DataFrame:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.column(0).to_pylist():
-                ids = np.frombuffer(row, "<u4")
-                if len(ids) and int(ids.max()) >= len(total):
-                    total = np.append(total, np.zeros(int(ids.max()) + 1 - len(total), np.int64))
-                total += np.bincount(ids, minlength=len(total))
+            for at in range(0, len(batch), 2000):
+                more = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 2000).to_pylist()), kind))
+                if len(more) > len(total):
+                    total = np.append(total, np.zeros(len(more) - len(total), np.int64))
+                total[: len(more)] += more
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def encode_table(tokens: DataFrame, counts: np.ndarray, shard_first: dict[int, int]) -> DataFrame:
+def encode_table(tokens: DataFrame, kind: str, counts: np.ndarray, shard_first: dict[int, int]) -> DataFrame:
     """Blocks of the tokenised table: (shard, seq, block, doc_ids).
 
     Blocks are cut anew wherever the rows at hand aren't consecutive, so any split of
@@ -241,7 +249,7 @@ def encode_table(tokens: DataFrame, counts: np.ndarray, shard_first: dict[int, i
                     close()
                     state["first"] = shard_first[row["shard"]] + row["before"]
                 state["next"] = row["shard"], row["seq"] + 1
-                ids, at = np.frombuffer(row["ids"], "<u4"), 0
+                ids, at = np.frombuffer(row["ids"], kind), 0
                 while at < len(ids):
                     if not sizes:
                         state["shard"], state["seq"] = row["shard"], row["seq"]
@@ -347,15 +355,15 @@ def whole_documents(pieces: DataFrame) -> DataFrame:
 def write_corpus(spark: SparkSession, docs: DataFrame, path: str, end_id: int, out: str) -> None:
     """Encode all documents into ``out``/blocks and ``out``/table."""
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    tokens = settle(spark, tokenised(docs, path, end_id, partitions), "tokens")
+    tokens, kind = settle(spark, tokenised(docs, path, end_id, partitions), "tokens"), id_type(path)
     # bounded by the vocabulary, and by one row per shard
-    table = count_ids(tokens).orderBy("id")
+    table = count_ids(tokens, kind).orderBy("id")
     table.write.parquet(f"{out}/table")
-    totals = tokens.groupBy("shard").agg(F.max(F.struct("before", (F.octet_length("ids") / 4).cast("long").alias("n"))).alias("last"))
+    totals = tokens.groupBy("shard").agg(F.max(F.struct("before", (F.octet_length("ids") / np.dtype(kind).itemsize).cast("long").alias("n"))).alias("last"))
     first, at = {}, 0
     for r in totals.orderBy("shard").collect():
         first[r["shard"]], at = at, at + r["last"]["before"] + r["last"]["n"]
-    encode_table(tokens, read_table(spark, out), first).write.option("compression", "none").parquet(f"{out}/blocks")
+    encode_table(tokens, kind, read_table(spark, out), first).write.option("compression", "none").parquet(f"{out}/blocks")
 
 
 def read_table(spark: SparkSession, out: str) -> np.ndarray:
