@@ -16,7 +16,7 @@ last, and by hash for the rest; any order gives the same result, this one keeps
 boilerplate out of the merged lists.
 
 Large groups of near copies don't multiply: first each posting is compared with its
-list's first document and with its predecessor only, which is linear; pairs already
+list's first document only, which is linear; pairs already
 joined by those links need no comparison, the others are all enumerated.
 
 Defined cases: a null text is empty; a text with one to four words has one shingle;
@@ -26,7 +26,13 @@ and names a component only if no member has an id; repeated rows are documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,45 +45,50 @@ HOT = 1 << 16
 HITS = 3
 #: A shingle is reported by a task if so many of the task's documents have it.
 LOCAL = 4
+#: Text cut into words at a time, in bytes (a longer text is a slice by itself).
+SLICE_BYTES = 4_000_000
 FILTER_BITS = 1 << 24
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Hashes()
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case (bytes methods know ASCII only)."""
-    return text.encode().lower().split()
-
-
-def shingle_set(text: str) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    import xxhash
-
-    words = words_of(text)
-    if len(words) < WIDTH:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = len(h) - WIDTH + 1
-    s = sum((h[k : n + k] * _FACTORS[k] for k in range(1, WIDTH)), h[:n] * _FACTORS[0])
-    s ^= s >> np.uint64(30)
+def _mixed(s: np.ndarray) -> np.ndarray:
+    s = s ^ (s >> np.uint64(30))
     s *= np.uint64(0xBF58476D1CE4E5B9)
     s ^= s >> np.uint64(27)
     s *= np.uint64(0x94D049BB133111EB)
-    s ^= s >> np.uint64(31)
-    return np.unique(s)
+    return s ^ (s >> np.uint64(31))
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every text; null counts as empty.
+
+    Words stand between ASCII white space, A-Z in lower case. Arrow cuts a slice of
+    the texts into words and numbers them, and each distinct word is hashed once.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, end - at), "")))
+        words = split.flatten()
+        parent = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # a text's outer white space leaves empty words
+        coded = words.dictionary_encode()
+        hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+        h = hashes[coded.indices.to_numpy(zero_copy_only=False)][full]
+        counts = np.bincount(parent[full], minlength=end - at)
+        n = len(h) - WIDTH + 1
+        s = _mixed(sum((h[k : n + k] * _FACTORS[k] for k in range(1, WIDTH)), h[:n] * _FACTORS[0])) if n > 0 else h[:0]
+        first = np.cumsum(counts) - counts
+        for begin, size in zip(first.tolist(), counts.tolist()):
+            if size >= WIDTH:
+                yield np.unique(s[begin : begin + size - WIDTH + 1])
+            elif size:  # the whole sequence, apart from all five-word shingles by its length
+                yield _mixed((h[begin : begin + size] * _FACTORS[:size]).sum(keepdims=True) + np.uint64(size) * np.uint64(0xD1B54A32D192ED03))
+            else:
+                yield np.zeros(0, np.uint64)
+        at = end
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -94,8 +105,6 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles (sorted by hash), each with its rank from the least frequent."""
 
     def run(batches):
-        import pyarrow as pa
-
         held, size = [], 0
 
         def report():
@@ -104,10 +113,10 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingle_set(text or ""))
+            for found in shingle_sets(batch.column(0)):
+                held.append(found)
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield report()
                     held, size = [], 0
         if held:
@@ -124,14 +133,12 @@ def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(doc_id, text_hash, n, key, short): set size, digest of the set, the shingles whose lists are merged."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             ids, texts, hashes = batch.column(0), batch.column(1), batch.column(2)
+            sets = shingle_sets(texts)
             for at in range(0, len(ids), 500):
                 rows = []
-                for text in texts.slice(at, 500).to_pylist():
-                    s = shingle_set(text or "")
+                for s in islice(sets, 500):
                     n = len(s)
                     rank = np.zeros(n, np.uint64)
                     if hot.shape[1] and n:
@@ -158,10 +165,10 @@ def key_bit(key) -> F.Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the wanted keys, recomputed from the texts.
+    """(key, shingles) of the wanted keys, and maybe a few others, recomputed from the texts.
 
     A bit filter of fixed size, built from the wanted keys, keeps most other sets from
-    being shuffled; the join that follows makes it exact.
+    being shuffled; the joins with the pairs make it exact.
     """
     bits = wanted.select(key_bit("key").alias("bit"))
     rows = bits.select(F.expr("cast(bit div 32 as int)").alias("at"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("m"))
@@ -171,22 +178,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     packed = mask.astype(np.uint32)
 
     def run(batches):
-        import pyarrow as pa
-
-        seen: set[bytes] = set()
+        seen: set[bytes] = set()  # of this task, so that a set with many copies is sent once
         for batch in batches:
-            keys, sets = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text or "")
+            keys, sets, size = [], [], 0
+            for s in shingle_sets(batch.column(0)):
                 key = set_key(s)
-                if key not in seen and len(s) and packed[(bit := _spark_bit(key)) >> 5] >> (bit & 31) & 1:
-                    if len(seen) < 200_000:
-                        seen.add(key)
+                if len(s) and key not in seen and packed[(bit := _spark_bit(key)) >> 5] >> (bit & 31) & 1:
+                    seen.add(key)
                     keys.append(key), sets.append(s.tobytes())
+                    size += len(s)
+                    if size > 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+                        keys, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    sets = docs.select("text").mapInArrow(run, "key binary, shingles binary")
-    return sets.join(wanted.select("key", "rid"), "key").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    return docs.select("text").mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def _spark_bit(key: bytes) -> int:
@@ -201,8 +207,6 @@ def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
     """Those pairs (a, b) of classes that are similar, by probing one set in the other."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
@@ -214,13 +218,14 @@ def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    pairs = settle(spark, pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct().join(classes.select("rid", "key"), "rid")
-    sets = settle(spark, sets_of(docs, settle(spark, wanted, "wanted")), "sets")
-    both = (
-        pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-    )
+    names = classes.select("rid", "key")
+    named = pairs.select("a", "b").distinct().join(names.select(F.col("rid").alias("a"), F.col("key").alias("ka")), "a")
+    named = settle(spark, named.join(names.select(F.col("rid").alias("b"), F.col("key").alias("kb")), "b"), "pairs")
+    if named.isEmpty():
+        return named.select("a", "b")
+    sets = sets_of(docs, named.select(F.col("ka").alias("key")).union(named.select("kb")))
+    with_a = named.join(sets.select(F.col("key").alias("ka"), F.col("shingles").alias("x")), "ka")
+    both = with_a.join(sets.select(F.col("key").alias("kb"), F.col("shingles").alias("y")), "kb")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -241,22 +246,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     hot = hot_shingles(docs)
     facts = settle(spark, described(docs, hot).withColumn("row", F.monotonically_increasing_id()), "facts")
-    classes = settle(
-        spark,
-        facts.where("n > 0").groupBy("key").agg(F.min("row").alias("rid"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("short").alias("short")),
-        "classes",
-    )
+    some = facts.where("n > 0").groupBy("key")
+    classes = settle(spark, some.agg(F.min("row").alias("rid"), F.min("doc_id").alias("first_doc")), "classes")
     order = Window.partitionBy("h").orderBy("n", "rid")
     whole = Window.partitionBy("h")
     lists = settle(
         spark,
-        classes.select(F.explode("short").alias("h"), "rid", "n")
+        some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("short").alias("short")).select(F.explode("short").alias("h"), "rid", "n")
         .withColumn("size", F.count(F.lit(1)).over(whole)).where("size > 1")
-        .withColumn("head", F.first(F.struct("rid", "n")).over(order)).withColumn("prev", F.lag(F.struct("rid", "n")).over(order))
-        .select("h", "rid", "n", "head", "prev"),
+        .withColumn("head", F.first(F.struct("rid", "n")).over(order))
+        .select("h", "rid", "n", "head"),
         "lists",
     )
-    linear = lists.select(F.explode(F.array("head", "prev")).alias("o"), "rid", "n").where("o.rid <> rid")
+    linear = lists.select(F.col("head").alias("o"), "rid", "n").where("o.rid <> rid")
     linear = (
         linear.select(F.least("o.rid", "rid").alias("a"), F.greatest("o.rid", "rid").alias("b"), F.col("o.n").alias("an"), F.col("n").alias("bn"))
         .where(similar_sizes("an", "bn")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("an", "bn")).alias("an"), F.max(F.greatest("an", "bn")).alias("bn"))
