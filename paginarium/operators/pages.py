@@ -72,21 +72,21 @@ def merge(pages: DataFrame, into: str, order: list[str]) -> DataFrame:
     return pages.withColumn("merged_page", F.row_number().over(Window.partitionBy(into).orderBy(*order)))
 
 
-def page_labels(pages: DataFrame, ranges: DataFrame, page: str) -> DataFrame:
+def page_labels(pages: DataFrame, ranges: list[tuple[int, str, str, int]], page: str) -> DataFrame:
     """Each page's label by the last range that starts at or before it.
 
-    ``ranges``: (start, style, prefix, first), few rows that hold for all documents;
-    styles D, R, r, A, a, anything else gives the prefix alone. The ranges become one
-    sorted array, so pages aren't shuffled.
+    ``ranges``: (start, style, prefix, first), a few that hold for all documents;
+    styles D, R, r, A, a, anything else gives the prefix alone. They become one
+    literal array, so there is no join.
     """
     from paginarium.functions.text import letters, roman
 
-    held = ranges.agg(F.sort_array(F.collect_list(F.struct("start", "style", "prefix", "first"))).alias("ranges"))
-    joined = pages.join(F.broadcast(held))  # one row
-    r = F.element_at(F.filter("ranges", lambda x: x["start"] <= F.col(page)), -1)
+    names = ("start", "style", "prefix", "first")
+    held = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in sorted(ranges)])
+    r = F.get(F.filter(held, lambda x: x["start"] <= F.col(page)), F.size(F.filter(held, lambda x: x["start"] <= F.col(page))) - 1)
     number = F.col(page) - F.col("r.start") + F.col("r.first")
     portion = (
         F.when(F.col("r.style") == "D", number.cast("string")).when(F.col("r.style") == "r", roman(number)).when(F.col("r.style") == "R", F.upper(roman(number)))
         .when(F.col("r.style") == "a", letters(number)).when(F.col("r.style") == "A", F.upper(letters(number))).otherwise("")
     )
-    return joined.withColumn("r", r).withColumn("label", F.concat("r.prefix", portion)).drop("r", "ranges")
+    return pages.withColumn("r", r).withColumn("label", F.concat("r.prefix", portion)).drop("r")

@@ -351,8 +351,7 @@ SELECT conv_id, page, prefix || CASE style WHEN 'D' THEN CAST(page - start + fir
 FROM m JOIN r USING (start)""",
 )
 def page_label_asof(spark, sf_dir):
-    rows = [(1, "r", "", 1), (3, "D", "A-", 5), (6, "a", "x", 26)]
-    ranges = spark.createDataFrame(rows, "start int, style string, prefix string, first int")
+    ranges = [(1, "r", "", 1), (3, "D", "A-", 5), (6, "a", "x", 26)]
     return pages.page_labels(turns(spark, sf_dir).select("conv_id", "page"), ranges, "page")
 
 
