@@ -5,10 +5,11 @@ shingles of one comparison coincide with probability below 2**-40 even for sets
 thousand). Documents with the same set form one class from the start.
 
 Two sets with Jaccard similarity of at least 4/5 share at least T = ceil(4n/5)
-shingles of either. DivideSkip divides a set's inverted lists into short and long
-ones: lists are ordered rarest first, the n - T + L first are merged, and whoever
-occurs on fewer than min(L, T) of them can't reach T. The survivors are probed for
-the remaining, long lists by binary search in their sorted sets. The merge is
+shingles of either, and ceil(4/9 of both sizes) in fact. DivideSkip divides a set's
+inverted lists into short and long ones: lists are ordered rarest first, the
+n - T + L first are merged, and whoever occurs on too few of them (``enough``) can't
+reach the overlap. The survivors are probed for the remaining, long lists by binary
+search in their sorted sets. The merge is
 Spark's: postings of the short lists are sorted by shingle and counted by pair.
 
 The order is by corpus frequency for the ``HOT`` most frequent shingles, which come
@@ -16,7 +17,7 @@ last, and by hash for the rest; any order gives the same result, this one keeps
 boilerplate out of the merged lists.
 
 Large groups of near copies don't multiply: first each posting is compared with its
-list's first document only, which is linear; pairs already
+list's two most central documents only, which is linear; pairs already
 joined by those links need no comparison, the others are all enumerated.
 
 Defined cases: a null text is empty; a text with one to four words has one shingle;
@@ -48,6 +49,8 @@ LOCAL = 4
 #: Text cut into words at a time, in bytes (a longer text is a slice by itself).
 SLICE_BYTES = 4_000_000
 FILTER_BITS = 1 << 24
+#: Linear rounds before the pairs across components.
+STARS = 1
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -85,7 +88,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             if size >= WIDTH:
                 yield np.unique(s[begin : begin + size - WIDTH + 1])
             elif size:  # the whole sequence, apart from all five-word shingles by its length
-                yield _mixed((h[begin : begin + size] * _FACTORS[:size]).sum(keepdims=True) + np.uint64(size) * np.uint64(0xD1B54A32D192ED03))
+                yield _mixed((h[begin : begin + size] * _FACTORS[:size]).sum(keepdims=True) + np.array([size], np.uint64) * np.uint64(0xD1B54A32D192ED03))
             else:
                 yield np.zeros(0, np.uint64)
         at = end
@@ -229,15 +232,59 @@ def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def needed(a: str, b: str) -> F.Column:
+    """The overlap that sets of two sizes must have: ceil(4/9 of their sum)."""
+    return F.floor((4 * (F.col(a) + F.col(b)) + 8) / 9)
+
+
 def enough(hits: str = "hits") -> F.Column:
+    """Whether a pair's occurrences on the merged lists leave it a chance.
+
+    Of two sets the one whose merged part ends first in the global order has all its
+    common shingles of that part counted; the rest of it, T - L shingles, may all be
+    common. So a similar pair has at least needed - T + L hits, for one of its sides.
+    """
     least = lambda c: F.floor((4 * F.col(c) + 4) / 5)
-    return F.col(hits) >= F.least(F.lit(HITS), least("an"), least("bn"))
+    side = lambda c: needed("an", "bn") - least(c) + F.least(F.lit(HITS), least(c))
+    return F.col(hits) >= F.least(side("an"), side("bn"))
+
+
+def in_place(a: str, b: str, an: str, bn: str) -> F.Column:
+    """Whether two sets that meet at these places of theirs can share enough before and after them."""
+    a, b, an, bn = (F.col(c) for c in (a, b, an, bn))
+    return F.least(a, b) + 1 + F.least(an - a, bn - b) - 1 >= F.floor((4 * (an + bn) + 8) / 9)
 
 
 def similar_sizes(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= 80 * F.greatest(a, b)
 
 
+def with_components(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """The lists on which more than one component is left, with each member's component ``c``."""
+    whole = Window.partitionBy("h")
+    placed = lists.withColumn("c", F.col("rid"))
+    if joined is not None:
+        placed = lists.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
+    return placed.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).where("lo <> hi").drop("lo", "hi")
+
+
+def to_heads(lists: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of each list's members with two heads: its most central member, and
+    the most central one outside that member's component. Linear in the postings."""
+    by = Window.partitionBy("h")
+    order = by.orderBy(F.desc("weight"), "rid")
+    member = F.struct("rid", "n", "c", "at")
+    marked = lists.withColumn("one", F.first(member).over(order))
+    other = F.when(F.col("c") != F.col("one.c"), F.struct("weight", (-F.col("rid")).alias("last"), member.alias("m")))
+    marked = marked.withColumn("two", F.max(other).over(by)["m"])
+    pairs = marked.select(F.explode(F.array("one", "two")).alias("o"), "rid", "n", "c", "at").where("o.rid <> rid AND o.c <> c").where(similar_sizes("o.n", "n") & in_place("o.at", "at", "o.n", "n"))
+    counted = (
+        pairs.select(F.least("o.rid", "rid").alias("a"), F.greatest("o.rid", "rid").alias("b"), F.least("o.n", "n").alias("an"), F.greatest("o.n", "n").alias("bn"))
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    )
+    return counted.where(enough()).select("a", "b")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, component) for every document, repeated rows included.
 
@@ -248,36 +295,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     facts = settle(spark, described(docs, hot).withColumn("row", F.monotonically_increasing_id()), "facts")
     some = facts.where("n > 0").groupBy("key")
     classes = settle(spark, some.agg(F.min("row").alias("rid"), F.min("doc_id").alias("first_doc")), "classes")
-    order = Window.partitionBy("h").orderBy("n", "rid")
     whole = Window.partitionBy("h")
-    lists = settle(
+    shared = settle(
         spark,
-        some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("short").alias("short")).select(F.explode("short").alias("h"), "rid", "n")
-        .withColumn("size", F.count(F.lit(1)).over(whole)).where("size > 1")
-        .withColumn("head", F.first(F.struct("rid", "n")).over(order))
-        .select("h", "rid", "n", "head"),
-        "lists",
-    )
-    linear = lists.select(F.col("head").alias("o"), "rid", "n").where("o.rid <> rid")
-    linear = (
-        linear.select(F.least("o.rid", "rid").alias("a"), F.greatest("o.rid", "rid").alias("b"), F.col("o.n").alias("an"), F.col("n").alias("bn"))
-        .where(similar_sizes("an", "bn")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("an", "bn")).alias("an"), F.max(F.greatest("an", "bn")).alias("bn"))
+        some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("short").alias("short")).select(F.posexplode("short").alias("at", "h"), "rid", "n")
+        .withColumn("size", F.count(F.lit(1)).over(whole)).where("size > 1"),
+        "shared",
     )
-    first = settle(spark, verified(spark, docs, classes, linear.where(enough())), "links")
-    joined = components(spark, first)
+    # a member that shares most of what it has is the likeliest to be like the others
+    central = shared.groupBy("rid").agg((F.sum("size") / F.first("n")).alias("weight"))
+    lists = settle(spark, shared.drop("size").join(central, "rid"), "lists")
+
+    links, joined = None, None
+    for _ in range(STARS):
+        found = settle(spark, verified(spark, docs, classes, to_heads(with_components(lists, joined))), "links")
+        links = found if links is None else settle(spark, links.union(found), "links")
+        joined = components(spark, links)
 
     # lists on which more than one component is left: all pairs across components
-    placed = lists.select("h", "rid", "n").join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
-    mixed = placed.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).where("lo <> hi").select("h", "rid", "n", "c")
-    mixed = settle(spark, mixed, "mixed")
-    left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c")]) for s in "ab")
+    mixed = settle(spark, with_components(lists, joined).select("h", "rid", "n", "c", "at"), "mixed")
+    left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at")]) for s in "ab")
     across = (
-        left.join(right, "h").where((F.col("arid") < F.col("brid")) & (F.col("ac") != F.col("bc")) & similar_sizes("an", "bn"))
+        left.join(right, "h").where((F.col("arid") < F.col("brid")) & (F.col("ac") != F.col("bc")) & similar_sizes("an", "bn") & in_place("aat", "bat", "an", "bn"))
         .groupBy("arid", "brid").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
         .where(enough()).select(F.col("arid").alias("a"), F.col("brid").alias("b"))
     )
     second = verified(spark, docs, classes, across)
-    final = components(spark, settle(spark, first.union(second), "links"))
+    final = components(spark, settle(spark, links.union(second), "links"))
 
     named = classes.select("key", "rid", "first_doc").join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
     smallest = named.groupBy("c").agg(F.min("first_doc").alias("component_id"))
