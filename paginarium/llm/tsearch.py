@@ -41,11 +41,11 @@ from paginarium.llm.common import settle
 from paginarium.llm.components import components
 
 WIDTH = 5
-HOT = 1 << 16
+HOT = 1 << 17
 #: Occurrences on the merged lists asked of a candidate.
 HITS = 3
 #: A shingle is reported by a task if so many of the task's documents have it.
-LOCAL = 4
+LOCAL = 2
 #: Text cut into words at a time, in bytes (a longer text is a slice by itself).
 SLICE_BYTES = 4_000_000
 FILTER_BITS = 1 << 24
@@ -237,7 +237,7 @@ def needed(a: str, b: str) -> F.Column:
     return F.floor((4 * (F.col(a) + F.col(b)) + 8) / 9)
 
 
-def enough(hits: str = "hits") -> F.Column:
+def enough(hits: F.Column) -> F.Column:
     """Whether a pair's occurrences on the merged lists leave it a chance.
 
     Of two sets the one whose merged part ends first in the global order has all its
@@ -246,7 +246,7 @@ def enough(hits: str = "hits") -> F.Column:
     """
     least = lambda c: F.floor((4 * F.col(c) + 4) / 5)
     side = lambda c: needed("an", "bn") - least(c) + F.least(F.lit(HITS), least(c))
-    return F.col(hits) >= F.least(side("an"), side("bn"))
+    return hits >= F.least(side("an"), side("bn"))
 
 
 def in_place(a: str, b: str, an: str, bn: str) -> F.Column:
@@ -282,7 +282,7 @@ def to_heads(lists: DataFrame) -> DataFrame:
         pairs.select(F.least("o.rid", "rid").alias("a"), F.greatest("o.rid", "rid").alias("b"), F.least("o.n", "n").alias("an"), F.greatest("o.n", "n").alias("bn"))
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
     )
-    return counted.where(enough()).select("a", "b")
+    return counted.where(enough(F.col("hits"))).select("a", "b")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -313,12 +313,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         joined = components(spark, links)
 
     # lists on which more than one component is left: all pairs across components
-    mixed = settle(spark, with_components(lists, joined).select("h", "rid", "n", "c", "at"), "mixed")
-    left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at")]) for s in "ab")
+    # (no pair meets on more lists, before and after one, than either of its documents has left there)
+    own = Window.partitionBy("rid")
+    left_over = with_components(lists, joined).withColumn("after", F.count(F.lit(1)).over(own))
+    left_over = left_over.withColumn("before", F.row_number().over(own.orderBy("at")) - 1).withColumn("after", F.col("after") - F.col("before") - 1)
+    mixed = settle(spark, left_over.select("h", "rid", "n", "c", "at", "before", "after"), "mixed")
+    most = F.least("abefore", "bbefore") + 1 + F.least("aafter", "bafter")
+    left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at", "before", "after")]) for s in "ab")
     across = (
-        left.join(right, "h").where((F.col("arid") < F.col("brid")) & (F.col("ac") != F.col("bc")) & similar_sizes("an", "bn") & in_place("aat", "bat", "an", "bn"))
+        left.join(right, "h").where(enough(most) & (F.col("arid") < F.col("brid")) & (F.col("ac") != F.col("bc")) & similar_sizes("an", "bn") & in_place("aat", "bat", "an", "bn"))
         .groupBy("arid", "brid").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
-        .where(enough()).select(F.col("arid").alias("a"), F.col("brid").alias("b"))
+        .where(enough(F.col("hits"))).select(F.col("arid").alias("a"), F.col("brid").alias("b"))
     )
     second = verified(spark, docs, classes, across)
     final = components(spark, settle(spark, links.union(second), "links"))
