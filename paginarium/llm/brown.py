@@ -10,20 +10,26 @@ class of its own, and is what precedes the first word.
 
 Passes over the texts:
 
-1. words that make up ``SHARE`` of some slice are counted; the most frequent
-   ``CORE`` of them are clustered;
-2. bigrams among those words are counted (a table of fixed size) and the exchange
-   algorithm on the driver moves each word to the class that most raises the average
-   mutual information of neighbouring classes until none moves;
-3. every text belongs to the ``slice`` its task read (kept in a written table); per slice and word the
-   training count is taken, and a vote for the class that fits the word's neighbours
-   best (one exchange step for each word outside the core);
-4. counts and votes are summed by word over all slices (each slice has one row a word,
-   so frequent words are no hot keys), the sums go back to the slices, where all texts
-   are scored with their slice's words alone. Corpus totals come from the same rows.
-
-So the vocabulary is never broadcast or collected; what moves grows with the words
-of the slices.
+1. every text belongs to the ``slice`` its task read; a slice numbers its words, and from
+   then on its texts are rows of those numbers (a written table). Words are dealt over
+   buckets by crc32; a bucket numbers its words over all slices and counts them exactly;
+2. bigrams among the ``CORE`` most frequent words are counted (a table of fixed size) and
+   the exchange algorithm on the driver moves each word to the class that most raises the
+   average mutual information of neighbouring classes until none moves. This only starts
+   the classes;
+3. exchange rounds over all words: slices count per word the classes left and right of it,
+   the buckets add these up over all slices and give each word the class in which it most
+   raises the average mutual information, its own counts taken out of the old class. In
+   the first round all words outside the core get a class (those without a neighbour in
+   the core are dealt over the classes, as the driver's start does), afterwards half of
+   all words may move in a round, so that neighbours don't change places together. The
+   classes of the round with the greatest average mutual information are kept;
+4. the classes go back to the slices, where all texts are scored with their slice's words
+   alone. Corpus totals come from the same rows.
+
+A bucket's counts of a slice are one row of packed arrays, so frequent words are no hot
+keys. The vocabulary is never broadcast or collected; what moves grows with the words of
+the slices.
 
 Defined cases: a null text is empty and has the end token alone; a null doc_id is
 never held out; repeated rows are scored each and count each; without training rows
@@ -32,23 +38,24 @@ every word is unseen and scores like the base model.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paginarium.llm.common import id_remainder, settle
 
 CORE, CLASSES = 1000, 24
-#: A word enters the first count where it makes up this part of a slice's tokens.
-SHARE = 1 / 20_000
-#: A slice is what one task reads; beyond four times this much text it reports its words in parts.
+#: A slice is what one task reads; beyond four times this much text it is cut.
 SLICE_BYTES = 24_000_000
 ROUNDS = 12
-#: Words whose votes are worked out together in a task.
-WORDS_AT_ONCE = 50_000
+#: Rounds over all words: the first gives every word a class, then the halves take turns,
+#: until two turns raise the average mutual information by less than ``SETTLED`` or this many are done.
+ALL_ROUNDS, SETTLED = 12, 0.01
+#: Entries of a bucket's counts whose gains are worked out together.
+ENTRIES_AT_ONCE = 100_000
 END = b"\n"  # no word contains white space
 
 
@@ -57,54 +64,143 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def frequent_words(train: DataFrame, core: int = CORE) -> list[bytes]:
-    """The most frequent words, the end token first. ``train``: (text)."""
+def packed(arrays, kind) -> list[bytes]:
+    return [np.ascontiguousarray(a, kind).tobytes() for a in arrays]
+
+
+def unpacked(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+def numbered(docs: DataFrame, buckets: int) -> DataFrame:
+    """Texts as numbers of their slice's words, and those words by bucket. ``docs``: (doc_id, held_out, text).
+
+    Text rows: (slice, doc_id, held_out, ids); word rows have ``bucket`` set: (slice,
+    bucket, low, words, n), where the words' numbers go up from ``low`` and ``n`` counts
+    training tokens.
+    """
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        counts: Counter = Counter()
-        size = 0
+        part = TaskContext.get().partitionId() << 20
+        index: dict[bytes, int] = {}
+        kept: list[tuple] = []
+        names = ["slice", "doc_id", "held_out", "ids", "bucket", "low", "words", "n"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+        def rows(many: int, **given):
+            cols = {"slice": [part] * many} | given
+            return pa.RecordBatch.from_arrays([pa.array(cols.get(c, [None] * many), k) for c, k in zip(names, kinds)], names=names)
 
         def report():
-            top = [(w, n) for w, n in counts.items() if n >= size * SHARE]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            words = list(index)
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            number = np.empty(len(words), np.int32)
+            number[order] = np.arange(len(words))
+            n = np.zeros(len(words), np.int64)
+            for low in range(0, len(kept), 2000):
+                some = kept[low : low + 2000]
+                ids = [number[k[2]] for k in some]
+                train = [i for i, k in zip(ids, some) if not k[1]]
+                if train:
+                    n += np.bincount(np.concatenate(train), minlength=len(words))
+                yield rows(len(some), doc_id=[k[0] for k in some], held_out=[k[1] for k in some], ids=packed(ids, np.int32))
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            has = np.flatnonzero(np.diff(cut))
+            yield rows(
+                len(has), bucket=has, low=cut[has], words=[b" ".join([words[k] for k in order[cut[h] : cut[h + 1]]]) for h in has],
+                n=packed([n[cut[h] : cut[h + 1]] for h in has], np.int64),
+            )
 
+        size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+                if size > 4 * SLICE_BYTES:
+                    yield from report()
+                    index.clear(), kept.clear()
+                    part, size = part + 1, 0
                 words = words_of(text)
-                counts.update(words)
-                size += len(words)
-                if size > 3_000_000:
-                    yield report()
-                    counts.clear()
-                    size = 0
-        if size:
-            yield report()
+                size += len(text or "")
+                kept.append((doc, held, np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))))
+        if kept:
+            yield from report()
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "slice long, doc_id long, held_out boolean, ids binary, bucket int, low int, words binary, n binary")
+
+
+def dictionary(words: DataFrame, core: int = CORE) -> DataFrame:
+    """Words numbered within their bucket, and exact counts.
+
+    Rows (slice, bucket, low, idx, c, lead): ``idx`` numbers the slice's words in the
+    bucket, ``c`` has their training tokens in all slices, ``lead`` marks the first slice of
+    a word. Rows with ``word`` set: (bucket, word, at, total) of the bucket's ``core`` most frequent.
+    """
+
+    def one(table):
+        import pyarrow as pa
+
+        table = table.sort_by("slice")
+        bucket = table.column("bucket")[0].as_py()
+        index: dict[bytes, int] = {}
+        idx, lead = [], []
+        for blob in table.column("words").to_pylist():
+            before = len(index)
+            found = blob.split(b" ")
+            idx.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found)))
+            lead.append(idx[-1] >= before)
+        total = np.zeros(len(index), np.int64)
+        for i, n in zip(idx, unpacked(table.column("n"), np.int64)):
+            total[i] += n
+        words = list(index)
+        least = max(1, int(np.partition(total, -core)[-core])) if len(total) > core else 1
+        top = sorted(np.flatnonzero(total >= least).tolist(), key=lambda k: (-total[k], words[k]))[:core]
+        m, k = len(idx), len(top)
+        return pa.table({
+            "slice": pa.array(table.column("slice").to_pylist() + [None] * k, pa.int64()), "bucket": pa.array([bucket] * (m + k), pa.int32()),
+            "low": pa.array(table.column("low").to_pylist() + [None] * k, pa.int32()), "idx": pa.array(packed(idx, np.int32) + [None] * k, pa.binary()),
+            "c": pa.array(packed([total[i] for i in idx], np.int64) + [None] * k, pa.binary()), "lead": pa.array(packed(lead, np.uint8) + [None] * k, pa.binary()),
+            "word": pa.array([None] * m + [words[t] for t in top], pa.binary()), "at": pa.array([None] * m + top, pa.int32()),
+            "total": pa.array([None] * m + [int(total[t]) for t in top], pa.int64()),
+        })
+
+    return words.select("slice", "bucket", "low", "words", "n").groupBy("bucket").applyInArrow(
+        one, "slice long, bucket int, low int, idx binary, c binary, lead binary, word binary, at int, total long"
+    )
+
+
+def by_slice(texts: DataFrame, words: DataFrame, one, schema: str) -> DataFrame:
+    return texts.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(one, schema)
 
-    counted = train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(core).collect()]  # at most ``core``
-    return [END, *[w for w in top if w != END]]
 
+def tokens(texts) -> np.ndarray:
+    """The word numbers of a slice's training texts, one text after another."""
+    held = texts.column("held_out").to_pylist()
+    return np.frombuffer(b"".join(x for x, h in zip(texts.column("ids").to_pylist(), held) if not h), np.int32)
 
-def core_bigrams(train: DataFrame, core: list[bytes]) -> np.ndarray:
+
+def core_numbers(words, core: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """By word of the slice: its number in the core, or the core's size. ``core``: sorted bucket << 32 | idx."""
+    key = np.concatenate([(b << 32) + i.astype(np.int64) for b, i in zip(words.column("bucket").to_pylist(), unpacked(words.column("idx"), np.int32))])
+    at = np.minimum(np.searchsorted(core, key), len(core) - 1)
+    return np.where(core[at] == key, order[at], len(core))
+
+
+def core_bigrams(texts: DataFrame, words: DataFrame, keys: np.ndarray) -> np.ndarray:
     """Counts of neighbouring core words, by their numbers; other words in the last row and column."""
-    number = {w: k for k, w in enumerate(core)}
-    size = len(core) + 1
+    order, size = np.argsort(keys), len(keys) + 1
+    core = keys[order]
 
-    def run(batches):
+    def one(left, right):
         import pyarrow as pa
 
-        get, other = number.get, size - 1
-        total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at = np.fromiter((get(w, other) for w in [END, *words_of(text)]), np.int64)
-                np.add.at(total, at[:-1] * size + at[1:], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        found = core_numbers(right.sort_by("low"), core, order)[tokens(left)]
+        pair, n = np.unique(np.append(0, found[:-1]) * size + found, return_counts=True) if len(found) else (found, found)
+        return pa.table([pa.array(pair.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-    rows = train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most size * size
+    rows = by_slice(texts, words.select("slice", "bucket", "low", "idx"), one, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most size * size
     out = np.zeros(size * size)
     out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return out.reshape(size, size)
@@ -157,78 +253,134 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return label
 
 
-def word_votes(texts: DataFrame, core: list[bytes], label: np.ndarray, pair: np.ndarray) -> DataFrame:
-    """(slice, word, n, vote): a row per slice and word, or a few where a slice was read in parts.
+def neighbours(texts: DataFrame, words: DataFrame, classes: int, keys: np.ndarray, label: np.ndarray) -> DataFrame:
+    """How often each class stands left and right of each word, by slice and bucket.
 
-    ``n`` counts training tokens; ``vote`` is a core word's class, and for other words
-    the class that suits the classes of the neighbouring core words best.
+    ``words`` has the classes in ``cls``; where it is null, core words have ``label`` and the
+    others none yet (``classes``). Rows (slice, bucket, low, idx, cls, step, times): ``step``
+    has the differences of the sorted codes, ``times`` their counts; a code is word *
+    2 (classes + 1) + side * (classes + 1) + class. A neighbour that is the word itself
+    doesn't count. A row with ``pairs`` set has the slice's counts of neighbouring classes.
     """
-    number = {w: int(c) for w, c in zip(core, label)}
+    order, kinds = np.argsort(keys), classes + 1
+    core, known = keys[order], np.append(label, classes).astype(np.uint8)
+
+    def one(left, right):
+        import pyarrow as pa
+
+        right = right.sort_by("low")
+        if right.column("cls").null_count:
+            cls = known[core_numbers(right, core, order)]
+        else:
+            cls = np.frombuffer(b"".join(right.column("cls").to_pylist()), np.uint8)
+        low = right.column("low").to_numpy()
+        high = np.append(low[1:], len(cls))
+        at = tokens(left).astype(np.int64)
+        c = cls[at].astype(np.int64)
+        pairs = np.bincount(np.append(0, c[:-1]) * kinds + c, minlength=kinds * kinds) if len(at) else np.zeros(kinds * kinds, np.int64)
+        base = at * (2 * kinds)
+        before = (base + np.append(0, c[:-1]))[np.append(True, at[1:] != at[:-1])] if len(at) else base
+        after = (base[:-1] + kinds + c[1:])[at[1:] != at[:-1]]
+        code, times = np.unique(np.concatenate([before, after]), return_counts=True)
+        cut = np.searchsorted(code, np.append(low, len(cls)) * np.int64(2 * kinds))
+        m = len(low)
+        each = [slice(cut[k], cut[k + 1]) for k in range(m)]
+        return pa.table({
+            "slice": pa.array(right.column("slice").to_pylist() + [None], pa.int64()), "bucket": pa.array(right.column("bucket").to_pylist() + [None], pa.int32()),
+            "low": pa.array(low.tolist() + [None], pa.int32()), "idx": pa.array(right.column("idx").to_pylist() + [None], pa.binary()),
+            "cls": pa.array(packed([cls[x:y] for x, y in zip(low, high)], np.uint8) + [None], pa.binary()),
+            "step": pa.array(packed([np.diff(code[e] - low[k] * np.int64(2 * kinds), prepend=0) for k, e in enumerate(each)], np.int32) + [None], pa.binary()),
+            "times": pa.array(packed([times[e] for e in each], np.int32) + [None], pa.binary()),
+            "pairs": pa.array([None] * m + [pairs.tolist()], pa.list_(pa.int64())),
+        })
+
+    return by_slice(texts, words.select("slice", "bucket", "low", "idx", "cls"), one, "slice long, bucket int, low int, idx binary, cls binary, step binary, times binary, pairs array<long>")
+
+
+def best_classes(seen: np.ndarray, old: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The class in which each word most raises the average mutual information.
+
+    ``seen``: per word the counts of the classes left of it, then right of it, each with a
+    last column for neighbours without a class; ``old``: its class, or len(pair) for none.
+    The word's own counts are taken out of its old class. The other words keep their
+    classes. Words without any classed neighbour stay as they are or, if they have no
+    class, are dealt over the classes.
+    """
+    classes = len(pair)
+    kinds = classes + 1
+    left, right = seen[:, :classes], seen[:, kinds : kinds + classes]
+    row, col = pair.sum(axis=1), pair.sum(axis=0)
+    own = np.arange(classes) == old[:, None]
+    gain = np.zeros((len(seen), classes))
+    for counts, margin in ((right, row), (left, col)):
+        n = counts.sum(axis=1, keepdims=True)
+        rest = np.maximum(margin - own * n, 0)
+        gain -= _xlogx(rest + n) - _xlogx(rest)
+    for counts, table in ((right, pair.T), (left, pair)):
+        word, near = np.nonzero(counts)
+        for k in range(0, len(word), ENTRIES_AT_ONCE):
+            w, d = word[k : k + ENTRIES_AT_ONCE], near[k : k + ENTRIES_AT_ONCE]
+            n = counts[w, d][:, None]
+            rest = np.maximum(table[d] - own[w] * n, 0)
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[first]] += np.add.reduceat(_xlogx(rest + n) - _xlogx(rest), first)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    none = left.sum(axis=1) + right.sum(axis=1) == 0
+    at = np.arange(len(seen))
+    stay = (old < classes) & (none | (gain[at, best] <= gain[at, np.minimum(old, classes - 1)] + 1e-9))
+    best = np.where(none, 1 + at % (classes - 1), best)
+    return np.where(stay | (old == 0), old, best)
+
+
+def exchanged(near: DataFrame, pair: np.ndarray, turn: int) -> DataFrame:
+    """(slice, bucket, low, idx, cls) after a round; from the first turn on half of the words may move."""
     classes = len(pair)
-    follows = np.log((pair + 0.1) / (pair + 0.1).sum(axis=1, keepdims=True))
-    precedes = np.log((pair.T + 0.1) / (pair.T + 0.1).sum(axis=1, keepdims=True))
-    prior = np.log((pair.sum(axis=0) + 0.1) / (pair.sum() + 0.1 * classes))
-    prior[0] = -1e9
+    kinds = classes + 1
 
-    def run(batches):
+    def one(table):
         import pyarrow as pa
 
-        state = {"slice": None, "size": 0}
-        index: dict[bytes, int] = {}
-        flat, counted = [], []
+        idx, cls = unpacked(table.column("idx"), np.int32), unpacked(table.column("cls"), np.uint8)
+        size = 1 + max(int(i.max()) for i in idx)
+        seen, old = np.zeros(size * 2 * kinds), np.full(size, classes, np.int64)
+        for i, c, step, times in zip(idx, cls, unpacked(table.column("step"), np.int32), unpacked(table.column("times"), np.int32)):
+            old[i] = c
+            word, code = np.divmod(np.cumsum(step, dtype=np.int64), 2 * kinds)
+            seen[i[word].astype(np.int64) * 2 * kinds + code] += times
+        new = best_classes(seen.reshape(size, 2 * kinds), old, pair)
+        new = np.where(np.arange(size) % 2 == turn % 2 if turn else old == classes, new, old)
+        return table.select(["slice", "bucket", "low", "idx"]).append_column("cls", pa.array(packed([new[i] for i in idx], np.uint8), pa.binary()))
 
-        def report():
-            words, at, counts = list(index), np.concatenate(flat), np.concatenate(counted)
-            known = np.array([number.get(w, classes) for w in words], np.int64)  # ``classes``: not in the core
-            cls = known[at]
-            vote = np.empty(len(words), np.int64)
-            use = counts & (cls == classes)
-            sides = [(at[u], near[u], table) for near, table in ((np.append(0, cls[:-1]), follows), (np.append(cls[1:], 0), precedes)) for u in [use & (near < classes)]]
-            for low in range(0, len(words), WORDS_AT_ONCE):
-                high = min(low + WORDS_AT_ONCE, len(words))
-                sums = np.tile(prior, (high - low, 1))
-                for word, near, table in sides:
-                    own = (word >= low) & (word < high)
-                    seen = np.bincount((word[own] - low) * classes + near[own], minlength=(high - low) * classes).reshape(-1, classes)
-                    sums += seen @ table
-                    sums -= seen.sum(axis=1, keepdims=True) * (prior / 2)
-                vote[low:high] = np.where(known[low:high] < classes, known[low:high], sums.argmax(axis=1))
-            n = np.bincount(at[counts], minlength=len(words))
-            out = pa.table(
-                [pa.array(np.full(len(words), state["slice"], np.int32)), pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(vote.astype(np.int32))],
-                names=["slice", "word", "n", "vote"],
-            )
-            index.clear(), flat.clear(), counted.clear()
-            state["size"] = 0
-            return out.to_batches(max_chunksize=50_000)
+    return near.where("bucket IS NOT NULL").drop("pairs").groupBy("bucket").applyInArrow(one, "slice long, bucket int, low int, idx binary, cls binary")
 
-        for batch in batches:
-            for part, held, text in zip(*(batch.column(c).to_pylist() for c in ("slice", "held_out", "text"))):
-                if flat and (part != state["slice"] or state["size"] > 4 * SLICE_BYTES):
-                    yield from report()
-                state["slice"] = part
-                words = words_of(text)
-                state["size"] += len(text or "")
-                flat.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
-                counted.append(np.full(len(words), not held))
-        if flat:
-            yield from report()
 
-    return texts.mapInArrow(run, "slice int, word binary, n long, vote int")
+def information(pair: np.ndarray) -> float:
+    """The average mutual information of neighbouring classes, in nats."""
+    n = max(pair.sum(), 1.0)
+    return float((_xlogx(pair).sum() - _xlogx(pair.sum(axis=0)).sum() - _xlogx(pair.sum(axis=1)).sum() + _xlogx(n)) / n)
 
 
-def summed(votes: DataFrame) -> DataFrame:
-    """(slice, word, c, class, lead): every row of ``votes`` with its word's sums; one row of a word leads."""
-    word, vote = Window.partitionBy("word"), Window.partitionBy("word", "vote")
-    first = Window.partitionBy("word").orderBy("slice", "n")
-    return (
-        votes.repartition("word")
-        .withColumn("vn", F.sum("n").over(vote))
-        .withColumn("c", F.sum("n").over(word))
-        .withColumn("class", F.max(F.struct("vn", "vote")).over(word)["vote"])
-        .withColumn("lead", (F.row_number().over(first) == 1).cast("int"))
-        .select("slice", "word", "c", "class", "lead")
-    )
+def word_classes(spark: SparkSession, texts: DataFrame, words: DataFrame, keys: np.ndarray, label: np.ndarray) -> tuple[DataFrame, list[float]]:
+    """(slice, bucket, low, cls) with a class for every training word, and each round's average mutual information."""
+    classes = max(2, int(label.max()) + 1)
+    now = words.withColumn("cls", F.lit(None).cast("binary"))
+    best, found = None, []
+    for turn in range(ALL_ROUNDS + 1):
+        near = settle(spark, neighbours(texts, now, classes, keys, label), "near")
+        sums = near.where("pairs IS NOT NULL").select(F.posexplode("pairs").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        pair = np.zeros((classes + 1) ** 2)
+        pair[sums["k"].to_numpy(np.int64)] = sums["v"].to_numpy(float)
+        pair = pair.reshape(classes + 1, classes + 1)[:classes, :classes]
+        if turn:  # before, most words have no class
+            found.append(information(pair))
+            if best is None or found[-1] > max(found[:-1]):
+                best = near
+            if len(found) > 2 and found[-1] < found[-3] * (1 + SETTLED):
+                break
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the rounds before
+        now = exchanged(near, pair, turn)
+    return best.where("bucket IS NOT NULL").select("slice", "bucket", "low", "cls"), found
 
 
 def scored(texts: DataFrame, lookup: DataFrame, classes: int) -> DataFrame:
@@ -239,19 +391,22 @@ def scored(texts: DataFrame, lookup: DataFrame, classes: int) -> DataFrame:
     tokens and the words first seen here, then the class bigrams.
     """
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        index = {w: k for k, w in enumerate(right["word"])}
-        c, cls = right["c"].to_numpy(float), right["class"].to_numpy(np.int64)
+    def one(left, right):
+        import pyarrow as pa
+
+        own_class, counted = right.filter(right.column("c").is_null()).sort_by("low"), right.filter(right.column("c").is_valid()).sort_by("low")
+        c = np.frombuffer(b"".join(counted.column("c").to_pylist()), np.int64).astype(float)
+        lead = np.frombuffer(b"".join(counted.column("lead").to_pylist()), np.uint8)
+        cls = np.frombuffer(b"".join(own_class.column("cls").to_pylist()), np.uint8).astype(np.int64)
         cls = np.where(c > 0, cls, classes)  # ``classes``: unseen
         logs, emits = np.log10(c + 0.5), np.log10(np.maximum(c - 0.5, 0.5))
-        mine = (right["lead"].to_numpy() == 1) & (c > 0)
+        mine = (lead == 1) & (c > 0)
         totals = np.zeros(2 * classes + classes * (classes + 1))
         totals[:classes] = np.bincount(cls[mine], c[mine], classes)[:classes]
         totals[classes : 2 * classes] = np.bincount(cls[mine], minlength=classes)[:classes]
         bigrams = np.zeros((classes + 1) * (classes + 1), np.int64)
         rows = []
-        for doc, held, text in zip(left["doc_id"], left["held_out"], left["text"]):
-            at = np.fromiter(map(index.__getitem__, words_of(text)), np.int64)
+        for doc, held, at in zip(left.column("doc_id").to_pylist(), left.column("held_out").to_pylist(), unpacked(left.column("ids"), np.int32)):
             own = cls[at]
             pair = np.append(0, own[:-1]) * (classes + 1) + own
             kinds, times = np.unique(pair, return_counts=True)
@@ -261,10 +416,12 @@ def scored(texts: DataFrame, lookup: DataFrame, classes: int) -> DataFrame:
             rows.append((doc, held, len(at), int(known.sum()), float(logs[at].sum()), float(emits[at[known]].sum()), kinds, times, None))
         totals[2 * classes :] = bigrams.reshape(classes + 1, classes + 1)[:classes].ravel()
         rows.append((None, None, 0, 0, 0.0, 0.0, None, None, totals))
-        return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_emit", "pairs", "times", "totals"]).astype({"doc_id": "Int64", "held_out": "boolean"})
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_emit", "pairs", "times", "totals"]
+        return pa.table([pa.array(col, k) for col, k in zip(zip(*rows), kinds)], names=names)
 
-    return texts.groupBy("slice").cogroup(lookup.groupBy("slice")).applyInPandas(
-        one, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_emit double, pairs array<int>, times array<int>, totals array<double>"
+    return by_slice(texts, lookup, one,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_emit double, pairs array<int>, times array<int>, totals array<double>"
     )
 
 
@@ -290,15 +447,20 @@ def class_model(totals: np.ndarray, classes: int) -> tuple[int, int, np.ndarray]
 def score(spark: SparkSession, docs: DataFrame, held_out: Column, classes: int = CLASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)."""
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    texts = settle(spark, rows.withColumn("slice", F.spark_partition_id()), "texts")
-    train = texts.where(~F.col("held_out")).select("text")
-    core = frequent_words(train)
-    bigrams = core_bigrams(train, core)
-    label = exchange(bigrams, classes)
-    classes = max(2, int(label.max()) + 1)
-    member = np.eye(classes)[label]
-    pair = member.T @ bigrams[:-1, :-1] @ member
-    lookup = summed(word_votes(texts.select("slice", "held_out", "text"), core, label, pair))
+    both = settle(spark, numbered(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))), "texts")
+    texts = both.where("bucket IS NULL").select("slice", "doc_id", "held_out", "ids")
+    found = settle(spark, dictionary(both.where("bucket IS NOT NULL")), "words")
+    words = found.where("slice IS NOT NULL").select("slice", "bucket", "low", "idx", "c", "lead")
+    top = found.where("word IS NOT NULL").orderBy(F.desc("total"), "word").select("word", "bucket", "at").limit(CORE).collect()  # at most ``CORE``
+    keys = np.array([(r["bucket"] << 32) + r["at"] for r in sorted(top, key=lambda r: r["word"] != END)], np.int64)  # the end token first
+    if len(keys):
+        label = exchange(core_bigrams(texts, words, keys), classes)
+    else:  # no training rows
+        keys, label = np.full(1, -1, np.int64), np.zeros(1, np.int64)
+    label[0], classes = 0, max(2, int(label.max()) + 1)
+    cls, _ = word_classes(spark, texts, words, keys, label)
+    none = F.lit(None).cast("binary")
+    lookup = words.select("slice", "low", "c", "lead", none.alias("cls")).unionByName(cls.select("slice", "low", none.alias("c"), none.alias("lead"), "cls"))
     parts = settle(spark, scored(texts, lookup, classes), "parts")
     sums = parts.where("totals IS NOT NULL").select(F.posexplode("totals").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     totals = np.zeros(2 * classes + classes * (classes + 1))
