@@ -666,7 +666,7 @@ def date_round_trip(spark, sf_dir):
 @query("hex_and_base64", "SELECT doc_id, md5(hex(encode(text))) AS hex_md5, length(base64(encode(text))) AS base64_length, octet_length(encode(text)) AS bytes FROM documents")
 def hex_and_base64(spark, sf_dir):
     raw = F.encode("text", "UTF-8")
-    b64 = (F.ceil(F.octet_length("text") / 3) * 4).cast("long")
+    b64 = F.length(F.regexp_replace(F.base64(raw), "[\r\n]", "")).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.hex(raw)).alias("hex_md5"), b64.alias("base64_length"), F.octet_length("text").cast("long").alias("bytes"))
 
 

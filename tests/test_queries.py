@@ -36,3 +36,8 @@ def test_line_diff_keeps_order(spark):
     assert longest_common(["x", "y"], ["y", "x"]) == (["x"], ["x"])
     assert longest_common([], ["a"]) == ([], ["a"])
     assert registry.QUERIES["line_diff"](spark, SF).count() > 0
+
+
+def test_base64_is_encoded(spark):
+    plan = registry.QUERIES["hex_and_base64"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "base64(" in plan.lower()
