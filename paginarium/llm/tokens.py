@@ -23,6 +23,11 @@ import pyarrow.compute as pc
 TABLE_CHARS = 12_000_000
 #: Text encoded at a time, in bytes (a longer text is a slice by itself).
 SLICE_BYTES = 6_000_000
+#: Words strung together for one call of the library.
+STRUNG = 20_000
+
+#: A comma or full stop after a letter that is one in lower case too.
+MARKED = r"(?s).[^\PLİ][,.]$"
 
 #: Words to all their ids one after another, and how many each word has.
 Backend = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
@@ -88,9 +93,11 @@ class WordEncoder:
         known, new = self.index, self.index.new
         if not new:
             return
-        is_marked = lambda w: w[-1:] in (",", ".") and len(w) > 2 and w[-2].isalpha() and w[-2].lower().isalpha()
-        marked = [w for w in new if is_marked(w)]
+        column = pa.array(new, pa.string())
+        marked = column.filter(pc.match_substring_regex(column, MARKED)).to_pylist()
         stems = np.fromiter((known[w[:-1]] for w in marked), np.int64, len(marked))  # new stems join the list
+        if len(new) > len(column):
+            column = pa.array(new, pa.string())
         known.new, base = [], self.lengths.n
         self.chars += sum(map(len, new))
         at = np.fromiter(map(known.__getitem__, marked), np.int64, len(marked)) - base
@@ -113,7 +120,9 @@ class WordEncoder:
             ids[pieces(begin + own, more)] = marks[pieces((np.cumsum(size) - size)[which], more)]
             self.starts.data[base + at], self.lengths.data[base + at] = begin + self.pool.n, total
             self.pool.add(ids)
-        self.odd.add(np.fromiter((w == "" or (w[0] != " " and w[0].isspace()) for w in new), np.int32, len(new)))
+        head = pc.utf8_slice_codeunits(column, 0, 1)
+        odd = pc.or_(pc.equal(head, ""), pc.and_(pc.utf8_is_space(head), pc.not_equal(head, " ")))
+        self.odd.add(odd.to_numpy(zero_copy_only=False).astype(np.int32))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has. No text is null."""
@@ -155,6 +164,48 @@ class WordEncoder:
             at = end
 
 
+def strung(tokenizer, apart: Backend) -> Backend:
+    """Words of a byte-level vocabulary encoded as long strings, cut again by the tokens' bytes.
+
+    Only words that start with one space and go on with another character than white
+    space are strung together, where each begins a pre-token; ``apart`` encodes the others.
+    """
+    width = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
+        width[k] = len(token)  # one character of a byte-level token stands for one byte
+    for k, token in tokenizer.get_added_tokens_decoder().items():
+        width[k] = len(token.content.encode())
+
+    def run(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        column = pa.array(words, pa.string())
+        second = pc.utf8_slice_codeunits(column, 1, 2)
+        is_fit = pc.and_(pc.starts_with(column, " "), pc.and_(pc.not_equal(second, ""), pc.invert(pc.utf8_is_space(second))))
+        fit = is_fit.to_numpy(zero_copy_only=False)
+        plain, lengths = column.filter(is_fit).to_pylist(), pc.binary_length(column).to_numpy(zero_copy_only=False)[fit].astype(np.int64)
+        other_ids, other_sizes = apart(column.filter(pc.invert(is_fit)).to_pylist())
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(plain), STRUNG):
+            part = plain[at : at + STRUNG]
+            found = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(lengths[at : at + STRUNG])
+            own = np.cumsum(width[found])
+            last = np.searchsorted(own, ends)  # of each word, its last token
+            if (own[last] != ends).any():
+                raise ValueError("a token reaches across two words")
+            ids.append(found), sizes.append(np.diff(last + 1, prepend=0))
+        if not len(other_sizes):
+            return np.concatenate(ids), np.concatenate(sizes)
+        total = np.zeros(len(words), np.int64)
+        total[fit], total[~fit] = np.concatenate(sizes), other_sizes
+        begin = np.cumsum(total) - total
+        out = np.zeros(int(total.sum()), np.int32)
+        out[pieces(begin[fit], total[fit])] = np.concatenate(ids)
+        out[pieces(begin[~fit], total[~fit])] = other_ids
+        return out, total
+
+    return run
+
+
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
@@ -168,7 +219,7 @@ def library_encoder(path: str, spaced: bool) -> WordEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def backend(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        def apart(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
             ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for at in range(0, len(words), 20_000):
                 part = list(words[at : at + 20_000])
@@ -177,5 +228,5 @@ def library_encoder(path: str, spaced: bool) -> WordEncoder:
                 sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)).astype(np.int32))
             return np.concatenate(ids), np.concatenate(sizes)
 
-        _ENCODERS[path, spaced] = WordEncoder(backend, spaced)
+        _ENCODERS[path, spaced] = WordEncoder(strung(tokenizer, apart) if spaced else apart, spaced)
     return _ENCODERS[path, spaced]
