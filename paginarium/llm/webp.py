@@ -1,18 +1,21 @@
 """Lossless WebP (VP8L) columns: bytes stored as grey images, decoded to pixel arrays.
 
-``decode`` reads any lossless WebP file: prefix codes (simple and normal), length and
-distance codes, colour cache, meta prefix codes, and the inverse predictor,
-cross-colour, subtract-green and colour-indexing transforms. ``decode_plain`` reads
-many files at once when none of them needs a cache or meta codes: all files advance by
-one symbol per numpy step.
+``decode_all`` reads any lossless WebP files side by side: prefix codes (simple and
+normal), length and distance codes, colour cache, meta prefix codes, and the inverse
+predictor, cross-colour, subtract-green and colour-indexing transforms. All files
+advance by one symbol per numpy step, whatever their transforms.
 
 ``encode_grey`` writes files: samples lie in the green channel under the
-subtract-green transform (so pixels are grey), runs become back-references, one
-prefix code of at most ``LONGEST`` bits per file.
+subtract-green transform (so pixels are grey), before it a palette of up to sixteen
+values or a predictor where that needs fewer bits; runs become back-references, one
+prefix code of at most ``LONGEST`` bits per file. A colour cache never pays for grey
+pixels, whose literals are one symbol, so the writer leaves it out.
 
 Defined cases: a null text is empty and gives one row of 576 bytes 255; texts above
-one file's height are stored as several files one after another; equal texts give
-equal files; other columns are not read.
+one file's height are stored as several files one after another, coded and decoded a
+few at a time however long the text; equal texts give equal files; rows with a null or
+repeated doc_id are rows like others; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ from paginarium.llm.common import settle
 
 ROW = 576
 #: Rows of one file; longer payloads are several files, which decode side by side.
-TALLEST = 32
+TALLEST = 8
 LONGEST = 12
 RUN = 16
-#: Payload bytes coded together in a task.
-AT_ONCE = 12_000_000
+#: Payload bytes coded together in a task, and rows of a batch taken at a time.
+AT_ONCE, ROWS_AT_ONCE = 2_000_000, 2000
 
 # Fixed values of the format: order of the lengths of the code length code, and the
 # (x, y) offsets that the first 120 distance codes stand for.
@@ -69,13 +72,14 @@ def reversed_bits(width: int) -> np.ndarray:
 
 
 class Code:
-    """A canonical prefix code as one table: index by the next ``width`` bits."""
+    """A canonical prefix code as one table: index by the next ``width`` bits. Entries: symbol | length << 12."""
 
     def __init__(self, lengths: Sequence[int]):
         lengths = np.asarray(lengths, np.int64)
         used = np.flatnonzero(lengths)
         if len(used) <= 1:
             self.width, self.symbol, self.length = 0, np.array([int(used[0]) if len(used) else 0]), np.array([0])
+            self.entries = self.symbol.astype(np.int32)
             return
         used = used[np.argsort(lengths[used], kind="stable")]
         self.width = int(lengths[used[-1]])
@@ -84,6 +88,7 @@ class Code:
             raise ValueError("not a complete prefix code")
         back = reversed_bits(self.width)
         self.symbol, self.length = np.repeat(used, spread)[back], np.repeat(lengths[used], spread)[back]
+        self.entries = (self.symbol | self.length << 12).astype(np.int32)
 
 
 class Bits:
@@ -107,9 +112,9 @@ class Bits:
         return out
 
     def symbol(self, code: Code) -> int:
-        k = self.peek(code.width)
-        self.at += int(code.length[k])
-        return int(code.symbol[k])
+        entry = int(code.entries[self.peek(code.width)])
+        self.at += entry >> 12
+        return entry & 4095
 
 
 @lru_cache(maxsize=256)
@@ -130,10 +135,12 @@ def read_code(bits: Bits, size: int) -> Code:
         of_lengths[LENGTH_ORDER[k]] = bits.read(3)
     code = _kept_code(np.array(of_lengths, np.int64).tobytes())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    at, last, entries = 0, 8, code.entries.tolist()
     while at < size and left:
         left -= 1
-        s = bits.symbol(code)
+        entry = entries[bits.peek(code.width)]
+        bits.at += entry >> 12
+        s = entry & 4095
         if s < 16:
             lengths[at] = s
             at += 1
@@ -147,14 +154,6 @@ def read_code(bits: Bits, size: int) -> Code:
     return Code(lengths)
 
 
-def prefixed(bits: Bits, s: int) -> int:
-    """The value of a length or distance prefix."""
-    if s < 4:
-        return s + 1
-    extra = (s - 2) >> 1
-    return ((2 + (s & 1)) << extra) + bits.read(extra) + 1
-
-
 def far(code: int, width: int) -> int:
     if code > 120:
         return code - 120
@@ -162,41 +161,131 @@ def far(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image as a flat array of ARGB numbers."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    groups_of, shift = None, 0
-    if main and bits.read(1):
-        shift = bits.read(3) + 2
-        across, down = (width + (1 << shift) - 1) >> shift, (height + (1 << shift) - 1) >> shift
-        groups_of = read_image(bits, across, down, False) >> 8 & 0xFFFF
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[read_code(bits, n) for n in sizes] for _ in range(1 + (int(groups_of.max()) if groups_of is not None else 0))]
-    out, n, at = [0] * (width * height), width * height, 0
-    cache, cached = [0] * (1 << cache_bits), 0
-
-    while at < n:
-        group = groups[0] if groups_of is None else groups[groups_of[(at // width >> shift) * across + (at % width >> shift)]]
-        s = bits.symbol(group[0])
-        if s < 256:
-            red, blue, alpha = (bits.symbol(group[k]) for k in (1, 2, 3))
-            out[at] = alpha << 24 | red << 16 | s << 8 | blue
-            at += 1
-        elif s < 280:
-            length = prefixed(bits, s - 256)
-            distance = far(prefixed(bits, bits.symbol(group[4])), width)
-            if distance > at or at + length > n:
-                raise ValueError("a reference leaves the image")
-            for k in range(at, at + length):
-                out[k] = out[k - distance]
-            at += length
+class Coded:
+    """What precedes the symbols of an entropy-coded image: cache size, groups of codes, and which block uses which."""
+
+    def __init__(self, bits: Bits, width: int, height: int, main: bool):
+        self.width, self.height = width, height
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        self.groups_of, self.shift, self.across = None, 0, 0
+        if main and bits.read(1):
+            self.shift = bits.read(3) + 2
+            self.across = (width + (1 << self.shift) - 1) >> self.shift
+            self.groups_of = read_image(bits, self.across, (height + (1 << self.shift) - 1) >> self.shift) >> 8 & 0xFFFF
+        sizes = (280 + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, 40)
+        self.groups = [[read_code(bits, n) for n in sizes] for _ in range(1 + (int(self.groups_of.max()) if self.groups_of is not None else 0))]
+
+
+def read_image(bits: Bits, width: int, height: int) -> np.ndarray:
+    """The small entropy-coded image of a transform or of block numbers, as a flat array of ARGB numbers."""
+    head = Coded(bits, width, height, False)
+    (pixels,), (bits.at,) = read_symbols([(bits.raw, bits.at, head)])
+    return pixels
+
+
+def _hashed(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (0x1E35A7BD * pixels & 0xFFFFFFFF) >> (32 - cache_bits)
+
+
+def read_symbols(parts: Sequence[tuple[bytes, int, Coded]]) -> tuple[list[np.ndarray], list[int]]:
+    """The pixels of images given as (data, position of the first symbol, head), and where each ends.
+
+    All images advance together, one symbol of each per numpy step; references and
+    cached colours are resolved image by image.
+    """
+    raw = b"".join(data + b"\0" * 8 for data, _, _ in parts) + b"\0" * 8
+    window = np.ndarray((len(raw) - 8,), "<i8", raw, 0, (1,))  # the eight bytes from every byte on
+    sizes = np.array([len(data) + 8 for data, _, _ in parts])
+    origin = 8 * (np.cumsum(sizes) - sizes)
+    limit = origin + 8 * sizes
+    pos = origin + np.array([at for _, at, _ in parts])
+    heads = [h for _, _, h in parts]
+    groups = [g for h in heads for g in h.groups]
+    group = np.cumsum([0] + [len(h.groups) for h in heads[:-1]])
+    codes = [[g[c] for g in groups] for c in range(4)]
+    table, rows, mask = [], [], []
+    for own in codes:
+        table.append(np.concatenate([c.entries for c in own]))
+        entries = np.array([len(c.entries) for c in own])
+        rows.append(np.cumsum(entries) - entries), mask.append(entries - 1)
+    far_codes = [g[4] for g in groups]
+    # the red, blue and alpha of groups whose codes have one symbol each; -1 where they must be read
+    fixed = np.array([int(r.symbol[0]) << 16 | int(b.symbol[0]) | int(a.symbol[0]) << 24 if not r.width + b.width + a.width else -1 for _, r, b, a, _ in groups])
+    blocked = [h.groups_of is not None for h in heads]
+    any_blocked, any_read = any(blocked), bool((fixed < 0).any())
+    total = np.array([h.width * h.height for h in heads])
+    ends = np.cumsum(total)
+    first = ends - total
+    pixels = np.zeros(int(total.sum()), np.int64)
+    lane, to, end = np.arange(len(heads)), first.copy(), ends.copy()
+    own_fixed, own_row, own_mask = fixed[group], rows[0][group], mask[0][group]
+    caches: dict[int, list] = {}
+
+    def number(k: int, s: int) -> int:
+        """The value of a length or distance prefix, its extra bits read at lane k."""
+        if s < 4:
+            return s + 1
+        extra, at = (s - 2) >> 1, int(pos[k])
+        pos[k] += extra
+        return ((2 + (s & 1)) << extra) + (int(window[at >> 3]) >> (at & 7) & ((1 << extra) - 1)) + 1
+
+    steps = int((end - to).min())  # until an image can end, unless a reference ends one before
+    while len(to):
+        if any_blocked:
+            now = group.copy()
+            for k in np.flatnonzero([blocked[j] for j in lane]):
+                h, at = heads[lane[k]], int(to[k] - first[lane[k]])
+                now[k] += h.groups_of[(at // h.width >> h.shift) * h.across + (at % h.width >> h.shift)]
+            own_fixed, own_row, own_mask = fixed[now], rows[0][now], mask[0][now]
         else:
-            while cached < at:
-                cache[(0x1E35A7BD * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
-                cached += 1
-            out[at] = cache[s - 280]
-            at += 1
-    return np.array(out, np.int64)
+            now = group
+        found = table[0][own_row + (window[pos >> 3] >> (pos & 7) & own_mask)]
+        pos += found >> 12
+        symbol = found & 4095
+        if any_read:
+            value = np.where(own_fixed < 0, 0, own_fixed) | symbol << 8
+            k = np.flatnonzero((own_fixed < 0) & (symbol < 256))
+            for c, up in ((1, 16), (2, 0), (3, 24)):
+                more = table[c][rows[c][now[k]] + (window[pos[k] >> 3] >> (pos[k] & 7) & mask[c][now[k]])]
+                pos[k] += more >> 12
+                value[k] |= (more & 4095).astype(np.int64) << up
+            pixels[to] = value
+        else:
+            pixels[to] = own_fixed | symbol << 8  # overwritten where the symbol is no literal
+        to += 1
+        steps -= 1
+        for k in (found & 3840).nonzero()[0]:
+            s, here, begin, h = int(symbol[k]), int(to[k]) - 1, int(first[lane[k]]), heads[lane[k]]
+            if s < 280:
+                length = number(k, s - 256)
+                code = far_codes[now[k]]
+                at = int(pos[k])
+                entry = int(code.entries[int(window[at >> 3]) >> (at & 7) & (len(code.entries) - 1)])
+                pos[k] += entry >> 12
+                distance = far(number(k, entry & 4095), h.width)
+                if distance > here - begin or here + length > end[k]:
+                    raise ValueError("a reference leaves the image")
+                if distance >= length:
+                    pixels[here : here + length] = pixels[here - distance : here - distance + length]
+                else:
+                    pixels[here : here + length] = np.resize(pixels[here - distance : here], length)
+                to[k] += length - 1
+                steps = min(steps, int(end[k] - to[k]))
+            else:
+                cache, upto = caches.setdefault(int(lane[k]), [np.zeros(1 << h.cache_bits, np.int64), begin])
+                recent = pixels[upto:here]
+                cache[_hashed(recent, h.cache_bits)] = recent  # of pixels with one place, the last stays
+                caches[int(lane[k])][1] = here
+                pixels[here] = cache[s - 280]
+        if steps <= 0:
+            going = to < end
+            gone = ~going
+            sizes[lane[gone]] = pos[gone]  # from here on: where the image ended
+            pos, lane, to, end, group, own_fixed, own_row, own_mask = (x[going] for x in (pos, lane, to, end, group, own_fixed, own_row, own_mask))
+            steps = int((end - to).min()) if len(to) else 0
+    if (sizes > limit).any():
+        raise ValueError("an image ends early")
+    return [pixels[a:b] for a, b in zip(first, ends)], (sizes - origin).tolist()
 
 
 def channels(image: np.ndarray) -> np.ndarray:
@@ -243,21 +332,30 @@ def predicted(mode: int, left: list[int], top: list[int], top_left: list[int], t
 
 
 def undo_predictor(image: np.ndarray, width: int, height: int, modes: np.ndarray, shift: int) -> np.ndarray:
-    px = channels(image).tolist()
+    """Row by row; a row whose blocks agree in a mode without the pixel to the left is one step, the others go by pixel."""
+    px = channels(image).reshape(height, width, 4)
     across = (width + (1 << shift) - 1) >> shift
-    for at in range(width * height):
-        y, x = divmod(at, width)
-        if not at:
-            guess = [255, 0, 0, 0]
-        elif not y:
-            guess = px[at - 1]
-        elif not x:
-            guess = px[at - width]
+    of_block = (modes >> 8 & 15).reshape(-1, across)
+    px[0, 0, 0] += 255
+    px[0] = np.cumsum(px[0], axis=0) & 255
+    for y in range(1, height):
+        row, top = px[y], px[y - 1]
+        row[0] = (row[0] + top[0]) & 255
+        own = of_block[y >> shift]
+        mode = int(own[0]) if (own == own[0]).all() else -1
+        if mode == 1:
+            px[y] = np.cumsum(row, axis=0) & 255
+        elif mode in (0, 2, 3, 4, 8, 9) or mode > 13:
+            right = np.append(top[1:], row[:1], axis=0)
+            guess = {2: top, 3: right, 4: np.roll(top, 1, axis=0), 8: (np.roll(top, 1, axis=0) + top) >> 1, 9: (top + right) >> 1}.get(mode, np.array([255, 0, 0, 0]))
+            px[y, 1:] = (row + guess)[1:] & 255
         else:
-            mode = int(modes[(y >> shift) * across + (x >> shift)]) >> 8 & 15
-            guess = predicted(mode, px[at - 1], px[at - width], px[at - width - 1], px[at - width + 1])
-        px[at] = [(a + b) & 255 for a, b in zip(px[at], guess)]
-    return joined(np.array(px, np.int64))
+            done, above, first = row.tolist(), top.tolist(), row[0].tolist()
+            for x in range(1, width):
+                guess = predicted(int(own[x >> shift]), done[x - 1], above[x], above[x - 1], above[x + 1] if x + 1 < width else first)
+                done[x] = [(a + b) & 255 for a, b in zip(done[x], guess)]
+            px[y] = done
+    return joined(px.reshape(-1, 4))
 
 
 def undo_cross_colour(image: np.ndarray, width: int, height: int, elements: np.ndarray, shift: int) -> np.ndarray:
@@ -274,10 +372,8 @@ def undo_cross_colour(image: np.ndarray, width: int, height: int, elements: np.n
 
 
 def undo_subtract_green(image: np.ndarray) -> np.ndarray:
-    px = channels(image)
-    px[:, 1] += px[:, 2]
-    px[:, 3] += px[:, 2]
-    return joined(px)
+    green = image >> 8 & 255
+    return (image & 0xFF00FF00) | ((image & 0xFF00FF) + green * 0x10001) & 0xFF00FF
 
 
 def undo_palette(image: np.ndarray, width: int, height: int, table: np.ndarray, shift: int) -> np.ndarray:
@@ -302,8 +398,8 @@ def chunk_of(file: bytes) -> bytes:
     raise ValueError("no lossless image in the file")
 
 
-def decode(file: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, ARGB numbers row by row) of a lossless WebP file."""
+def head_of(file: bytes):
+    """(data, position of the main image's symbols, its head, width, height, inverse transforms in reading order)."""
     data = chunk_of(file)
     if data[:1] != b"\x2f":
         raise ValueError("no lossless signature")
@@ -317,20 +413,36 @@ def decode(file: bytes) -> tuple[int, int, np.ndarray]:
         kind = bits.read(2)
         if kind in (0, 1):
             shift = bits.read(3) + 2
-            block = read_image(bits, (coded + (1 << shift) - 1) >> shift, (height + (1 << shift) - 1) >> shift, False)
+            block = read_image(bits, (coded + (1 << shift) - 1) >> shift, (height + (1 << shift) - 1) >> shift)
             undo.append((undo_predictor if kind == 0 else undo_cross_colour, (coded, height, block, shift)))
         elif kind == 2:
             undo.append((undo_subtract_green, ()))
         else:
             n = bits.read(8) + 1
-            table = joined(np.cumsum(channels(read_image(bits, n, 1, False)), axis=0))
+            table = joined(np.cumsum(channels(read_image(bits, n, 1)), axis=0))
             shift = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((undo_palette, (coded, height, table, shift)))
             coded = (coded + (1 << shift) - 1) >> shift
-    image = read_image(bits, coded, height, True)
-    for f, args in reversed(undo):
-        image = f(image, *args)
-    return width, height, image
+    head = Coded(bits, coded, height, True)
+    return bits.raw, bits.at, head, width, height, undo
+
+
+def decode_all(files: Sequence[bytes]) -> list[tuple[int, int, np.ndarray]]:
+    """(width, height, ARGB numbers row by row) of lossless WebP files, decoded side by side."""
+    if not files:
+        return []
+    heads = [head_of(f) for f in files]
+    images, _ = read_symbols([h[:3] for h in heads])
+    out = []
+    for (_, _, _, width, height, undo), image in zip(heads, images):
+        for f, args in reversed(undo):
+            image = f(image, *args)
+        out.append((width, height, image))
+    return out
+
+
+def decode(file: bytes) -> tuple[int, int, np.ndarray]:
+    return decode_all([file])[0]
 
 
 def prefix_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -382,8 +494,7 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
 
 def run_tokens(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, extra bits, how many): bytes, with runs as references to the byte before."""
-    edges = np.flatnonzero(np.diff(payload)) + 1
-    starts = np.append(0, edges)
+    starts = np.append(0, np.flatnonzero(payload[1:] != payload[:-1]) + 1)
     lengths = np.diff(np.append(starts, len(payload)))
     long = np.flatnonzero(lengths >= RUN)
     if not len(long):
@@ -411,49 +522,142 @@ def run_tokens(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def header_tokens(height: int, lengths: np.ndarray) -> list[tuple[int, int]]:
-    """(value, bits) of all that precedes the symbols of a grey image."""
-    out = [(0x2F, 8), (ROW - 1, 14), (height - 1, 14), (0, 1), (0, 3)]
-    out += [(1, 1), (2, 2), (0, 1)]  # subtract green, no further transform
-    out += [(0, 1), (0, 1)]  # no cache, one group of codes
+def code_tokens(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(value, bits) of a prefix code: simple where it has one or two small symbols, else normal."""
     used = np.flatnonzero(lengths)
-    if len(used) == 1 and used[0] < 256:
-        out += [(1, 1), (0, 1), (1, 1), (int(used[0]), 8)]
-    elif len(used) == 2 and used[1] < 256:
-        out += [(1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8)]
-    else:
-        # sixteen symbols of four bits: the lengths 0 to 12 and the three repeats
-        out += [(0, 1), (15, 4)] + [(4 if k <= 12 or k >= 16 else 0, 3) for k in LENGTH_ORDER]
-        out.append((0, 1))
-        word = {s: int(c) for s, c in enumerate(code_words(np.array([4] * 13 + [0] * 3 + [4] * 3)))}
-        row, at = lengths.tolist(), 0
-        while at < len(row):
-            end = at
-            while end < len(row) and row[end] == 0:
-                end += 1
-            zeros = min(end - at, 138)
+    if len(used) <= 1 and used.sum() < 256:
+        return [(1, 1), (0, 1), (1, 1), (int(used.sum()), 8)]
+    if len(used) == 2 and used[1] < 256:
+        return [(1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8)]
+    # sixteen symbols of four bits: the lengths 0 to 12 and the three repeats
+    out = [(0, 1), (15, 4)] + [(4 if k <= 12 or k >= 16 else 0, 3) for k in LENGTH_ORDER]
+    out.append((0, 1))
+    word = _length_words()
+    gaps = np.diff(np.append(used, len(lengths)), prepend=-1) - 1
+    for gap, n in zip(gaps.tolist(), [*lengths[used].tolist(), None]):
+        while gap:
+            zeros = min(gap, 138)
             if zeros >= 11:
                 out += [(word[18], 4), (zeros - 11, 7)]
             elif zeros >= 3:
                 out += [(word[17], 4), (zeros - 3, 3)]
             else:
-                out.append((word[row[at]], 4))
+                out.append((word[0], 4))
                 zeros = 1
-            at += zeros
-    out += [(1, 1), (0, 1), (1, 1), (0, 8)] * 2 + [(1, 1), (0, 1), (1, 1), (255, 8)]  # red, blue: 0; alpha: 255
-    return out + [(1, 1), (0, 1), (0, 1), (1, 1)]  # distance symbol 1: one pixel to the left
+            gap -= zeros
+        if n is not None:
+            out.append((word[n], 4))
+    return out
+
+
+@lru_cache(maxsize=1)
+def _length_words() -> list[int]:
+    return code_words(np.array([4] * 13 + [0] * 3 + [4] * 3)).tolist()
+
+
+def only(symbol: int) -> list[tuple[int, int]]:
+    """A code whose one symbol takes no bits."""
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def palette_tokens(values: np.ndarray) -> list[tuple[int, int]]:
+    """The colour-indexing transform: grey values as opaque greens, each coded as the step from the last."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    lengths = prefix_lengths(np.bincount(steps, minlength=280))
+    words, single = code_words(lengths), np.count_nonzero(lengths) == 1
+    out = [(1, 1), (3, 2), (len(values) - 1, 8), (0, 1)] + code_tokens(lengths) + only(0) * 2
+    out += [(1, 1), (1, 1), (0, 1), (0, 1), (255, 8)] if len(values) > 1 else only(255)  # alpha: 255, then steps of 0
+    out += only(0)
+    for k, s in enumerate(steps.tolist()):
+        if not single:
+            out.append((int(words[s]), int(lengths[s])))
+        if len(values) > 1:
+            out.append((0 if k else 1, 1))
+    return out
+
+
+def predictor_tokens(mode: int, height: int) -> list[tuple[int, int]]:
+    """The predictor transform with one mode for all blocks (of 512 pixels a side)."""
+    return [(1, 1), (0, 2), (7, 3), (0, 1)] + only(mode) + only(0) * 2 + only(255) + only(0)
+
+
+def residuals(rows: np.ndarray, is_first: np.ndarray, mode: int) -> np.ndarray:
+    """What the predictor leaves of grey rows: left (1), top (2) or the mean of top left and top (8).
+
+    ``is_first``: a file's first rows, which are predicted from the left; the first
+    column is predicted from above.
+    """
+    out = rows.copy()
+    later = np.flatnonzero(~is_first)
+    out[:, 1:] -= rows[:, :-1]
+    out[later, 0] -= rows[later - 1, 0]
+    if mode != 1:
+        top = rows[later - 1]
+        guess = top[:, 1:] if mode == 2 else ((top[:, :-1].astype(np.uint16) + top[:, 1:]) >> 1).astype(np.uint8)
+        out[later, 1:] = rows[later, 1:] - guess
+    return out
+
+
+def bits_needed(values: np.ndarray, file: np.ndarray, n_files: int) -> np.ndarray:
+    """Per file the entropy of its values' own distribution, in bits for all of them; runs count once."""
+    new = np.append(True, (values[1:] != values[:-1]) | (file[1:] != file[:-1]))
+    counts = np.bincount(file[new] * 256 + values[new], minlength=256 * n_files).reshape(n_files, 256)
+    n = counts.sum(axis=1)
+    log = lambda x: x * np.log2(np.maximum(x, 1))
+    return log(n) - log(counts).sum(axis=1) + 6 * np.count_nonzero(counts, axis=1)
+
+
+def transformed(payloads: list[np.ndarray]):
+    """Per file (header bits of the transforms, bytes of the green channel to code, alpha), in the form that needs fewest bits.
+
+    Candidates: the samples as they are, an index into at most sixteen values with
+    two to eight samples a pixel, and what a predictor leaves. All are followed by
+    the subtract-green transform, which makes the pixels grey.
+    """
+    n, green = len(payloads), [(1, 1), (2, 2)]
+    flat = np.concatenate(payloads)
+    sizes = np.array([len(p) for p in payloads])
+    first = np.cumsum(sizes) - sizes
+    file = np.repeat(np.arange(n), sizes)
+    rows, is_first = flat.reshape(-1, ROW), np.zeros(len(flat) // ROW, bool)
+    is_first[first // ROW] = True
+    modes = (1, 2, 8)
+    rests = [residuals(rows, is_first, m).ravel() for m in modes]
+    costs = np.stack([bits_needed(flat, file, n)] + [bits_needed(r, file, n) + 60 for r in rests])
+    kinds = np.bincount(file * 256 + flat, minlength=256 * n).reshape(n, 256) > 0
+    few = kinds.sum(axis=1) <= 16
+    choice, least = costs.argmin(axis=0), costs.min(axis=0)
+    for k in range(n):
+        own = slice(first[k], first[k] + sizes[k])
+        if few[k]:
+            values = np.flatnonzero(kinds[k])
+            shift = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+            per, bits = 1 << shift, 8 >> shift
+            index = np.searchsorted(values, payloads[k]).reshape(-1, per)  # ROW is a multiple of eight
+            bundled = (index << (np.arange(per) * bits)).sum(axis=1).astype(np.uint8)
+            if bits_needed(bundled, np.zeros(len(bundled), np.int64), 1)[0] + 12 * len(values) < least[k]:
+                yield green + palette_tokens(values), bundled, 255
+                continue
+        if choice[k]:
+            yield predictor_tokens(modes[choice[k] - 1], len(payloads[k]) // ROW) + green, rests[choice[k] - 1][own], 0
+        else:
+            yield green, payloads[k], 255
 
 
 def encode_grey(payloads: list[np.ndarray]) -> list[bytes]:
     """One file for each payload (a multiple of ROW bytes, at most ROW * TALLEST)."""
     values, widths, counts = [], [], []
-    for payload in payloads:
-        symbols, extra, n_extra = run_tokens(payload)
+    for payload, (tokens, green, alpha) in zip(payloads, transformed(payloads)):
+        symbols, extra, n_extra = run_tokens(green)
         lengths = prefix_lengths(np.bincount(symbols, minlength=280))
         words = code_words(lengths)
         single = np.count_nonzero(lengths) == 1
         n_code = np.zeros_like(symbols) if single else lengths[symbols]
-        head = np.array(header_tokens(len(payload) // ROW, lengths), np.int64)
+        head = [(0x2F, 8), (ROW - 1, 14), (len(payload) // ROW - 1, 14), (0, 1), (0, 3), *tokens, (0, 1)]
+        head += [(0, 1), (0, 1)]  # no cache (a grey literal is one symbol as it is), one group of codes
+        head += code_tokens(lengths) + only(0) * 2 + only(alpha)
+        head += [(1, 1), (0, 1), (0, 1), (1, 1)]  # distance symbol 1: one pixel to the left
+        head = np.array(head, np.int64)
         # a symbol's code and its extra bits (at most 12 + 10) go out as one number
         values.append(np.append(head[:, 0], words[symbols] | extra << n_code))
         widths.append(np.append(head[:, 1], n_code + n_extra))
@@ -479,67 +683,15 @@ def encode_grey(payloads: list[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _plain_header(file: bytes):
-    """(data, bit position of the symbols, height, green code) if a file is as encode_grey writes it."""
-    data = chunk_of(file)
-    bits = Bits(data, 1)
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    if width != ROW or bits.read(4) or bits.read(3) != 5 or bits.read(3):
-        return None
-    codes = [read_code(bits, n) for n in (280, 256, 256, 256, 40)]
-    constant = [int(c.symbol[0]) for c in codes[1:] if c.width == 0]
-    return (data, bits.at + 8, height, codes[0]) if constant == [0, 0, 255, 1] else None
-
-
-def decode_grey(files: list[bytes]) -> list[np.ndarray]:
-    """The samples of each file; files that aren't plain grey ones are read one by one."""
-    out: list = [None] * len(files)
-    lanes = []
-    for k, file in enumerate(files):
-        plain = _plain_header(file)
-        if plain is None:
-            out[k] = (decode(file)[2] >> 8 & 255).astype(np.uint8)
-        else:
-            lanes.append((k, *plain))
-    lanes.sort(key=lambda x: -x[3])
-    if not lanes:
-        return out
-    raw = b"".join(x[1] + b"\0" * 8 for x in lanes) + b"\0" * 8
-    window = np.ndarray((len(raw) - 8,), "<i8", raw, 0, (1,))  # the eight bytes from every byte on
-    sizes = np.array([len(x[1]) + 8 for x in lanes])
-    pos = 8 * (np.cumsum(sizes) - sizes) + np.array([x[2] for x in lanes])
-    table = np.concatenate([x[4].symbol | x[4].length << 9 for x in lanes])
-    entries = np.array([len(x[4].symbol) for x in lanes])
-    rows, mask = np.cumsum(entries) - entries, entries - 1
-    total = np.array([x[3] * ROW for x in lanes])
-    ends = np.cumsum(total)
-    first = ends - total
-    samples = np.zeros(int(total.sum()), np.uint8)
-    to, end, begin = first.copy(), ends.copy(), first  # of the files still at work
-    while len(to):
-        found = table[rows + (window[pos >> 3] >> (pos & 7) & mask)]
-        pos += found >> 9
-        samples[to] = found & 255  # overwritten where the symbol is a length
-        to += 1
-        refs = found & 256
-        if refs.any():
-            for k in np.flatnonzero(refs):
-                s, at = int(found[k]) & 255, int(pos[k])
-                extra = max(0, (s - 2) >> 1)
-                more = int(window[at >> 3]) >> (at & 7) & ((1 << extra) - 1)
-                length = s + 1 if s < 4 else ((2 + (s & 1)) << extra) + more + 1
-                pos[k] += extra
-                here = int(to[k]) - 1
-                if here == begin[k] or here + length > end[k]:
-                    raise ValueError("a reference leaves the image")
-                samples[here : here + length] = samples[here - 1]
-                to[k] += length - 1
-        going = to < end
-        if not going.all():
-            pos, rows, mask, to, end, begin = (x[going] for x in (pos, rows, mask, to, end, begin))
-    for j, x in enumerate(lanes):
-        out[x[0]] = samples[first[j] : ends[j]]
-    return out
+def decode_grey(files: Sequence[bytes]) -> list[np.ndarray]:
+    """The samples of grey images."""
+    return [(px >> 8 & 255).astype(np.uint8) for _, _, px in decode_all(files)]
+
+
+def samples_in(file: bytes) -> int:
+    """Width times height, from the first bytes of a simple file."""
+    size = int.from_bytes(file[21:25], "little")
+    return ((size & 0x3FFF) + 1) * ((size >> 14 & 0x3FFF) + 1)
 
 
 def files_in(media: bytes) -> list[bytes]:
@@ -557,67 +709,90 @@ def payload_of(text: str | None) -> tuple[int, np.ndarray]:
     return len(raw), np.frombuffer(padded, np.uint8)
 
 
+def parts_of(payload: np.ndarray) -> list[np.ndarray]:
+    return [payload[at : at + ROW * TALLEST] for at in range(0, len(payload), ROW * TALLEST)]
+
+
+def together(parts: list[tuple[int, int]]):
+    """(from, to) of consecutive parts of about ``AT_ONCE`` bytes; ``parts``: (row, bytes)."""
+    begin = size = 0
+    for k, (_, n) in enumerate(parts):
+        if size and size + n > AT_ONCE:
+            yield begin, k
+            begin, size = k, 0
+        size += n
+    if size:
+        yield begin, len(parts)
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text as one or more files."""
 
     def run(batches):
         import pyarrow as pa
 
-        def flush(held):
-            pieces = [(k, p[at : at + ROW * TALLEST]) for k, (_, _, p) in enumerate(held) for at in range(0, len(p), ROW * TALLEST)]
-            media: list[list[bytes]] = [[] for _ in held]
-            for (k, _), file in zip(pieces, encode_grey([p for _, p in pieces])):
-                media[k].append(file)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([b"".join(m) for m in media], pa.binary())],
-                names=["doc_id", "n_bytes", "media"],
-            )
-
-        held, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((doc, *payload_of(text)))
-                size += len(held[-1][2])
-                if size >= AT_ONCE:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+            for low in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.slice(low, ROWS_AT_ONCE)
+                payloads = [payload_of(t) for t in some.column(1).to_pylist()]
+                parts = [(k, part) for k, (_, p) in enumerate(payloads) for part in parts_of(p)]
+                media: list[list[bytes]] = [[] for _ in payloads]
+                for begin, end in together([(k, len(p)) for k, p in parts]):
+                    for (k, _), file in zip(parts[begin:end], encode_grey([p for _, p in parts[begin:end]])):
+                        media[k].append(file)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).cast(pa.int64()), pa.array([n for n, _ in payloads], pa.int64()), pa.array([b"".join(m) for m in media], pa.binary())],
+                    names=["doc_id", "n_bytes", "media"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+class Summary:
+    """Digests and statistics of samples that come part by part."""
+
+    def __init__(self):
+        self.n, self.sha, self.tail, self.counts = 0, hashlib.sha256(), b"", np.zeros(256, np.int64)
+
+    def add(self, samples: np.ndarray) -> None:
+        raw = samples.tobytes()
+        self.n += len(raw)
+        self.sha.update(raw)
+        self.tail = (self.tail + raw[-32:])[-32:]
+        self.counts += np.bincount(samples, minlength=256)
+
+    def feature(self) -> str:
+        share = self.counts / self.n
+        value = np.arange(256)
+        mean = float((share * value).sum())
+        deviation = float(np.sqrt(max((share * (value - mean) ** 2).sum(), 0)))
+        some = share[share > 0]
+        return f"{ROW}x{self.n // ROW} mean {mean:.4f} deviation {deviation:.4f} values {len(some)} entropy {-(some * np.log2(some)).sum():.4f}"
+
+
 def features(media: DataFrame) -> DataFrame:
     """Digests and features of the decoded samples of each stored row."""
 
     def run(batches):
         import pyarrow as pa
 
-        def flush(held):
-            files = [files_in(h[2]) for h in held]
-            flat = iter(decode_grey([f for fs in files for f in fs]))
-            rows = []
-            for (doc, n, media), fs in zip(held, files):
-                samples = np.concatenate([next(flat) for _ in fs])
-                raw = samples.tobytes()
-                counts = np.bincount(samples, minlength=256)
-                share = counts[counts > 0] / len(samples)
-                feature = f"{ROW}x{len(samples) // ROW} mean {samples.mean():.4f} deviation {samples.std():.4f} values {len(share)} entropy {-(share * np.log2(share)).sum():.4f}"
-                rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-        held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                held.append(row)
-                size += len(row[2])
-                if size >= AT_ONCE // 2:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+            for low in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.slice(low, ROWS_AT_ONCE)
+                held = some.column(2).to_pylist()
+                files = [(k, f) for k, m in enumerate(held) for f in files_in(m)]
+                found = [Summary() for _ in held]
+                for begin, end in together([(k, samples_in(f)) for k, f in files]):
+                    for (k, _), samples in zip(files[begin:end], decode_grey([f for _, f in files[begin:end]])):
+                        found[k].add(samples)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(0), some.column(1), pa.array([s.n for s in found], pa.int64()), pa.array([s.sha.hexdigest() for s in found]),
+                        pa.array([zlib.crc32(s.tail) for s in found], pa.int64()), pa.array(list(map(len, held)), pa.int64()),
+                        pa.array([hashlib.sha256(m).hexdigest() for m in held], pa.string()), pa.array([s.feature() for s in found], pa.string()),
+                    ],
+                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.mapInArrow(run, schema)

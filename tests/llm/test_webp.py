@@ -196,7 +196,8 @@ def test_meta_codes():
 def test_grey_round_trip():
     payloads = [webp.payload_of(t)[1] for t in ("", "a", "ab" * 288, "é" * 700, "x y z " * 90 + "q" * 900)] + [R.integers(0, 256, 576 * 5).astype(np.uint8), np.zeros(576, np.uint8)]
     files = webp.encode_grey(payloads)
-    for payload, plain, file in zip(payloads, webp.decode_grey(files), files):
+    back = webp.decode_grey(files)  # side by side
+    for payload, plain, file in zip(payloads, back, files):
         width, height, px = webp.decode(file)
         assert (plain == payload).all() and (width, height) == (576, len(payload) // 576)
         assert (webp.channels(px) == np.stack([np.full(len(payload), 255), payload, payload, payload], axis=1)).all()
