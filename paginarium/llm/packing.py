@@ -32,6 +32,8 @@ from paginarium.llm.common import settle
 
 CAPACITY = 4096
 GRAIN = 16
+#: Degenerate steps of the simplex method in a row, at most.
+STILL = 2000
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -84,11 +86,32 @@ def _knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def column_generation(demand: np.ndarray, capacity: int, tolerance: float = 1e-6, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps with row pivots, without a linear algebra library's threads."""
+    n = len(a)
+    both = np.hstack([a.astype(float), np.eye(n)])
+    for k in range(n):
+        row = k + int(np.abs(both[k:, k]).argmax())
+        if row != k:
+            both[[k, row]] = both[[row, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= np.outer(factor, both[k])
+    return both[:, n:]
+
+
+def times_vector(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, v)
+
+
+def column_generation(demand: np.ndarray, capacity: int, tolerance: float = 1e-6) -> list[tuple[np.ndarray, int]]:
     """Patterns and their whole multiplicities that cover ``demand`` (by size 1.. in grains) exactly.
 
     The master keeps a square basis of patterns (revised simplex). It stops at
-    optimality, or after ``rounds`` columns with a basis that is feasible anyway.
+    optimality: each column that enters lowers the sequences needed, or leaves them (a
+    degenerate step; more than ``STILL`` such steps in a row end the search with a basis
+    that is feasible anyway).
     """
     sizes = np.flatnonzero(demand) + 1
     if not len(sizes):
@@ -97,9 +120,10 @@ def column_generation(demand: np.ndarray, capacity: int, tolerance: float = 1e-6
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ need
+    x = times_vector(inverse, need)
     full = np.zeros(capacity)
-    for k in range(rounds):
+    k = still = 0
+    while still < STILL:
         price = inverse.sum(axis=0)  # all patterns cost one sequence
         full[:] = 0
         full[sizes - 1] = np.maximum(price, 0)
@@ -107,10 +131,11 @@ def column_generation(demand: np.ndarray, capacity: int, tolerance: float = 1e-6
         if worth <= 1 + tolerance:
             break
         column = pattern[sizes - 1].astype(float)
-        along = inverse @ column
+        along = times_vector(inverse, column)
         ratio = np.where(along > 1e-9, x / np.where(along > 1e-9, along, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
+        still = 0 if step * (worth - 1) > 1e-9 * x.sum() else still + 1
         x = x - step * along
         x[out] = step
         np.maximum(x, 0, out=x)
@@ -118,9 +143,10 @@ def column_generation(demand: np.ndarray, capacity: int, tolerance: float = 1e-6
         pivot = inverse[out] / along[out]
         inverse -= np.outer(along, pivot)
         inverse[out] = pivot
-        if k % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
+        k += 1
+        if k % 100 == 0:
+            inverse = inverted(basis)  # rank-one steps add up rounding errors
+            x = np.maximum(times_vector(inverse, need), 0)
     left = demand.astype(np.int64).copy()
     chosen: Counter = Counter()
     for j in np.argsort(-x):
