@@ -45,10 +45,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paginarium.llm.common import id_remainder, settle
+from paginarium.llm.common import forget, id_remainder, settle, shared_dir
 
 CORE, CLASSES = 1000, 24
-#: A slice is what one task reads; beyond four times this much text it is cut.
+#: A slice is what one task reads; beyond this much text it is cut (a longer text is a slice by itself).
 SLICE_BYTES = 24_000_000
 ROUNDS = 12
 #: Rounds over all words: the first gives every word a class, then the halves take turns,
@@ -118,7 +118,7 @@ def numbered(docs: DataFrame, buckets: int) -> DataFrame:
         size = 0
         for batch in batches:
             for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
-                if size > 4 * SLICE_BYTES:
+                if size > SLICE_BYTES:
                     yield from report()
                     index.clear(), kept.clear()
                     part, size = part + 1, 0
@@ -365,9 +365,9 @@ def word_classes(spark: SparkSession, texts: DataFrame, words: DataFrame, keys:
     """(slice, bucket, low, cls) with a class for every training word, and each round's average mutual information."""
     classes = max(2, int(label.max()) + 1)
     now = words.withColumn("cls", F.lit(None).cast("binary"))
-    best, found = None, []
+    best, chosen, found, base = None, -1, [], shared_dir(spark)
     for turn in range(ALL_ROUNDS + 1):
-        near = settle(spark, neighbours(texts, now, classes, keys, label), "near")
+        near = settle(spark, neighbours(texts, now, classes, keys, label), path=f"{base}/near{turn}")
         sums = near.where("pairs IS NOT NULL").select(F.posexplode("pairs").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
         pair = np.zeros((classes + 1) ** 2)
         pair[sums["k"].to_numpy(np.int64)] = sums["v"].to_numpy(float)
@@ -375,9 +375,11 @@ def word_classes(spark: SparkSession, texts: DataFrame, words: DataFrame, keys:
         if turn:  # before, most words have no class
             found.append(information(pair))
             if best is None or found[-1] > max(found[:-1]):
-                best = near
+                best, chosen = near, turn
             if len(found) > 2 and found[-1] < found[-3] * (1 + SETTLED):
                 break
+        # no later round reads what this one was made of, unless it is the best so far
+        forget(spark, [f"{base}/near{t}" for t in range(turn) if t != chosen])
         spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the rounds before
         now = exchanged(near, pair, turn)
     return best.where("bucket IS NOT NULL").select("slice", "bucket", "low", "cls"), found

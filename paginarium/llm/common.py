@@ -15,11 +15,13 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (a local session, as in tests) a temporary
-    folder takes its place, one for the session.
+    Only where that setting is absent in a local session (as in tests) a temporary
+    folder takes its place, one for the session; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="paginarium-")
@@ -27,13 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/paginarium-{uuid.uuid4().hex}"
 
 
-def settle(spark: SparkSession, df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there."""
-    path = f"{shared_dir(spark)}/{name}"
+def settle(spark: SparkSession, df: DataFrame, name: str = "t", compression: str = "zstd", path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or to ``path`` in it) and read it again: lineage ends there."""
+    path = path or f"{shared_dir(spark)}/{name}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``settle`` wrote and nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def id_remainder(doc_id: str | Column = "doc_id", mod: int = 5) -> Column:
     """crc32 of the id as text, modulo ``mod``; -1 for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
