@@ -183,8 +183,9 @@ def with_score(docs: DataFrame, model: Toxicity) -> DataFrame:
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below the threshold, with their own columns."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = with_score(docs, fit(docs, labels)).where(F.col("score") < threshold)
-    return kept.select(*docs.columns)
+    # the input's own columns in a struct, so that none of their names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "text")
+    return with_score(rows, fit(docs, labels)).where(F.col("score") < threshold).select("own.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

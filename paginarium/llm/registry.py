@@ -17,8 +17,6 @@ QUERIES = {
     "op9_threshold_topk": topk.op9,
     "op10_webp_lossless": webp.op10,
     "pipeline": corpus_pipeline.run,
-    "op10_webp_lossless": webp.op10,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op9_threshold_topk": topk.ORACLE,
