@@ -1,18 +1,25 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
 Vectors are cut into integer components. Candidates and queries are dealt into
-blocks of bounded size; every query block meets every candidate block once. Within
-a pair of blocks the candidates stand in one sorted list per dimension; a query walks
-the lists from the end its component's sign favours, scores what it meets for the
-first time, and stops when the inner product of the list heads can't beat its kth
-score. When the walk has met half of a block, the rest is scored in one product,
-which is cheaper than walking on. The k best of each pair are merged by query.
+blocks of bounded size. A task takes one block of queries and, one after another, the
+blocks of candidates of its lane, so that each query's kth score so far goes along and
+ends later blocks sooner.
+
+Within a block the candidates stand in one sorted list per principal axis of all
+vectors. A few queries walk together: each reads the lists from the end its component's
+sign favours, deeper where the component weighs more; whoever is met in any list is
+scored for all of the group, in integers. A query stops when the inner product of its
+list heads can't beat its kth score, or when nobody is left unmet. There is no other
+end and no other path. How early that is depends on the vectors: where a few axes
+carry most of their spread, after a small part; on vectors that fill all dimensions
+evenly, the bound stays above the kth score until all are met.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take
 no part; vectors of unequal length count as padded with zeros; rows with an equal
 vec_id are separate candidates, and a query leaves out all rows of its own id;
-repeated query rows give repeated results; other columns are ignored. Components are
-exact as long as every inner product stays below 2**53.
+repeated query rows give repeated results; an empty table gives no rows; other columns
+are ignored, whatever their names. Components are exact as long as every inner product
+stays below 2**53.
 """
 
 from __future__ import annotations
@@ -22,8 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCALE = 64
-CANDIDATES, QUERIES = 8192, 1024
-FIRST_STEP = 8
+#: Candidates of a block; queries of a block, at least and at most.
+CANDIDATES, QUERIES = 8192, (512, 65_536)
+#: Queries that walk together, and entries read first of the list that weighs most.
+TOGETHER, FIRST_STEP, LEVELS = 16, 64, 4
+#: Wider vectors keep their own axes.
+WIDEST_ROTATED = 512
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -36,51 +47,79 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-class Lists:
-    """One block of candidates: vectors, ids, and a sorted list per dimension."""
+class Top:
+    """The k best of one query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.scores, self.ids = k, np.zeros(0), np.zeros(0, np.int64)
+
+    @property
+    def kth(self) -> float:
+        return self.scores[-1] if len(self.scores) == self.k else -np.inf
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
-        self.order = np.argsort(vectors, axis=0, kind="stable")  # ascending
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        some = np.flatnonzero(scores >= self.kth)
+        if len(some):
+            scores, ids = np.append(self.scores, scores[some].astype(float)), np.append(self.ids, ids[some])
+            at = best(scores, ids, self.k)
+            self.scores, self.ids = scores[at], ids[at]
 
-    def walk(self, q: np.ndarray, own: int, k: int) -> np.ndarray | None:
-        """Places of the k best, or None when the lists don't settle it before half is seen."""
+
+class Lists:
+    """One block of candidates: vectors, ids, and a sorted list per axis."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, axes: np.ndarray):
+        self.ids, self.axes = ids, axes
+        self.vectors = vectors
+        self.most = float(np.abs(vectors).max(initial=0))
+        turned = np.ascontiguousarray((vectors @ axes).T)
+        order = np.argsort(turned, axis=1, kind="stable")  # ascending
+        self.sorted = np.take_along_axis(turned, order, axis=1)
+        self.order = np.ascontiguousarray(order.T.astype(np.int32))  # an entry of all lists a row
+        self.spread = turned.std(axis=1) + 1e-9
+        self.small = vectors.astype(np.float32)
+        self.read = self.scored = 0  # list entries, and scores
+
+    def walk(self, queries: np.ndarray, owns: np.ndarray, tops: list[Top]) -> None:
+        """Add the block's candidates to the queries' best, as far as they may belong there."""
         n = len(self.ids)
-        dims = np.flatnonzero(q)
-        if not len(dims) or n <= k:
-            return None
-        up = q[dims] > 0
-        seen, got, places = np.zeros(n, bool), [], []
-        depth, step = 0, FIRST_STEP
-        while 2 * len(places) < n and depth < n:
-            end = min(n, depth + step)
-            head = np.where(up, n - end, end - 1)
-            block = self.order[np.where(up, n - end, depth)[:, None] + np.arange(end - depth), dims[:, None]]
-            new = np.unique(block)
-            new = new[~seen[new]]
-            seen[new] = True
-            scores = self.vectors[new] @ q
-            scores[self.ids[new] == own] = -np.inf
-            places, got = np.append(places, new).astype(np.int64), np.append(got, scores)
-            bound = float(self.vectors[self.order[head, dims], dims] @ q[dims])
-            top = best(got, self.ids[places], k)
-            if len(top) == k and bound < got[top[-1]]:
-                return places[top]
-            depth, step = end, step * 2
-        return None
-
-
-def search(lists: Lists, queries: np.ndarray, owns: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places and scores of its k best."""
-    found: list = [lists.walk(q, own, k) for q, own in zip(queries, owns)]
-    rest = [j for j, f in enumerate(found) if f is None]
-    for at in range(0, len(rest), 64):
-        part = rest[at : at + 64]
-        scores = queries[part] @ lists.vectors.T
-        scores[owns[part][:, None] == lists.ids[None, :]] = -np.inf
-        for j, row in zip(part, scores):
-            found[j] = best(row, lists.ids, k)
-    return [(f, lists.vectors[f] @ q) for f, q in zip(found, queries)]
+        exact = self.most * float(np.abs(queries).max(initial=0)) * queries.shape[1] < 1 << 24
+        vectors, q = (self.small, queries.astype(np.float32)) if exact else (self.vectors, queries)
+        turned = queries @ self.axes
+        weight = np.abs(turned) * self.spread
+        most = weight.max(axis=1, keepdims=True)
+        share = np.where(most > 0, weight / np.maximum(most, 1e-300), 1.0)
+        # lists are read to 1, 1/2, ... 1/2**LEVELS of the step, those of less weight not at all
+        level = np.ceil(-np.log2(np.maximum(share, 1e-300))).astype(np.int64)
+        up, axis, at_level = turned > 0, np.arange(turned.shape[1]), range(LEVELS + 1)
+        dims = [[[np.flatnonzero((level[j] == v) & (up[j] == way)) for way in (False, True)] for v in at_level] for j in range(len(queries))]
+        places = [np.flatnonzero(self.ids == own) for own in owns]
+        met, scored = np.zeros(n, bool), np.zeros(n, bool)
+        live, step, before = np.arange(len(queries)), FIRST_STEP, 0
+        while len(live):
+            for v in at_level:
+                a, b = min(n, before >> v), min(n, step >> v)
+                for j in live:
+                    low, high = dims[j][v]
+                    met[self.order[a:b].take(low, axis=1)] = True
+                    met[self.order[n - b : n - a].take(high, axis=1)] = True
+                    self.read += (b - a) * (len(low) + len(high))
+            new = np.flatnonzero(met & ~scored)
+            scored[new] = True
+            found = q[live] @ vectors[new].T
+            self.scored += found.size
+            all_met, new_ids = bool(scored.all()), self.ids[new]
+            depth = np.minimum(np.where(level <= LEVELS, step >> np.minimum(level, LEVELS), 0), n - 1)
+            going = []
+            for row, j in zip(found, live):
+                for own in places[j]:
+                    row[new == own] = -np.inf
+                tops[j].add(row, new_ids)
+                if not all_met:
+                    parts = self.sorted[axis, np.where(up[j], n - 1 - depth[j], depth[j])] * turned[j]
+                    if parts.sum() + 1e-6 * (1 + np.abs(parts).sum()) >= tops[j].kth:
+                        going.append(j)
+            live, before, step = np.array(going, np.int64), step, step * 2
 
 
 def whole_components(vector: str | Column, scale: int = SCALE) -> Column:
@@ -94,51 +133,102 @@ def sound(vector: str | Column) -> Column:
     return col.isNotNull() & (F.size(col) > 0) & F.forall(col, finite)
 
 
+def matrix(vectors, width: int) -> np.ndarray:
+    """An Arrow list column as rows padded with zeros."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
+
+
+def principal_axes(rows: DataFrame, width: int) -> np.ndarray:
+    """The eigenvectors of the covariance of ``v``, from sums within tasks; unit axes for very wide vectors."""
+    if width > WIDEST_ROTATED:
+        return np.eye(width)
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), matrix(batch.column(0), width)])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    sums = rows.select("v").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s")).toPandas()  # (width + 1)**2 rows
+    total = np.zeros((width + 1) ** 2)
+    total[sums["k"].to_numpy(np.int64)] = sums["s"].to_numpy(float)
+    total = total.reshape(width + 1, width + 1)
+    mean = total[0, 1:] / max(total[0, 0], 1)
+    covariance = total[1:, 1:] / max(total[0, 0], 1) - np.outer(mean, mean)
+    return np.linalg.eigh(covariance)[1] if np.isfinite(covariance).all() else np.eye(width)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) from a table of (vec_id, embedding)."""
+    spark = vectors.sparkSession
     rows = vectors.where(sound("embedding") & F.col("vec_id").isNotNull()).select(
         "vec_id", whole_components("embedding").alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")
     )
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m"), F.max(F.size("v")).alias("d")).first()
-    n_blocks, n_queries, width = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["m"] // QUERIES)), sizes["d"] or 1
+    width, tasks = sizes["d"] or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n_blocks = max(1, -(-sizes["n"] // CANDIDATES))
+    # large blocks of queries, so that candidates are sent few times, but one for each task at least
+    n_queries = max(1, -(-sizes["m"] // min(max(QUERIES[0], sizes["m"] // tasks), QUERIES[1])))
+    lanes = max(1, min(n_blocks, tasks // n_queries))
+    axes = principal_axes(rows, width)
     # salted by the row, so that repeated ids spread
     block = lambda n: F.pmod(F.xxhash64("vec_id", "row"), F.lit(n)).cast("int")
-    candidates = rows.groupBy(block(n_blocks).alias("cb")).agg(F.collect_list(F.struct("vec_id", "v")).alias("candidates"))
-    queries = rows.where("q").groupBy(block(n_queries).alias("qb")).agg(F.collect_list(F.struct("vec_id", "v", "row")).alias("queries"))
-    pairs = (
-        candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-        .join(queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))), ["qb", "cb"])
+    packed = F.collect_list(F.struct("vec_id", "row", "v")).alias("members")
+    candidates = (
+        rows.groupBy(block(n_blocks).alias("cb")).agg(packed)
+        .select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), (F.col("cb") % lanes).alias("lane"), "cb", "members")
     )
-
-    def matrix(rows) -> np.ndarray:
-        out = np.zeros((len(rows), width))
-        lengths = np.array([len(v) for v in rows])
-        if (lengths == width).all():
-            return np.asarray(rows.tolist() if hasattr(rows, "tolist") else rows, dtype=float).reshape(len(rows), width)
-        for k, v in enumerate(rows):
-            out[k, : len(v)] = v
-        return out
+    queries = (
+        rows.where("q").groupBy(block(n_queries).alias("qb")).agg(packed)
+        .select("qb", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(-1).alias("cb"), "members")
+    )
+    # in each task a block of queries comes first, then its candidates
+    stream = candidates.unionByName(queries).repartition(n_queries * lanes, "qb", "lane").sortWithinPartitions("qb", "lane", "cb")
 
     def run(batches):
         import pyarrow as pa
 
+        at, q, owns, own_rows, tops = None, None, None, None, []
+
+        def report():
+            counts = [len(t.ids) for t in tops]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(own_rows, counts)), pa.array(np.repeat(owns, counts)),
+                    pa.array(np.concatenate([t.ids for t in tops])), pa.array(np.concatenate([t.scores for t in tops]).astype(np.int64)),
+                ],
+                names=["row", "query_id", "vec_id", "score"],
+            )
+
         for batch in batches:
-            for r in batch.to_pylist():
-                lists = Lists(matrix([c["v"] for c in r["candidates"]]), np.array([c["vec_id"] for c in r["candidates"]], np.int64))
-                owns = np.array([c["vec_id"] for c in r["queries"]], np.int64)
-                found = search(lists, matrix([c["v"] for c in r["queries"]]), owns, k)
-                counts = [len(f) for f, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([c["row"] for c in r["queries"]], counts).astype(np.int64)), pa.array(np.repeat(owns, counts)),
-                        pa.array(np.concatenate([lists.ids[f] for f, _ in found])), pa.array(np.concatenate([s for _, s in found]).astype(np.int64)),
-                    ],
-                    names=["row", "query_id", "vec_id", "score"],
-                )
+            for r in range(len(batch)):
+                key, cb = (batch.column("qb")[r].as_py(), batch.column("lane")[r].as_py()), batch.column("cb")[r].as_py()
+                members = batch.column("members")[r].values
+                ids, vectors = members.field("vec_id").to_numpy(), matrix(members.field("v"), width)
+                if cb < 0:
+                    if tops:
+                        yield report()
+                    at, q, owns, own_rows = key, vectors, ids, members.field("row").to_numpy()
+                    tops = [Top(k) for _ in ids]
+                elif key == at:  # else no query has this block
+                    lists = Lists(vectors, ids, axes)
+                    for low in range(0, len(q), TOGETHER):
+                        lists.walk(q[low : low + TOGETHER], owns[low : low + TOGETHER], tops[low : low + TOGETHER])
+        if tops:
+            yield report()
 
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (
-        pairs.select("candidates", "queries").mapInArrow(run, "row long, query_id long, vec_id long, score long")
+        stream.mapInArrow(run, "row long, query_id long, vec_id long, score long")
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )
 

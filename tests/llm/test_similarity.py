@@ -118,7 +118,7 @@ def brute_top(rows, k, modulus):
 @pytest.mark.parametrize("spread", [1, 12])
 def test_top_k_equals_brute_force(spark, spread, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 60)
-    monkeypatch.setattr(topk, "QUERIES", 10)
+    monkeypatch.setattr(topk, "QUERIES", (10, 10))
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=6) * (np.array([spread, 1, 1, 1, 1, 1]))]) for i in range(240)]
     rows += [(1000, rows[3][1]), (1001, rows[3][1]), (1002, None), (1003, [1.0, None, 0.0]), (1004, [float("nan")] * 6), (1005, [float("inf")] + [0.0] * 5), (1006, []), (1020, [0.0] * 6), (1040, [1.0, 2.0])]
@@ -128,11 +128,39 @@ def test_top_k_equals_brute_force(spark, spread, monkeypatch):
     assert topk.top_k(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
+def settled(vectors, ids, queries, owns, k, axes):
+    """The walks' results and the shares of list entries read and of candidates scored."""
+    lists, tops = topk.Lists(vectors, ids, axes), [topk.Top(k) for _ in queries]
+    for low in range(0, len(queries), topk.TOGETHER):
+        lists.walk(queries[low : low + topk.TOGETHER], owns[low : low + topk.TOGETHER], tops[low : low + topk.TOGETHER])
+    scores = (queries @ vectors.T).astype(float)
+    scores[owns[:, None] == ids] = -np.inf
+    for row, top in zip(scores, tops):
+        at = np.lexsort((ids, -row))[:k]
+        assert (top.ids == ids[at]).all() and (top.scores == row[at]).all()
+    return lists.read / vectors.size / len(queries), lists.scored / len(vectors) / len(queries)
+
+
 def test_the_threshold_stops_early():
     rng = np.random.default_rng(4)
     vectors = np.round(rng.normal(size=(4000, 3)) ** 3 * 64)
-    lists = topk.Lists(vectors, np.arange(4000))
-    q = np.array([5.0, -3.0, 1.0])
-    places = lists.walk(q, -1, 5)
-    scores = vectors @ q
-    assert places is not None and (scores[places] == np.sort(scores)[::-1][:5]).all()
+    read, scored = settled(vectors, np.arange(4000), np.array([[5.0, -3.0, 1.0]]), np.array([-1]), 5, np.eye(3))
+    assert read < 0.1 and scored < 0.1
+    # sixteen dimensions of which two matter, turned so that no own axis shows it
+    turn = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    vectors = np.floor(64 * (rng.normal(size=(6000, 16)) * np.append([3, 2], np.full(14, 0.03))) @ turn)
+    axes = np.linalg.eigh(np.cov(vectors.T))[1]
+    ids, queries = np.arange(6000), vectors[:40]
+    read, scored = settled(vectors, ids, queries, ids[:40], 5, axes)
+    assert read < 0.1 and scored < 0.3
+    assert settled(vectors, ids, queries, ids[:40], 5, np.eye(16))[1] > scored
+
+
+def test_every_query_of_the_real_table_is_settled_by_the_walk(spark):
+    """All 64 dimensions spread alike there, so walks end when all are met: after few list entries, but all are scored."""
+    pdf = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    vectors = np.floor(64 * np.stack(pdf["embedding"].to_numpy()).astype(float))
+    ids = pdf["vec_id"].to_numpy(np.int64)
+    mine = ids % 20 == 0
+    read, scored = settled(vectors, ids, vectors[mine], ids[mine], 20, np.linalg.eigh(np.cov(vectors.T))[1])
+    assert read < 0.25 and scored <= 1
