@@ -22,7 +22,12 @@ joined by those links need no comparison, the others are all enumerated.
 
 Defined cases: a null text is empty; a text with one to four words has one shingle;
 texts without words link with nothing, not even each other; a null doc_id takes part
-and names a component only if no member has an id; repeated rows are documents.
+and names a component only if no member has an id; repeated rows are documents; a text
+of any length is cut whole, long ones in a slice of their own; an empty table gives no
+rows; ``near_duplicates`` ignores other columns, ``one_of_each`` carries them in a struct,
+so no name can clash. Of tied documents (equal smallest id in a component) the one with
+the smallest text hash stays, and of rows equal in id and text the one whose row has the
+smallest hash.
 """
 
 from __future__ import annotations
@@ -49,8 +54,12 @@ LOCAL = 2
 #: Text cut into words at a time, in bytes (a longer text is a slice by itself).
 SLICE_BYTES = 4_000_000
 FILTER_BITS = 1 << 24
+#: Keys a task remembers to have sent.
+SEEN = 500_000
 #: Linear rounds before the pairs across components.
 STARS = 1
+#: Members of a list that one key holds while the list's heads are found and compared.
+SALTED = 2000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -119,7 +128,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
             for found in shingle_sets(batch.column(0)):
                 held.append(found)
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield report()
                     held, size = [], 0
         if held:
@@ -181,12 +190,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     packed = mask.astype(np.uint32)
 
     def run(batches):
-        seen: set[bytes] = set()  # of this task, so that a set with many copies is sent once
+        seen: set[bytes] = set()  # of this task, so that a set with many copies is mostly sent once
         for batch in batches:
             keys, sets, size = [], [], 0
             for s in shingle_sets(batch.column(0)):
                 key = set_key(s)
                 if len(s) and key not in seen and packed[(bit := _spark_bit(key)) >> 5] >> (bit & 31) & 1:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(key)
                     keys.append(key), sets.append(s.tobytes())
                     size += len(s)
@@ -209,17 +220,21 @@ def _spark_bit(key: bytes) -> int:
 def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes that are similar, by probing one set in the other."""
 
+    def flat_sets(column) -> tuple[np.ndarray, np.ndarray]:
+        """All sets of a batch in one array as it lies in the batch, and where each begins."""
+        return np.frombuffer(column.buffers()[2] or b"", np.uint64), np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            keep = np.zeros(len(batch), bool)
+            (all_x, at_x), (all_y, at_y) = flat_sets(batch.column("x")), flat_sets(batch.column("y"))
+            for k in range(len(batch)):
+                x, y = all_x[at_x[k] : at_x[k + 1]], all_y[at_y[k] : at_y[k + 1]]
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(y, x)
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * common >= 80 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
+                keep[k] = 100 * common >= 80 * (len(x) + len(y) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     names = classes.select("rid", "key")
     named = pairs.select("a", "b").distinct().join(names.select(F.col("rid").alias("a"), F.col("key").alias("ka")), "a")
@@ -259,27 +274,39 @@ def similar_sizes(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= 80 * F.greatest(a, b)
 
 
+def salted(size: str = "size") -> F.Column:
+    """Into how many parts a list of that size is dealt."""
+    return F.ceil(F.col(size) / SALTED).cast("int")
+
+
 def with_components(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
     """The lists on which more than one component is left, with each member's component ``c``."""
-    whole = Window.partitionBy("h")
     placed = lists.withColumn("c", F.col("rid"))
-    if joined is not None:
-        placed = lists.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
-    return placed.withColumn("lo", F.min("c").over(whole)).withColumn("hi", F.max("c").over(whole)).where("lo <> hi").drop("lo", "hi")
+    if joined is None:
+        return placed  # every list has two members at least
+    placed = lists.join(joined.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
+    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    return placed.join(mixed, "h", "left_semi")
 
 
 def to_heads(lists: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of each list's members with two heads: its most central member, and
-    the most central one outside that member's component. Linear in the postings."""
-    by = Window.partitionBy("h")
-    order = by.orderBy(F.desc("weight"), "rid")
-    member = F.struct("rid", "n", "c", "at")
-    marked = lists.withColumn("one", F.first(member).over(order))
-    other = F.when(F.col("c") != F.col("one.c"), F.struct("weight", (-F.col("rid")).alias("last"), member.alias("m")))
-    marked = marked.withColumn("two", F.max(other).over(by)["m"])
-    pairs = marked.select(F.explode(F.array("one", "two")).alias("o"), "rid", "n", "c", "at").where("o.rid <> rid AND o.c <> c").where(similar_sizes("o.n", "n") & in_place("o.at", "at", "o.n", "n"))
+    the most central one outside that member's component. Linear in the postings; a long
+    list is dealt over several keys, each of which gets the heads."""
+    member = F.struct("weight", (-F.col("rid")).alias("last"), "n", "c", "at", "size")
+    salt = F.pmod(F.xxhash64("rid"), salted()).cast("int").alias("salt")
+    dealt = lists.select("h", salt, "rid", "n", "c", "at", "size", "weight")
+
+    def heads(rows: DataFrame, name: str) -> DataFrame:
+        found = rows.groupBy("h").agg(F.max(member).alias(name))
+        return found.select("h", F.explode(F.sequence(F.lit(0), salted(f"{name}.size") - 1)).alias("salt"), name)
+
+    marked = dealt.join(heads(dealt, "one"), ["h", "salt"])
+    marked = marked.join(heads(marked.where("c <> one.c"), "two"), ["h", "salt"], "left")
+    pairs = marked.select(F.explode(F.array("one", "two")).alias("o"), "rid", "n", "c", "at").where("o IS NOT NULL AND -o.last <> rid AND o.c <> c").where(similar_sizes("o.n", "n") & in_place("o.at", "at", "o.n", "n"))
+    head = -F.col("o.last")
     counted = (
-        pairs.select(F.least("o.rid", "rid").alias("a"), F.greatest("o.rid", "rid").alias("b"), F.least("o.n", "n").alias("an"), F.greatest("o.n", "n").alias("bn"))
+        pairs.select(F.least(head, "rid").alias("a"), F.greatest(head, "rid").alias("b"), F.least("o.n", "n").alias("an"), F.greatest("o.n", "n").alias("bn"))
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
     )
     return counted.where(enough(F.col("hits"))).select("a", "b")
@@ -295,16 +322,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     facts = settle(spark, described(docs, hot).withColumn("row", F.monotonically_increasing_id()), "facts")
     some = facts.where("n > 0").groupBy("key")
     classes = settle(spark, some.agg(F.min("row").alias("rid"), F.min("doc_id").alias("first_doc")), "classes")
-    whole = Window.partitionBy("h")
-    shared = settle(
-        spark,
-        some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("short").alias("short")).select(F.posexplode("short").alias("at", "h"), "rid", "n")
-        .withColumn("size", F.count(F.lit(1)).over(whole)).where("size > 1"),
-        "shared",
-    )
+    postings = some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("short").alias("short")).select(F.posexplode("short").alias("at", "h"), "rid", "n")
+    sizes = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = settle(spark, postings.join(sizes, "h"), "shared")
     # a member that shares most of what it has is the likeliest to be like the others
     central = shared.groupBy("rid").agg((F.sum("size") / F.first("n")).alias("weight"))
-    lists = settle(spark, shared.drop("size").join(central, "rid"), "lists")
+    lists = settle(spark, shared.join(central, "rid"), "lists")
 
     links, joined = None, None
     for _ in range(STARS):
