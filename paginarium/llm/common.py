@@ -54,7 +54,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """At most ``limit`` labelled rows to learn from: (text, label).
 
     Rows whose id remainder is ``held_out`` never enter. Ids repeated in ``labels``
-    count once (greatest label). The kept ids are those with the smallest seeded
+    count once (greatest label), and so do ids repeated in ``docs`` (smallest text). The kept ids are those with the smallest seeded
     hash, so the sample doesn't depend on row order or partitioning; its bound
     makes the broadcast of ids safe.
     """
@@ -65,5 +65,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     )
     return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+        .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+        .select("doc_id", "text", "y")
     )

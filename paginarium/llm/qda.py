@@ -8,9 +8,11 @@ the logistic of the difference of the log densities (half squared Mahalanobis
 distances and log determinants) plus the log prior odds.
 
 Defined cases: a null text is empty, and an empty text has a vector and a score like
-any other; without labels of both classes every score is the share of label 1 (0.5
-without labels); repeated rows are scored each; extra columns are kept by
-``keep_good`` and ignored by the scorer.
+any other; a text of any length is read whole; without labels of both classes every score
+is the share of label 1 (0.5 without labels); repeated rows are scored each, and of
+sample rows with one id the smallest text counts; an empty table gives no rows;
+``keep_good`` returns the columns it got with their values, whatever their names
+(``score`` included), and the scorer ignores other columns.
 """
 
 from __future__ import annotations
@@ -69,7 +71,9 @@ def statistics(text: str) -> tuple[float, ...]:
     index: dict[str, int] = {}
     at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, n)
     most = int(np.bincount(at).max()) if n else 0
-    threes = len(np.unique((at[:-2] * n + at[1:-1]) * n + at[2:])) if n > 2 else 0
+    # pairs are numbered first, so that no product leaves 64 bits however long the text
+    pairs = np.unique(at[:-1] * n + at[1:], return_inverse=True)[1] if n > 2 else at
+    threes = len(np.unique(pairs[:-1] * n + at[2:])) if n > 2 else 0
     lines = [x for x in text.split("\n") if x.strip()]
     per = lambda k, m: float(np.log((k + 0.5) / (m + 1.0)))
     signs = int(of_kind[STOP] + of_kind[MARK] + of_kind[SYMBOL])

@@ -47,7 +47,68 @@ def test_awkward_rows_are_scored(spark, tables, module, keep):
     none = module.fit(docs, labels.where("doc_id < 0"), 500)
     assert {r["score"] for r in module.with_score(odd, none).collect()} == {0.5}
     assert module.with_score(odd.where("doc_id = -1"), model).count() == 0
-    assert keep(spark, odd, SF).columns == odd.columns
+    clash = odd.withColumn("score", F.col("y") - 2).withColumn("own", F.lit("kept"))
+    kept = keep(spark, clash, SF, 0.0 if module is qda else 1.1)
+    assert kept.columns == clash.columns and sorted(map(str, kept.collect())) == sorted(map(str, clash.collect()))
+    assert keep(spark, clash.where("doc_id = -1"), SF).count() == 0
+
+
+def test_discriminant_equals_a_naive_one(spark, tables):
+    docs, labels = tables
+    rows = qda.labelled_sample(docs, labels, "quality", 300).toPandas()
+    x, y = np.array([qda.statistics(t) for t in rows["text"]]), rows["y"].to_numpy()
+    pooled = sum((y == k).mean() * np.cov(x[y == k].T, bias=True) for k in (0, 1))
+    log_density = []
+    for k in (0, 1):
+        c = 0.9 * np.cov(x[y == k].T, bias=True) + 0.1 * pooled
+        c = 0.95 * c + 0.05 * np.diag(np.diag(c)) + 1e-3 * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        d = x - x[y == k].mean(axis=0)
+        log_density.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    expected = 1 / (1 + np.exp(np.clip(log_density[0] - log_density[1], -700, 700)))
+    assert np.abs(qda.fit(docs, labels, 300).score(x) - expected).max() < 1e-6
+
+
+def test_counterfactual_fit_reaches_a_naive_minimum(spark, tables):
+    """The same loss in dense form, minimised by plain gradient steps from numeric derivatives' direction."""
+    import pandas as pd
+
+    r = np.random.default_rng(0)
+    n, width = 80, 6
+    x = (r.random((n, width)) < 0.4).astype(float)
+    y = (x[:, 0] + 0.3 * x[:, 1] + 0.2 * r.random(n) > 0.6).astype(float)
+    left, right = (r.random((30, width)) < 0.3).astype(float), (r.random((30, width)) < 0.3).astype(float)
+    numbers = lambda row: np.flatnonzero(row).tolist()
+    pairs = [[numbers(left[k]) + [-1] + numbers(right[k])] if k < 30 else [] for k in range(n)]
+    w = counterfactual.train(pd.DataFrame({"y": y, "at": [numbers(v) for v in x], "pairs": pairs}), width)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    weight = np.where(y > 0, min(4.0, (n - y.sum() + 1) / (y.sum() + 1)), 1.0)
+
+    def loss(v):
+        p = sigmoid(x @ v[:-1] + v[-1])
+        gap = sigmoid(left @ v[:-1] + v[-1]) - sigmoid(right @ v[:-1] + v[-1])
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean() + counterfactual.RIDGE / 2 * (v[:-1] ** 2).sum() + counterfactual.PENALTY * (gap**2).mean()
+
+    naive = np.zeros(width + 1)
+    for _ in range(4000):
+        slope = np.array([(loss(naive + e) - loss(naive - e)) / 2e-6 for e in 1e-6 * np.eye(width + 1)])
+        naive -= 0.2 * slope
+    assert loss(w) < loss(naive) + 1e-3
+
+
+def test_neutral_mentions_of_groups_are_no_toxicity(spark, tables):
+    docs, labels = tables
+    sample = counterfactual.labelled_sample(docs, labels, "toxic", 2000)
+    texts = sample.toPandas()
+    pairs = [counterfactual.counterfactuals(t) for t in texts["text"]]
+    assert sum(map(len, pairs)) > 2 * len(texts) * 0.9  # every text with a sentence lends two, and some name a group
+    assert any(len(p) > 2 for p in pairs)
+    model = counterfactual.fit(docs, labels, 2000)
+    clean = [t for t, y in zip(texts["text"], texts["y"]) if not y and model.score(t) < 0.3][:60]
+    assert len(clean) == 60
+    for k, term in enumerate(counterfactual.TERMS):
+        own = clean[k % 60]
+        with_term = model.score(f"{own} {term}")
+        assert with_term < counterfactual.THRESHOLD and abs(with_term - model.score(f"{own} {counterfactual.SWAP[term]}")) < 0.1
 
 
 def test_swapped_identities_score_alike():
