@@ -199,3 +199,54 @@ def test_rare_words_are_exchanged_by_their_rare_neighbours(spark, monkeypatch):
     rows = brown.score(spark, docs, F.lit(False), classes=6).toPandas()
     gain = (rows["score"] - rows["base_score"]).sum() / (400 * 12)
     assert gain > 0.42  # 0.403 when only the core was exchanged; 0.451 on two cores, 0.524 on four (the start depends on the partitions)
+
+
+def test_class_scores_by_brute_force(spark, monkeypatch):
+    """Every probability anew, word by word, from the classes that were found."""
+    kept = {}
+    dictionary, word_classes = brown.dictionary, brown.word_classes
+
+    def seen_words(words, *rest):
+        kept["words"] = words
+        return dictionary(words, *rest)
+
+    def seen_classes(*given):
+        kept["classes"], found = word_classes(*given)
+        return kept["classes"], found
+
+    monkeypatch.setattr(brown, "dictionary", seen_words)
+    monkeypatch.setattr(brown, "word_classes", seen_classes)
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"{'ab'[(j + k) % 2]}{min(int(rng.geometric(0.2)), 30)}" for j in range(int(rng.integers(0, 40))))) for k in range(120)] + [(500, None), (None, "a1 b1"), (7, "new words only")]
+    found = brown.score(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), id_remainder() == 1, classes=5).toPandas()
+    names = {(r["slice"], r["low"]): bytes(r["words"]).split(b" ") for r in kept["words"].select("slice", "low", "words").collect()}
+    of = {w: int(c) for r in kept["classes"].collect() for w, c in zip(names[r["slice"], r["low"]], np.frombuffer(r["cls"], np.uint8))}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    train = [brown.words_of(t) for i, t in rows if not held(i)]
+    counts = Counter(w for t in train for w in t)
+    pairs = Counter((of[a], of[b]) for t in train for a, b in zip([brown.END, *t], t))
+    n, v = sum(counts.values()), len(counts)
+    unseen = (v + 1) / (2 * n + 2)
+    classes = sorted({of[w] for w in counts})
+    tokens = {c: sum(k for w, k in counts.items() if of[w] == c) for c in classes}
+    unigram = {c: (tokens[c] + 0.5) / sum(tokens[d] + 0.5 for d in classes) for c in classes}
+    assert len(classes) > 2
+
+    def probability(before, w):
+        if w not in counts:
+            return unseen
+        c = of[w]
+        if before in counts:
+            after = {d: pairs[of[before], d] for d in classes}
+            kinds = max(1, sum(k > 0 for k in after.values()))
+            given = (after[c] + kinds * unigram[c]) / (sum(after.values()) + kinds)
+        else:
+            given = unigram[c]
+        return (1 - unseen) * given * (counts[w] - 0.5) / sum(k - 0.5 for x, k in counts.items() if of[x] == c)
+
+    expected = {}
+    for i, t in rows:
+        words = brown.words_of(t)
+        expected.setdefault(-1 if i is None else i, []).append(round(sum(np.log10(probability(a, b)) for a, b in zip([brown.END, *words], words)), 6))
+    for i, own in found.groupby(found["doc_id"].fillna(-1)):
+        assert np.allclose(sorted(own["score"]), sorted(expected[int(i)]), atol=1e-5)
