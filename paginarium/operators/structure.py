@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paginarium.functions.text import line_class, lines, running_key
+from paginarium.functions.wrapping import candidates, simple_lower, web_address
 
 WEB = r"https?://[^\s\"'<>]{4,}"
 MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
@@ -124,3 +125,10 @@ def capped_counts(rows: DataFrame, kind: str, order: str, cap: int = 4096) -> Da
     """(kind, kept, dropped): events of each kind that a log of ``cap`` entries a kind keeps and drops."""
     n = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
     return n.select(kind, F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("dropped"))
+
+
+def web_addresses(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, n, uri): the address in each candidate of a text (n is the candidate's number), by the whole rule:
+    any case of the scheme, bare ``www.``, halves joined at a line end, brackets opened before, hosts trimmed."""
+    each = rows.select(key, F.posexplode(candidates(text)).alias("n", "candidate"))
+    return each.where(simple_lower(F.col("candidate")).rlike(r"http|www\.")).select(key, "n", web_address(F.col("candidate")).alias("uri")).where("uri IS NOT NULL")

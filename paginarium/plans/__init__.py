@@ -1 +1,3 @@
-"""Plans of the document engine."""
+"""Named queries; importing the package registers all of them."""
+
+from paginarium.plans import registry, text_rules  # noqa: F401
