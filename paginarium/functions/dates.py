@@ -26,6 +26,12 @@ def is_leap_year(year: Column) -> Column:
     return (F.pmod(year, F.lit(4)) == 0) & ((F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0))
 
 
+def instant(timestamp: Column) -> Column:
+    """The milliseconds of a timestamp's civil time, whatever the session's time zone."""
+    second = F.floor(F.date_part(F.lit("SECOND"), timestamp) * 1000).cast("long")
+    return F.unix_date(timestamp.cast("date")).cast("long") * DAY + (F.hour(timestamp).cast("long") * 60 + F.minute(timestamp)) * 60_000 + second
+
+
 def day_number(ms: Column) -> Column:
     return floor_div(ms, DAY).cast("int")
 
@@ -175,12 +181,10 @@ def scanned(text: Column, pattern: str, now: int) -> Column:
     month = number("m", "month")
     if "m" in found and found["m"][1] >= 3:
         name = F.lower(found["m"][0])
-        by_name = F.lit(None).cast("int")
-        for k in range(11, -1, -1):
-            full = MONTHS[k].lower()
-            fits = (name == full[:3]) if found["m"][1] == 3 else (F.length(name) > 0) & F.lit(full).contains(name)
-            by_name = F.when(fits, F.lit(k + 1)).otherwise(by_name)
-        month = F.coalesce(by_name, month)
+        names = F.array(*[F.lit(m.lower()[: 3 if found["m"][1] == 3 else None]) for m in MONTHS])
+        fits = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda k: F.contains(F.element_at(names, k), name)) if found["m"][1] > 3 else F.array(F.array_position(names, name))
+        first = F.try_element_at(fits, F.lit(1)).cast("int")
+        month = F.when((name != "") & (first > 0), first).otherwise(month)
     day, minute, second = number("d", "day"), number("M", "minute"), number("s", "second")
     hour = number("H", "hour") if "H" in found else number("h", "hour")
     if "t" in found:
