@@ -132,3 +132,31 @@ def web_addresses(rows: DataFrame, key: str, text: Column) -> DataFrame:
     any case of the scheme, bare ``www.``, halves joined at a line end, brackets opened before, hosts trimmed."""
     each = rows.select(key, F.posexplode(candidates(text)).alias("n", "candidate"))
     return each.where(simple_lower(F.col("candidate")).rlike(r"http|www\.")).select(key, "n", web_address(F.col("candidate")).alias("uri")).where("uri IS NOT NULL")
+
+
+def without_running(pages: DataFrame, doc: str, page: str, band: float = 0.12, min_pages: int = 3, share: float = 0.5) -> DataFrame:
+    """(doc, page, lines): each page's lines without running headers and footers.
+
+    A line in the top or bottom ``band`` of its page goes if its key stands in that band of at
+    least ``min_pages`` pages and of more than ``share`` of the document's. Pages without a
+    line left don't appear.
+    """
+    cut = pages.select(doc, page, lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    n, depth = F.size("lines"), F.greatest(F.lit(1), F.ceil(F.size("lines") * band).cast("int"))
+    each = cut.select(doc, page, n.alias("n"), depth.alias("depth"), F.posexplode("lines").alias("i", "line"))
+    place = F.when(F.col("i") < F.col("depth"), "top").when(F.col("i") >= F.col("n") - F.col("depth"), "bottom")
+    each = each.select(doc, page, "i", "line", place.alias("place"), running_key(F.col("line")).alias("key"))
+    # counted by page first: a document's pages never meet in one task as rows
+    of_page = each.where("place IS NOT NULL").select(doc, page, "place", "key").distinct()
+    total = pages.select(doc, page).distinct().groupBy(doc).agg(F.count(F.lit(1)).alias("total"))
+    running = of_page.groupBy(doc, "place", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    running = running.join(total, doc).where(F.col("pages") > F.col("total") * share).select(doc, "place", "key")
+    kept = each.join(running, [doc, "place", "key"], "left_anti")
+    return kept.groupBy(doc, page).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("lines"))
+
+
+def as_of_revision(entries: DataFrame, key: str, revision: str, place: str, value: str, last: int) -> DataFrame:
+    """(key, revision, value, versions): every key's newest entry of the revisions up to ``last``."""
+    newest = F.max(F.struct(revision, place, F.col(value).alias("value")))
+    found = entries.where(F.col(revision) <= last).groupBy(key).agg(newest.alias("x"), F.count(F.lit(1)).alias("versions"))
+    return found.select(key, F.col(f"x.{revision}").alias("revision"), "x.value", "versions")

@@ -1,3 +1,3 @@
 """Named queries; importing the package registers all of them."""
 
-from paginarium.plans import form_rules, registry, text_rules  # noqa: F401
+from paginarium.plans import form_rules, page_rules, registry, text_rules  # noqa: F401
