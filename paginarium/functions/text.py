@@ -62,14 +62,16 @@ def carries_on(before: Column, after: Column) -> Column:
 
 
 def roman(number: Column) -> Column:
-    """Lower-case roman numerals of 1 to 3999; empty below 1."""
+    """Lower-case roman numerals of the number modulo a million, a m for every thousand; empty below 1."""
+    number = F.when(number >= 1, number % 1_000_000)
     tens = (
-        (1000, ["", "m", "mm", "mmm"]), (100, ["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"]),
+        (100, ["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"]),
         (10, ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"]), (1, ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]),
     )
     digit = lambda scale: F.floor(number / scale) % 10
     parts = [F.element_at(F.array(*map(F.lit, marks)), (digit(scale) + 1).cast("int")) for scale, marks in tens]
-    return F.when(number >= 1, F.concat(*parts)).otherwise("")
+    thousands = F.repeat(F.lit("m"), F.floor(number / 1000).cast("int"))
+    return F.coalesce(F.concat(thousands, *parts), F.lit(""))
 
 
 def letters(number: Column) -> Column:

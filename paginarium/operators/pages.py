@@ -67,9 +67,21 @@ def n_up(pages: DataFrame, page: str, columns: int, rows: int) -> DataFrame:
     )
 
 
-def merge(pages: DataFrame, into: str, order: list[str]) -> DataFrame:
-    """Pages of several documents as pages of one, numbered in the given order."""
-    return pages.withColumn("merged_page", F.row_number().over(Window.partitionBy(into).orderBy(*order)))
+def merge(pages: DataFrame, into: str, doc: str, page: str, chunk: int = 1024) -> DataFrame:
+    """Pages of several documents as pages of one (``merged_page`` from 1), by numeric document id and page.
+
+    Pages are numbered within their document only; what comes before a document is the sum
+    of page counts, added up over chunks of ids and then within a chunk. So a volume that
+    holds a third of all pages meets in no task.
+    """
+    counts = pages.groupBy(into, doc).agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", F.floor(F.col(doc) / chunk))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = counts.groupBy(into, "chunk").agg(F.sum("n").alias("n"))
+    chunks = chunks.select(into, "chunk", F.coalesce(F.sum("n").over(before(into).orderBy("chunk")), F.lit(0)).alias("chunks_before"))
+    placed = counts.withColumn("within", F.coalesce(F.sum("n").over(before(into, "chunk").orderBy(doc)), F.lit(0))).join(chunks, [into, "chunk"])
+    placed = placed.select(into, doc, (F.col("chunks_before") + F.col("within")).alias("pages_before"))
+    numbered = pages.withColumn("own", F.row_number().over(Window.partitionBy(into, doc).orderBy(page)))
+    return numbered.join(placed, [into, doc]).withColumn("merged_page", (F.col("pages_before") + F.col("own")).cast("int")).drop("pages_before", "own")
 
 
 def page_labels(pages: DataFrame, ranges: list[tuple[int, str, str, int]], page: str) -> DataFrame:

@@ -1,31 +1,40 @@
-"""Search in texts with offsets and hit lines."""
+"""Search in texts with offsets and hit lines. All offsets come from arrays within a row: no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paginarium.functions.arrays import running_sums
+from paginarium.functions.wrapping import simple_lower
+
 #: A neighbour that makes a hit part of a longer word: letters, digits, and the code points between Z and a.
 JOINS_WORD = r"[A-Za-z0-9\[\\\]^_`]"
 
 
+def placed(pieces: Column, gap: int) -> Column:
+    """(piece, start) of consecutive pieces with ``gap`` characters between two."""
+    starts = running_sums(F.transform(pieces, lambda x: F.length(x) + gap))
+    return F.zip_with(pieces, starts, lambda p, s: F.struct(p.alias("piece"), s.alias("start")))
+
+
 def hits(docs: DataFrame, needle: str, ignore_case: bool = False, whole_word: bool = False, key: str = "doc_id") -> DataFrame:
     """(key, start, end, line) of every hit, from the left, none overlapping the one before.
 
-    Offsets count characters of the whole text. The text is cut into lines and each
-    line at the needle; starts are running sums of the pieces' lengths.
+    Offsets count characters of the whole text. The text is cut into lines and each line
+    at the needle; starts are running sums of the pieces' lengths. Without case, letters
+    are folded one for one, so offsets hold in the text as it is.
     """
     size = len(needle)
+    folded = simple_lower if ignore_case else (lambda c: c)
     needle = needle.lower() if ignore_case else needle
-    in_text = Window.partitionBy("row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    found = docs.select(key, "text", F.monotonically_increasing_id().alias("row")).where(_contains(F.col("text"), needle, ignore_case))
-    line = found.select(key, "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    line = line.withColumn("line_start", F.coalesce(F.sum(F.length("line") + 1).over(in_text), F.lit(0)))
-    line = line.where(_contains(F.col("line"), needle, ignore_case))
-    searched = F.lower("line") if ignore_case else F.col("line")
-    in_line = Window.partitionBy("row", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    cut = line.select(key, "row", "line_no", "line", "line_start", F.posexplode(F.split(searched, _quoted(needle), -1)).alias("k", "piece"))
-    at = cut.withColumn("before", F.sum(F.length("piece") + size).over(in_line)).where("k > 0")
+    contains = lambda c: F.contains(folded(c), F.lit(needle))
+    found = docs.where(contains(F.col("text")))
+    lines = F.filter(placed(F.split("text", "\n", -1), 1), lambda x: contains(x["piece"]))
+    each = found.select(key, F.explode(lines).alias("l")).select(key, F.col("l.piece").alias("line"), F.col("l.start").alias("line_start"))
+    # of the pieces of a line, all but the first follow a hit
+    pieces = placed(F.split(folded(F.col("line")), _quoted(needle), -1), size)
+    at = each.select(key, "line", "line_start", F.explode(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda x: x["start"])).alias("before"))
     start = F.col("before") - size
     if whole_word:
         left = F.when(start > 0, F.expr(f"substring(line, cast(before - {size} as int), 1)")).otherwise("")
@@ -34,18 +43,12 @@ def hits(docs: DataFrame, needle: str, ignore_case: bool = False, whole_word: bo
     return at.select(key, (F.col("line_start") + start).alias("start"), (F.col("line_start") + F.col("before")).alias("end"), "line")
 
 
-def _contains(text: Column, needle: str, ignore_case: bool) -> Column:
-    return F.contains(F.lower(text) if ignore_case else text, F.lit(needle))
-
-
 def _quoted(needle: str) -> str:
     return "\\Q" + needle + "\\E"
 
 
 def words_with_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n, word, start, end): the words between spaces and line breaks, with offsets."""
-    in_text = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = docs.select(key, "text", F.monotonically_increasing_id().alias("row"))
-    cut = rows.select(key, "row", F.posexplode(F.split("text", "[ \n]", -1)).alias("k", "word"))
-    placed = cut.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(in_text), F.lit(0))).where("word <> ''")
-    return placed.select(key, "word", "start", (F.col("start") + F.length("word")).alias("end"))
+    """(key, word, start, end): the words between spaces and line breaks, with offsets."""
+    words = F.filter(placed(F.split("text", "[ \n]", -1), 1), lambda x: x["piece"] != "")
+    each = docs.select(key, F.explode(words).alias("w")).select(key, F.col("w.piece").alias("word"), F.col("w.start").alias("start"))
+    return each.select(key, "word", "start", (F.col("start") + F.length("word")).alias("end"))

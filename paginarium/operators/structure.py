@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paginarium.functions.arrays import runs
 from paginarium.functions.text import line_class, lines, running_key
 from paginarium.functions.wrapping import candidates, simple_lower, web_address
 
 WEB = r"https?://[^\s\"'<>]{4,}"
+HEADING = r"(?is)<h[1-6][ >].*?</h[1-6]>"
 MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 
 
@@ -32,13 +35,10 @@ def running_lines(pages: DataFrame, doc: str, page: str, min_pages: int = 3, sha
 
 
 def list_groups(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, group, class, first_line, n_lines): runs of lines of one class."""
-    rows = docs.select(doc, F.monotonically_increasing_id().alias("row"), lines(F.col("text")).alias("lines"))
-    each = rows.select(doc, "row", F.posexplode("lines").alias("line_no", "line")).withColumn("class", line_class(F.col("line")))
-    in_order = Window.partitionBy("row").orderBy("line_no")
-    changed = (F.lag("class").over(in_order).isNull() | (F.lag("class").over(in_order) != F.col("class"))).cast("int")
-    grouped = each.withColumn("changed", changed).withColumn("group", F.sum("changed").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("row", doc, "group", "class").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines")).drop("row")
+    """(doc, group, class, first_line, n_lines): runs of lines of one class, found within the row."""
+    found = runs(F.transform(lines(F.col("text")), line_class))
+    each = docs.select(doc, F.posexplode(found).alias("g", "run"))
+    return each.select(doc, (F.col("g") + 1).cast("long").alias("group"), F.col("run.value").alias("class"), F.col("run.first").alias("first_line"), F.col("run.n").cast("long").alias("n_lines"))
 
 
 def web_links(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -54,12 +54,10 @@ def mail_links(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def outline(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, depth, n, title): headings of a page's mark-up, in order within each depth."""
-    each = [
-        pages.select(key, F.lit(d).alias("depth"), F.posexplode(F.regexp_extract_all("html", F.lit(f"<h{d}[^>]*>([^<]*)</h{d}>"))).alias("n", "title"))
-        for d in (1, 2, 3)
-    ]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    """(key, n, depth, title): the headings of a page's mark-up in order of place, without mark-up inside them."""
+    found = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(f"({HEADING})"), F.lit(1))).alias("n", "tag"))
+    title = F.trim(F.regexp_replace(F.regexp_replace("tag", "<[^>]*>", ""), r"[ \t\r\n]+", " "))
+    return found.select(key, "n", F.substring("tag", 3, 1).cast("int").alias("depth"), title.alias("title"))
 
 
 def line_changes(pages: DataFrame, doc: str, page: str) -> DataFrame:
@@ -70,17 +68,29 @@ def line_changes(pages: DataFrame, doc: str, page: str) -> DataFrame:
 
 
 def longest_common(left: list[str], right: list[str]) -> tuple[list[str], list[str]]:
-    """Lines only left and only right of a longest common subsequence; on ties left lines go first."""
-    n, m = len(left), len(right)
-    table = [[0] * (m + 1) for _ in range(n + 1)]
+    """Lines only left and only right of a longest common subsequence; on ties left lines go first.
+
+    Of the table of lengths a row at a time is kept, and of each cell one bit: whether the
+    left line goes. Equal first lines are skipped beforehand.
+    """
+    same = 0
+    while same < min(len(left), len(right)) and left[same] == right[same]:
+        same += 1
+    left, right = left[same:], right[same:]
+    index: dict[str, int] = {}
+    a, b = (np.array([index.setdefault(x, len(index)) for x in side], np.int64) for side in (left, right))
+    n, m = len(a), len(b)
+    row, goes = np.zeros(m + 1, np.int32), [np.zeros(0, np.uint8)] * n
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if left[i] == right[j] else max(table[i + 1][j], table[i][j + 1])
+        reach = np.append(np.maximum(row[:-1], np.where(b == a[i], row[1:] + 1, 0)), 0)
+        new = np.maximum.accumulate(reach[::-1])[::-1]
+        goes[i] = np.packbits(row[:-1] >= new[1:])
+        row = new.astype(np.int32)
     removed, added, i, j = [], [], 0, 0
     while i < n and j < m:
-        if left[i] == right[j]:
+        if a[i] == b[j]:
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
+        elif goes[i][j >> 3] >> (7 - (j & 7)) & 1:
             removed.append(left[i])
             i += 1
         else:
@@ -121,7 +131,7 @@ def newest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("nth = 1").drop("nth")
 
 
-def capped_counts(rows: DataFrame, kind: str, order: str, cap: int = 4096) -> DataFrame:
+def capped_counts(rows: DataFrame, kind: str, cap: int = 4096) -> DataFrame:
     """(kind, kept, dropped): events of each kind that a log of ``cap`` entries a kind keeps and drops."""
     n = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
     return n.select(kind, F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("dropped"))

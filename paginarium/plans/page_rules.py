@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paginarium.functions import geometry as g
 from paginarium.operators import structure
-from paginarium.plans.registry import KEY, PAGE_LINES, TURNS, query, table, turns
+from paginarium.plans.registry import HEADED, KEY, PAGE_LINES, TURNS, headed, query, table
 
 NINE = 9
 
@@ -133,18 +133,9 @@ def colours_to_rgb(spark, sf_dir):
 
 # --- running headers, revisions, digests ---------------------------------------------------------
 
-HEADED = (
-    "SELECT conv_id, page, role || ' no. ' || page || chr(10) || 'Chapter One' || chr(10) || text || chr(10) || CASE WHEN page % 2 = 0 THEN 'page ' || page ELSE 'odd' || conv_id || page || text END AS text FROM turns"
-)
 BAND_SQL = "greatest(1, CAST(ceil(len(ls) * 0.12) AS INTEGER))"
 
 
-def headed(spark, sf_dir):
-    """The turns with a head of two lines and a foot, as scanned pages have them."""
-    foot = F.when(F.col("page") % 2 == 0, F.concat(F.lit("page "), "page")).otherwise(F.concat(F.lit("odd"), "conv_id", "page", "text"))
-    return turns(spark, sf_dir).select("conv_id", "page", F.concat_ws("\n", F.concat("role", F.lit(" no. "), "page"), F.lit("Chapter One"), "text", foot).alias("text"))
-
-
 @query(
     "without_running_headers",
     f"""WITH {TURNS}, h AS ({HEADED}), l AS (SELECT conv_id, page, {PAGE_LINES} AS ls FROM h),

@@ -147,20 +147,28 @@ def line_classes(spark, sf_dir):
 
 # --- running lines, lists, comparison -----------------------------------------------------
 
-RUNNING_SHARE = 0.02
+HEADED = (
+    "SELECT conv_id, page, role || ' no. ' || page || chr(10) || 'Chapter One' || chr(10) || text || chr(10) || CASE WHEN page % 2 = 0 THEN 'page ' || page ELSE 'odd' || conv_id || page || text END AS text FROM turns"
+)
+
+
+def headed(spark, sf_dir):
+    """The turns with a head of two lines and a foot, as scanned pages have them."""
+    foot = F.when(F.col("page") % 2 == 0, F.concat(F.lit("page "), "page")).otherwise(F.concat(F.lit("odd"), "conv_id", "page", "text"))
+    return turns(spark, sf_dir).select("conv_id", "page", F.concat_ws("\n", F.concat("role", F.lit(" no. "), "page"), F.lit("Chapter One"), "text", foot).alias("text"))
 
 
 @query(
     "running_lines",
-    f"""WITH l AS (SELECT source, doc_id, {PAGE_LINES} AS ls FROM documents),
-b AS (SELECT source, doc_id, 'top' AS band, ls[1] AS line FROM l WHERE len(ls) > 0 UNION ALL SELECT source, doc_id, 'bottom', ls[len(ls)] FROM l WHERE len(ls) > 0),
-k AS (SELECT DISTINCT source, doc_id, band, {KEY} AS key FROM b),
-t AS (SELECT source, count(DISTINCT doc_id) AS total FROM documents GROUP BY source)
-SELECT k.source, band, key, count(*) AS pages FROM k JOIN t ON k.source = t.source GROUP BY k.source, band, key, total
-HAVING count(*) >= 3 AND count(*) > total * {RUNNING_SHARE}""",
+    f"""WITH {TURNS}, h AS ({HEADED}), l AS (SELECT conv_id, page, {PAGE_LINES} AS ls FROM h),
+b AS (SELECT conv_id, page, 'top' AS band, unnest(ls[1:2]) AS line FROM l UNION ALL SELECT conv_id, page, 'bottom', unnest(ls[-2:]) FROM l),
+k AS (SELECT DISTINCT conv_id, page, band, {KEY} AS key FROM b),
+t AS (SELECT conv_id, count(DISTINCT page) AS total FROM turns GROUP BY conv_id)
+SELECT k.conv_id, band, key, count(*) AS pages FROM k JOIN t ON k.conv_id = t.conv_id GROUP BY k.conv_id, band, key, total
+HAVING count(*) >= 3 AND count(*) > total * 0.5""",
 )
 def running_lines(spark, sf_dir):
-    return structure.running_lines(table(spark, sf_dir, "documents"), "source", "doc_id", share=RUNNING_SHARE)
+    return structure.running_lines(headed(spark, sf_dir), "conv_id", "page", depth=2)
 
 
 @query(
@@ -271,12 +279,13 @@ def links_union(spark, sf_dir):
     return web.unionByName(mail_links(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("key"), "n", "uri"))
 
 
-def _heading_sql(d: int) -> str:
-    found = f"regexp_extract_all(html, '<h{d}[^>]*>([^<]*)</h{d}>', 1)"
-    return f"SELECT page_id, {d} AS depth, CAST(n - 1 AS INTEGER) AS n, title FROM (SELECT page_id, unnest({found}) AS title, generate_subscripts({found}, 1) AS n FROM pages)"
+OUTLINE = (
+    f"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '{structure.HEADING}')) AS tag, generate_subscripts(regexp_extract_all(html, '{structure.HEADING}'), 1) AS n FROM pages) "
+    r"SELECT page_id, CAST(n - 1 AS INTEGER) AS n, CAST(substr(tag, 3, 1) AS INTEGER) AS depth, trim(regexp_replace(regexp_replace(tag, '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')) AS title FROM t"
+)
 
 
-@query("outline", " UNION ALL ".join(map(_heading_sql, (1, 2, 3))))
+@query("outline", OUTLINE)
 def outline(spark, sf_dir):
     return structure.outline(table(spark, sf_dir, "pages"))
 
@@ -338,7 +347,7 @@ CAST(row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, page) AS INT
 )
 def document_merge(spark, sf_dir):
     each = turns(spark, sf_dir).select("conv_id", "page", (F.col("conv_id") % 10).cast("int").alias("volume"))
-    return pages.merge(each, "volume", ["conv_id", "page"])
+    return pages.merge(each, "volume", "conv_id", "page")
 
 
 @query(
@@ -470,7 +479,7 @@ def permission_bits(spark, sf_dir):
 
 @query("diagnostic_counts", "SELECT event_type, least(count(*), 4096) AS kept, greatest(count(*) - 4096, 0) AS dropped FROM events GROUP BY event_type")
 def diagnostic_counts(spark, sf_dir):
-    return structure.capped_counts(table(spark, sf_dir, "events"), "event_type", "event_id")
+    return structure.capped_counts(table(spark, sf_dir, "events"), "event_type")
 
 
 @query(
@@ -530,10 +539,15 @@ def property_get(spark, sf_dir):
     )
 
 
-@query("scoreboard", "SELECT CAST(coalesce(quality, -1) AS INTEGER) AS quality, CAST(coalesce(toxic, -1) AS INTEGER) AS toxic, n FROM (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ROLLUP (quality, toxic))")
+@query(
+    "scoreboard",
+    "SELECT CAST(coalesce(quality, -1) AS INTEGER) AS quality, CAST(coalesce(toxic, -1) AS INTEGER) AS toxic, CAST(level AS INTEGER) AS level, n "
+    "FROM (SELECT quality, toxic, grouping_id(quality, toxic) AS level, count(*) AS n FROM labels GROUP BY ROLLUP (quality, toxic))",
+)
 def scoreboard(spark, sf_dir):
-    found = table(spark, sf_dir, "labels").rollup("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
-    return found.select(*[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in ("quality", "toxic")], "n")
+    """``level`` tells totals (1: of a quality, 3: of all) from rows whose label is null."""
+    found = table(spark, sf_dir, "labels").rollup("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
+    return found.select(*[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in ("quality", "toxic")], "level", "n")
 
 
 @query(
