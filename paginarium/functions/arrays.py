@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements summed by one inner loop of ``running_sums``.
-STRIDE = 64
+STRIDE = 24
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paginarium.functions.arrays import let
+
 # White space of Unicode; scripts written without spaces (East Asian wide
 # characters but Hangul, then Thai and Lao, Myanmar, Khmer); signs that end a wrapped word.
 SPACES = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -21,11 +23,13 @@ HYPHENS = r"\-\x{2010}\x{AD}"
 #: Dots of the leader in an entry of a table of contents, at least.
 LEADER = 5
 
+LAST_WORD = f"([^{SPACES}]*)$"
 TRAILING, LEADING = f"[{SPACES}]+$", f"^[{SPACES}]+"
 WRAPPED, GOES_ON = rf"\p{{L}}[{HYPHENS}]$", r"^[\p{L}\p{N}]"
 COMPOUND_END, COMPOUND_START, CAPITAL = f"[{HYPHENS}][^{SPACES}]*$", f"^[^{SPACES}]*[{HYPHENS}]", r"^[\p{Lu}\p{N}]"
 VANISHING = ((r"\x{200B}$", ""), ("", r"^\x{200B}"), (f"[{WIDE}]$", f"^[{WIDE}]"), (f"[{TIGHT}]$", f"^[{TIGHT}]"))
 FOLIO_WORD = r"(?is)^(?:[!-@\[-`{-~]+|page|of|www\..*|.*://.*|.*\.(?:com|org|net|edu|gov|io)(?:/.*)?)$"
+FOLIO_LINE = f"^[{SPACES}]*(?:(?i:{FOLIO_WORD[6:-2].replace('.*', f'[^{SPACES}]*')}))(?:[{SPACES}]+|$))+$"
 
 
 def stripped(text: Column) -> Column:
@@ -43,21 +47,33 @@ def keeps_hyphen(before: Column, after: Column) -> Column:
 
 
 def join_two(text: Column, following: Column) -> Column:
-    """A line joined onto a text across a line break."""
-    t, n = F.regexp_replace(text, TRAILING, ""), F.regexp_replace(following, LEADING, "")
-    body = F.substring(t, F.lit(1), F.length(t) - 1)
+    """A line joined onto a text across a line break; neither has white space at the break."""
+    body = F.substring(text, F.lit(1), F.length(text) - 1)
     vanishes = F.lit(False)
     for end, start in VANISHING:
-        vanishes = vanishes | ((t.rlike(end) if end else F.lit(True)) & (n.rlike(start) if start else F.lit(True)))
+        vanishes = vanishes | ((text.rlike(end) if end else F.lit(True)) & (following.rlike(start) if start else F.lit(True)))
     return (
-        F.when(t.rlike(WRAPPED) & n.rlike(GOES_ON), F.concat(body, F.when(keeps_hyphen(body, n), "-").otherwise(""), n))
-        .when((t != "") & ~vanishes, F.concat(t, F.lit(" "), n)).otherwise(F.concat(t, n))
+        F.when(text.rlike(WRAPPED) & following.rlike(GOES_ON), F.concat(body, F.when(keeps_hyphen(body, following), "-").otherwise(""), following))
+        .when((text != "") & ~vanishes, F.concat(text, F.lit(" "), following)).otherwise(F.concat(text, following))
     )
 
 
 def joined(lines: Column) -> Column:
-    """All lines of a paragraph as one text."""
-    return F.aggregate(lines, F.lit(""), join_two)
+    """All lines of a paragraph as one text.
+
+    How a line joins depends on the last word before it alone, so the patterns never run
+    over the text as a whole.
+    """
+
+    def step(state: Column, line: Column) -> Column:
+        def cut(both: Column) -> Column:
+            return let(F.regexp_extract(both, LAST_WORD, 1), lambda last: F.struct(F.concat(state["done"], F.substring(both, F.lit(1), F.length(both) - F.length(last))).alias("done"), last.alias("last")))
+
+        return let(stripped(line), lambda n: let(join_two(state["last"], n), cut))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+    tail = F.regexp_extract(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), f"([{SPACES}]+)$", 1)
+    return F.concat(F.aggregate(lines, start, step, lambda s: F.concat(s["done"], s["last"])), tail)
 
 
 def word_count(text: Column) -> Column:
@@ -68,13 +84,13 @@ def word_count(text: Column) -> Column:
         tight = F.length(piece) - F.length(rest)
         return F.greatest(F.ceil(tight / 2).cast("int"), F.when((tight == 0) | rest.rlike(r"[\p{L}\p{N}]"), 1).otherwise(0))
 
-    return F.aggregate(pieces(text), F.lit(0), lambda n, piece: n + of(piece))
+    plain = F.size(pieces(text))
+    return F.when(text.rlike(f"[{WIDE}{TIGHT}]"), F.aggregate(pieces(text), F.lit(0), lambda n, piece: n + of(piece))).otherwise(plain)
 
 
 def is_folio(line: Column) -> Column:
     """Page numbers, addresses, marks and the words "page" and "of" alone."""
-    found = pieces(line)
-    return (F.size(found) > 0) & F.forall(found, lambda x: x.rlike(FOLIO_WORD))
+    return line.rlike(FOLIO_LINE)
 
 
 def is_leader_entry(line: Column) -> Column:

@@ -49,6 +49,8 @@ def _quoted(needle: str) -> str:
 
 def words_with_offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, word, start, end): the words between spaces and line breaks, with offsets."""
-    words = F.filter(placed(F.split("text", "[ \n]", -1), 1), lambda x: x["piece"] != "")
-    each = docs.select(key, F.explode(words).alias("w")).select(key, F.col("w.piece").alias("word"), F.col("w.start").alias("start"))
+    line = docs.select(key, F.explode(placed(F.split("text", "\n", -1), 1)).alias("l"))
+    words = F.filter(placed(F.split("l.piece", " ", -1), 1), lambda x: x["piece"] != "")
+    each = line.select(key, F.col("l.start").alias("line_start"), F.explode(words).alias("w"))
+    each = each.select(key, F.col("w.piece").alias("word"), (F.col("line_start") + F.col("w.start")).alias("start"))
     return each.select(key, "word", "start", (F.col("start") + F.length("word")).alias("end"))
