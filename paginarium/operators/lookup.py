@@ -28,8 +28,15 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
     """(node, steps): nodes that the roots reach over (src, dst) edges, with the fewest steps.
 
     A round joins the newest nodes with the edges; it ends when a round finds nothing
-    or at ``depth``, the bound of the file model's trees.
+    or at ``depth``, the bound of the file model's trees. Rounds are checkpointed in the
+    folder that ``spark.checkpoint.dir`` names; that setting is needed.
     """
+    context = edges.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(folder)
     found = roots.select("node").distinct().withColumn("steps", F.lit(0)).checkpoint()
     newest = found
     for k in range(1, depth + 1):

@@ -1 +1 @@
-"""Sources of the document engine."""
+"""Reading and writing of paged texts."""
