@@ -58,8 +58,8 @@ FILTER_BITS = 1 << 24
 SEEN = 500_000
 #: Linear rounds before the pairs across components.
 STARS = 1
-#: Members of a list that one key holds while the list's heads are found and compared.
-SALTED = 2000
+#: Members of a list, or pairs of a set, that one key holds while they are joined.
+SALTED = 1000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -217,6 +217,14 @@ def _spark_bit(key: bytes) -> int:
     return h % FILTER_BITS  # FILTER_BITS divides 2**64, so signed and unsigned agree
 
 
+def with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the set of ``key`` as ``name``. A set in many pairs is dealt over several keys, and so are its pairs."""
+    sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    dealt = rows.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64("a", "b"), salted()).cast("int")).drop("size")
+    each = sets.select(F.col("key").alias(key), F.col("shingles").alias(name)).join(sizes, key)
+    return dealt.join(each.select(key, F.explode(F.sequence(F.lit(0), salted() - 1)).alias("salt"), name), [key, "salt"]).drop("salt")
+
+
 def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes that are similar, by probing one set in the other."""
 
@@ -242,8 +250,7 @@ def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
     if named.isEmpty():
         return named.select("a", "b")
     sets = sets_of(docs, named.select(F.col("ka").alias("key")).union(named.select("kb")))
-    with_a = named.join(sets.select(F.col("key").alias("ka"), F.col("shingles").alias("x")), "ka")
-    both = with_a.join(sets.select(F.col("key").alias("kb"), F.col("shingles").alias("y")), "kb")
+    both = with_sets(with_sets(named, named, sets, "ka", "x"), named, sets, "kb", "y")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 

@@ -55,7 +55,9 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, key string, n int").repartition(5)
 
 
-def test_components_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("parts", [tsearch.SALTED, 3])
+def test_components_equal_brute_force(spark, docs, parts, monkeypatch):
+    monkeypatch.setattr(tsearch, "SALTED", parts)  # 3: lists and hubs are dealt over several keys
     rows = corpus()
     group, sizes = brute_components(rows)
     smallest = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in set(group)}
