@@ -172,8 +172,10 @@ def automaton(path: str) -> tuple[TokenAutomaton, WordEncoder]:
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """Per document: ids (array), decoded text and their digests.
 
-    A null text counts as empty (no ids, empty text); repeated rows give repeated
-    rows; other columns don't matter. No shuffle: each row depends on itself alone.
+    A null text counts as empty (no ids, empty text); repeated rows give repeated rows, a
+    null doc_id stays null; a text of any length is encoded whole; an empty table gives no
+    rows; other columns, whatever their names, are not read. No shuffle: each row depends
+    on itself alone.
     """
     from pyspark.sql import functions as F
 

@@ -33,7 +33,10 @@ the slices.
 
 Defined cases: a null text is empty and has the end token alone; a null doc_id is
 never held out; repeated rows are scored each and count each; without training rows
-every word is unseen and scores like the base model.
+every word is unseen and scores like the base model; a text of any length is read whole,
+a very long one as a slice by itself; a word that fits two classes equally well stays in
+its class, or takes the one with the smaller number; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

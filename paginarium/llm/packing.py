@@ -15,7 +15,8 @@
 
 Defined cases: a null text is empty and has the end id alone; rows with a repeated or
 null doc_id are separate documents; an empty table gives no rows; a document of any
-length is cut, never dropped.
+length is cut, never dropped; pieces of one length class and id are ranked by their place in
+the written table of pieces; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -20,8 +20,9 @@ atomic commits and splitting); the frequency table is a second small folder.
 
 Defined cases: a null text is empty; every document ends with the end id, so none is
 without ids; a document longer than a block continues in the next; a null doc_id
-sorts first; rows with equal doc_id are ordered by a hash of the text; an empty
-table gives no blocks.
+sorts first; rows with equal doc_id are ordered by a hash of the text, and of equal
+texts the order makes no difference; an empty table gives no blocks; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

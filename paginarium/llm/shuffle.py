@@ -13,7 +13,8 @@ Defined cases: a null size column counts 0; equal rows are separate records (the
 hash also takes the row's place in the scan, so copies of one key spread over all
 buckets); an empty table gives no rows; a single record larger than the bucket
 size has its bucket to itself and its companions. Columns of the input keep their
-names; ``bucket``, ``place``, ``shard`` and ``slot`` of the input are overwritten
+names, and the order depends on how the table lies in its files (the hash takes the row's
+place in the scan); ``bucket``, ``place``, ``shard`` and ``slot`` of the input are overwritten
 only inside a struct and therefore survive under ``record``.
 """
 

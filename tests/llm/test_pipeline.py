@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -49,3 +51,28 @@ def test_stages_return_the_columns_of_documents(spark):
         out = stage(spark, empty, SF)
         assert out.columns == empty.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty, very long and repeated rows, and columns named like those that stages make."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(None, "a text without an id and some words", "x", 7.0, 1), (900_001, None, "x", 7.0, 2), (900_002, "", None, None, 3), (900_002, "", None, None, 3), (900_003, "long words " * 30_000, "x", 8.0, 4), (900_004, "  \n", "x", 8.0, 5)]
+    extra = plain.select("doc_id", "text", F.lit("o").alias("own"), F.lit(5.0).alias("score"), F.lit(6).alias("component"))
+    rows = extra.unionByName(spark.createDataFrame(odd, "doc_id long, text string, own string, score double, component int"))
+    docs = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {str(r) for r in docs.collect()}
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == rows.columns and {str(r) for r in docs.collect()} <= before  # values stay as they were
+        assert stage(spark, rows.where("doc_id = -1"), str(tmp_path)).count() == 0
+    kept = docs.where("doc_id IS NOT NULL").select("doc_id").collect()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} >= {r["doc_id"] for r in kept}
+    # empty rows that pass the classifiers are like nothing: near-duplicate removal keeps both
+    wordless = spark.createDataFrame(odd, "doc_id long, text string, own string, score double, component int")
+    left = corpus_pipeline.near_duplicates(spark, wordless, str(tmp_path)).collect()
+    assert len(left) == len(odd)
