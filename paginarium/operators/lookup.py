@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str, bucket: Column | None = None) -> DataFrame:
     """``left`` with ``out``: the value of the last row of ``right`` at or before each row, within ``by``.
 
-    Both sides share one sort by (by, at): no range join, no row pairs. Ties in ``at``
-    take the greatest value.
+    Both sides share one sort by (by, bucket, at): no range join, no row pairs. ``bucket`` is
+    a rising function of ``at`` (a day, an hour): a key with a third of all rows is then
+    sorted bucket by bucket, and what a row finds before its bucket is carried forward over
+    one row a bucket. Ties in ``at`` take the greatest value; a null ``at`` finds nothing.
     """
-    r = right.select(F.col(by), F.col(at), F.struct(F.col(value)).alias("seen"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("row"), F.lit(0).alias("side"))
-    own = left.select(F.col(by), F.col(at), F.lit(None).cast(r.schema["seen"].dataType).alias("seen"), F.struct("*").alias("row"), F.lit(1).alias("side"))
-    order = Window.partitionBy(by).orderBy(at, "side", "seen").rowsBetween(Window.unboundedPreceding, 0)
-    found = r.unionByName(own).withColumn("last", F.last("seen", ignorenulls=True).over(order)).where("side = 1")
-    return found.select("row.*", F.col(f"last.{value}").alias(out))
+    bucket = F.lit(0) if bucket is None else bucket
+    seen = F.struct(F.col(at).alias("at"), F.col(value).alias("value"))
+    r = right.where(F.col(at).isNotNull()).select(F.col(by).alias("k"), F.col(at).alias("t"), bucket.alias("b"), seen.alias("seen"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("row"), F.lit(0).alias("side"))
+    own = left.select(F.col(by).alias("k"), F.col(at).alias("t"), bucket.alias("b"), F.lit(None).cast(r.schema["seen"].dataType).alias("seen"), F.struct("*").alias("row"), F.lit(1).alias("side"))
+    both = r.unionByName(own)
+    inside = Window.partitionBy("k", "b").orderBy("t", "side", "seen").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("k", "b").agg(F.max("seen").alias("newest")).select(F.col("k").alias("ck"), F.col("b").alias("cb"), F.last("newest", ignorenulls=True).over(before).alias("carried"))
+    found = both.withColumn("last", F.last("seen", ignorenulls=True).over(inside)).where("side = 1")
+    joined = found.join(carried, found["k"].eqNullSafe(carried["ck"]) & found["b"].eqNullSafe(carried["cb"]), "left")
+    last = F.when(F.col("t").isNotNull() & F.col("k").isNotNull(), F.coalesce("last", "carried"))
+    return joined.select("row.*", last["value"].alias(out))
 
 
 def paired(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -613,7 +613,7 @@ SELECT e.user_id, e.event_id, coalesce(c.event_id, -1) AS last_click FROM e ASOF
 def asof_lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
     errors, clicks = (events.where(F.col("event_type") == k).drop("event_type") for k in ("error", "click"))
-    return lookup.as_of(errors, clicks, "user_id", "ts", "event_id", "last_click").select("user_id", "event_id", F.coalesce("last_click", F.lit(-1)).alias("last_click"))
+    return lookup.as_of(errors, clicks, "user_id", "ts", "event_id", "last_click", F.date_trunc("day", "ts")).select("user_id", "event_id", F.coalesce("last_click", F.lit(-1)).alias("last_click"))
 
 
 @query(
