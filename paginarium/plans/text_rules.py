@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paginarium.functions import text, wrapping as w
-from paginarium.operators import structure
+from paginarium.operators import search, structure
 from paginarium.plans.registry import PAGE_LINES, query, table
 
 
@@ -185,3 +185,23 @@ def addresses_sql(key: str, source: str, text_sql: str) -> str:
 def web_addresses(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
     return structure.web_addresses(with_literals(rows, ADDRESSES), "page_id", F.col("text"))
+
+
+# --- needles of several words ------------------------------------------------------------------
+
+PHRASES = ["of\nthe of  the OF THE ofthe of\u00a0the", "o\u00adf t\u00adhe end", "of, the"]
+
+
+def phrase_sql(needle: str, source: str) -> str:
+    pattern = search.phrase_pattern(needle).replace("'", "''")
+    return (
+        f"WITH d AS ({source}), l AS (SELECT *, lower(replace(replace(text, 'İ', 'i'), 'Σ', 'σ')) AS low FROM d), "
+        f"p AS (SELECT doc_id, text, unnest(string_split_regex(low, '{pattern}')) AS piece, generate_subscripts(string_split_regex(low, '{pattern}'), 1) AS k, regexp_extract_all(low, '{pattern}') AS hits FROM l), "
+        "s AS (SELECT *, length(piece) + sum(length(piece) + coalesce(length(hits[k]), 0)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(piece) - coalesce(length(hits[k]), 0) AS start FROM p) "
+        'SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(hits[k]) AS BIGINT) AS "end", substr(text, CAST(start + 1 AS BIGINT), length(hits[k])) AS hit FROM s WHERE k <= len(hits)'
+    )
+
+
+@query("phrase_search", phrase_sql("of the", f"SELECT doc_id, text FROM documents UNION ALL {literal_rows(PHRASES)}"))
+def phrase_search(spark, sf_dir):
+    return search.phrase_hits(with_literals(table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES), "of the")

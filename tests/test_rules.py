@@ -157,3 +157,15 @@ def test_texts_and_json_go_out_and_come_back(spark, tmp_path):
     assert sorted(map(str, again.drop("_corrupt").collect())) == sorted(map(str, rows.collect()))
     writers.write_pages(rows, "doc", "page", "text", f"{tmp_path}/pages")
     assert spark.read.text(f"{tmp_path}/pages").groupBy("doc", "page").count().count() == 3
+
+
+def test_needles_of_several_parts(spark):
+    docs = spark.createDataFrame([(1, "One two\nTHREE onetwo one  two"), (2, "漢 字漢字 x"), (3, "a b ab a"), (4, "soft\u00adware soft ware")], "doc_id int, text string")
+    find = lambda needle: sorted((r["doc_id"], r["start"], r["end"]) for r in search.phrase_hits(docs, needle).collect())
+    assert find("one two") == [(1, 0, 7), (1, 21, 29)]
+    assert find("two three") == [(1, 4, 13)]
+    assert find("漢字") == [(2, 0, 3), (2, 3, 5)]
+    assert find(" b ") == [(3, 1, 4)]
+    assert find("a ") == [(3, 0, 2)]
+    assert find("software") == [(4, 0, 9)]
+    assert find("   ") == [] and find("") == []
