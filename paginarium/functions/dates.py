@@ -7,11 +7,14 @@ An instant is milliseconds since 1970 in UTC, as a long. Pattern letters: ``m``
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paginarium.functions.arrays import let
+
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 DAY = 86_400_000
@@ -151,6 +154,11 @@ def scanned(text: Column, pattern: str, now: int) -> Column:
     Numbers may have fewer digits than letters; ``mmm`` and ``mmmm`` also take names;
     marks between the parts match any sign; an empty text is ``now``.
     """
+    expression, fields = _expression(pattern)
+    return _instant_of(text, expression, fields, now)
+
+
+def _expression(pattern: str) -> tuple[str, list[tuple[str, int]]]:
     expression, fields = "", []
     for piece in LETTERS.split(pattern):
         if not piece:
@@ -170,24 +178,42 @@ def scanned(text: Column, pattern: str, now: int) -> Column:
             fields.append((c, n))
         else:
             expression += "".join("." if x in ":.-\\/" else re.escape(x) for x in piece)
-    expression = "(?s)^" + expression
-    found = {c: (F.regexp_extract(text, expression, k + 1), n) for k, (c, n) in enumerate(fields)}
-    start = {k: v for k, v in parts(F.lit(now).cast("long")).items()}
-
-    def number(c: str, name: str) -> Column:
-        return F.coalesce(found[c][0].try_cast("int"), F.lit(-1)) if c in found else start[name]
-
-    year = expand_year(number("y", "year")) if "y" in found and found["y"][1] > 1 else start["year"]
-    month = number("m", "month")
-    if "m" in found and found["m"][1] >= 3:
-        name = F.lower(found["m"][0])
-        names = F.array(*[F.lit(m.lower()[: 3 if found["m"][1] == 3 else None]) for m in MONTHS])
-        fits = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda k: F.contains(F.element_at(names, k), name)) if found["m"][1] > 3 else F.array(F.array_position(names, name))
-        first = F.try_element_at(fits, F.lit(1)).cast("int")
-        month = F.when((name != "") & (first > 0), first).otherwise(month)
-    day, minute, second = number("d", "day"), number("M", "minute"), number("s", "second")
-    hour = number("H", "hour") if "H" in found else number("h", "hour")
-    if "t" in found:
-        hour = hour + F.when(found["t"][0] == ("pm" if found["t"][1] == 2 else "p"), 12).otherwise(0)
-    sound = text.rlike(expression) & month.between(1, 12) & day.between(1, 31) & hour.between(0, 24) & minute.between(0, 60) & second.between(0, 60)
-    return F.when(text == "", F.lit(now).cast("long")).when(sound, make_date(make_day(year, F.when(month.between(1, 12), month).otherwise(1), day), make_time(hour, minute, second)))
+    return "(?s)^" + expression, fields
+
+
+def _instant_of(text: Column, expression: str, fields: list[tuple[str, int]], now: int) -> Column:
+    """Texts of the fields first, then their numbers, then the instant: each is worked out once."""
+    raw = F.struct(text.rlike(expression).alias("fits"), *[F.regexp_extract(text, expression, k + 1).alias(f"part_{k}") for k in range(len(fields))])
+    width, at = dict(fields), {c: f"part_{k}" for k, (c, _) in enumerate(fields)}
+    start = dates_at(now)
+
+    def numbers(r: Column) -> Column:
+        def number(c: str, name: str) -> Column:
+            return F.coalesce(r[at[c]].try_cast("int"), F.lit(-1)) if c in width else F.lit(start[name])
+
+        year = expand_year(number("y", "year")) if width.get("y", 0) > 1 else F.lit(start["year"])
+        month = number("m", "month")
+        if width.get("m", 0) >= 3:
+            name = F.lower(r[at["m"]])
+            names = F.array(*[F.lit(m.lower()[: 3 if width["m"] == 3 else None]) for m in MONTHS])
+            fits = F.transform(names, lambda full, k: F.when(F.contains(full, name) if width["m"] > 3 else full == name, k + 1))
+            month = F.when(name != "", F.coalesce(F.array_min(fits), month)).otherwise(month)
+        hour = number("H", "hour") if "H" in width else number("h", "hour")
+        if "t" in width:
+            hour = hour + F.when(r[at["t"]] == ("pm" if width["t"] == 2 else "p"), 12).otherwise(0)
+        return F.struct(
+            r["fits"].alias("fits"), year.alias("year"), month.alias("month"), number("d", "day").alias("day"),
+            hour.alias("hour"), number("M", "minute").alias("minute"), number("s", "second").alias("second"),
+        )
+
+    def whole(n: Column) -> Column:
+        sound = n["fits"] & n["month"].between(1, 12) & n["day"].between(1, 31) & n["hour"].between(0, 24) & n["minute"].between(0, 60) & n["second"].between(0, 60)
+        return F.when(sound, make_date(make_day(n["year"], n["month"], n["day"]), make_time(n["hour"], n["minute"], n["second"])))
+
+    return F.when(text == "", F.lit(now).cast("long")).otherwise(let(raw, lambda r: let(numbers(r), whole)))
+
+
+def dates_at(now: int) -> dict[str, int]:
+    """The civil parts of an instant that is at hand when the plan is made."""
+    at = datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=now)
+    return {k: getattr(at, k) for k in ("year", "month", "day", "hour", "minute", "second")}
