@@ -18,7 +18,8 @@ boilerplate out of the merged lists.
 
 Large groups of near copies don't multiply: first each posting is compared with its
 list's two most central documents only, which is linear; pairs already
-joined by those links need no comparison, the others are all enumerated.
+joined by those links need no comparison, the others are all enumerated, but for those
+whose signatures differ in more places than similar sets can.
 
 Defined cases: a null text is empty; a text with one to four words has one shingle;
 texts without words link with nothing, not even each other; a null doc_id takes part
@@ -56,6 +57,8 @@ SLICE_BYTES = 4_000_000
 FILTER_BITS = 1 << 24
 #: Keys a task remembers to have sent.
 SEEN = 500_000
+#: Longs of a signature (a power of two).
+SIGNS = 8
 #: Linear rounds before the pairs across components.
 STARS = 1
 #: Members of a list, or pairs of a set, that one key holds while they are joined.
@@ -109,6 +112,21 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 64 * ``SIGNS`` classes of hashes whether the set has an odd number, as bits of longs.
+
+    In two sets' signatures no more bits differ than shingles are in one set only.
+    """
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * SIGNS - 1), minlength=64 * SIGNS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_be_similar(a: str, b: str, an: str, bn: str) -> F.Column:
+    """Whether the signatures leave two sets the overlap they need."""
+    differing = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, SIGNS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return differing <= F.col(an) + F.col(bn) - 2 * needed(an, bn)
+
+
 def least_overlap(n: int) -> int:
     return (4 * n + 4) // 5
 
@@ -142,7 +160,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, n, key, short): set size, digest of the set, the shingles whose lists are merged."""
+    """(doc_id, text_hash, n, key, short, signs): set size, digest of the set, the shingles whose lists are merged, ``signature``."""
 
     def run(batches):
         for batch in batches:
@@ -158,18 +176,19 @@ def described(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                         rank = np.where(hot[0][k] == s, hot[1][k], rank)
                     t = least_overlap(n)
                     short = s[np.lexsort((s, rank))][: n - t + min(HITS, t)]
-                    rows.append((n, set_key(s), short.view(np.int64)))
-                n, key, short = zip(*rows)
+                    rows.append((n, set_key(s), short.view(np.int64), signature(s)))
+                n, key, short, signs = zip(*rows)
                 lengths = np.fromiter(map(len, short), np.int64, len(short))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, 500).cast(pa.int64()), hashes.slice(at, 500), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate(short))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNS * len(signs) + 1, SIGNS), pa.int32()), pa.array(np.concatenate(signs))),
                     ],
-                    names=["doc_id", "text_hash", "n", "key", "short"],
+                    names=["doc_id", "text_hash", "n", "key", "short", "signs"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, key binary, short array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, key binary, short array<long>, signs array<long>")
 
 
 def key_bit(key) -> F.Column:
@@ -328,7 +347,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     hot = hot_shingles(docs)
     facts = settle(spark, described(docs, hot).withColumn("row", F.monotonically_increasing_id()), "facts")
     some = facts.where("n > 0").groupBy("key")
-    classes = settle(spark, some.agg(F.min("row").alias("rid"), F.min("doc_id").alias("first_doc")), "classes")
+    classes = settle(spark, some.agg(F.min("row").alias("rid"), F.min("doc_id").alias("first_doc"), F.first("signs").alias("signs")), "classes")
     postings = some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("short").alias("short")).select(F.posexplode("short").alias("at", "h"), "rid", "n")
     sizes = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = settle(spark, postings.join(sizes, "h"), "shared")
@@ -347,11 +366,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("rid")
     left_over = with_components(lists, joined).withColumn("after", F.count(F.lit(1)).over(own))
     left_over = left_over.withColumn("before", F.row_number().over(own.orderBy("at")) - 1).withColumn("after", F.col("after") - F.col("before") - 1)
-    mixed = settle(spark, left_over.select("h", "rid", "n", "c", "at", "before", "after"), "mixed")
+    left_over = left_over.join(classes.select("rid", "signs"), "rid")
+    mixed = settle(spark, left_over.select("h", "rid", "n", "c", "at", "before", "after", "signs"), "mixed")
     most = F.least("abefore", "bbefore") + 1 + F.least("aafter", "bafter")
-    left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at", "before", "after")]) for s in "ab")
+    left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at", "before", "after", "signs")]) for s in "ab")
     across = (
-        left.join(right, "h").where(enough(most) & (F.col("arid") < F.col("brid")) & (F.col("ac") != F.col("bc")) & similar_sizes("an", "bn") & in_place("aat", "bat", "an", "bn"))
+        left.join(right, "h").where(enough(most) & (F.col("arid") < F.col("brid")) & (F.col("ac") != F.col("bc")) & similar_sizes("an", "bn") & in_place("aat", "bat", "an", "bn") & may_be_similar("asigns", "bsigns", "an", "bn"))
         .groupBy("arid", "brid").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
         .where(enough(F.col("hits"))).select(F.col("arid").alias("a"), F.col("brid").alias("b"))
     )

@@ -166,3 +166,13 @@ def test_every_query_of_the_real_table_is_settled_by_the_walk(spark):
     mine = ids % 20 == 0
     read, scored = settled(vectors, ids, vectors[mine], ids[mine], 20, np.linalg.eigh(np.cov(vectors.T))[1])
     assert read < 0.25 and scored <= 1
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        base = rng.integers(0, 2**63, 200).astype(np.uint64)
+        a, b = np.unique(base[: rng.integers(1, 200)]), np.unique(base[rng.integers(0, 100) : rng.integers(100, 200)])
+        bits = int(np.bitwise_count(tsearch.signature(a) ^ tsearch.signature(b)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+    assert len(tsearch.signature(base[:0])) == tsearch.SIGNS
