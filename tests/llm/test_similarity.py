@@ -173,6 +173,6 @@ def test_signatures_bound_the_difference():
     for _ in range(300):
         base = rng.integers(0, 2**63, 200).astype(np.uint64)
         a, b = np.unique(base[: rng.integers(1, 200)]), np.unique(base[rng.integers(0, 100) : rng.integers(100, 200)])
-        bits = int(np.bitwise_count(tsearch.signature(a) ^ tsearch.signature(b)).sum())
+        bits = int(np.bitwise_count((tsearch.signature(a) ^ tsearch.signature(b)).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(a, b))
     assert len(tsearch.signature(base[:0])) == tsearch.SIGNS
