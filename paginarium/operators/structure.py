@@ -11,7 +11,6 @@ from paginarium.functions.arrays import runs
 from paginarium.functions.text import line_class, lines, running_key
 from paginarium.functions.wrapping import candidates, simple_lower, web_address
 
-WEB = r"https?://[^\s\"'<>]{4,}"
 HEADING = r"(?is)<h[1-6][ >].*?</h[1-6]>"
 MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 
@@ -41,11 +40,9 @@ def list_groups(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     return each.select(doc, (F.col("g") + 1).cast("long").alias("group"), F.col("run.value").alias("class"), F.col("run.first").alias("first_line"), F.col("run.n").cast("long").alias("n_lines"))
 
 
-def web_links(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, n, uri): web addresses in order of place, without trailing ``) , > .``."""
-    found = F.regexp_extract_all(text, F.lit(f"({WEB})"))
-    cut = F.transform(found, lambda u: F.regexp_replace(u, r"[),>.]+$", ""))
-    return rows.select(key, F.posexplode(cut).alias("n", "uri"))
+def web_links(pages: DataFrame, key: str, marked_up: Column) -> DataFrame:
+    """(key, n, uri): the addresses of a marked-up page, where quotes and angle brackets also end a candidate."""
+    return web_addresses(pages, key, F.regexp_replace(marked_up, "[\"'<>]", " "))
 
 
 def mail_links(rows: DataFrame, key: str, text: Column) -> DataFrame:

@@ -248,7 +248,6 @@ def duplicate_files(spark, sf_dir):
 
 # --- links and outline --------------------------------------------------------------------
 
-WEB_SQL = r"regexp_extract_all({0}, 'https?://[^\s\"''<>]{{4,}}')"
 MAIL_SQL = r"regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+')"
 
 
@@ -256,29 +255,14 @@ def unnested(key: str, found: str, source: str, uri: str) -> str:
     return f"SELECT {key}, {uri} AS uri, CAST(n - 1 AS INTEGER) AS n FROM (SELECT {key}, unnest({found}) AS u, generate_subscripts({found}, 1) AS n FROM {source})"
 
 
-WEB_LINKS = unnested("page_id", WEB_SQL.format("url || ' ' || html"), "pages", "regexp_replace(u, '[),>.]+$', '')")
 MAIL_LINKS = unnested("doc_id", MAIL_SQL, "documents", "'mailto:' || u")
 
 
-@query("web_links", WEB_LINKS)
-def web_links(spark, sf_dir):
-    return structure.web_links(table(spark, sf_dir, "pages"), "page_id", F.concat_ws(" ", "url", "html"))
-
-
 @query("mail_links", MAIL_LINKS)
 def mail_links(spark, sf_dir):
     return structure.mail_links(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-@query(
-    "links_union",
-    f"SELECT 'page' AS kind, page_id AS key, n, uri FROM ({WEB_LINKS}) UNION ALL SELECT 'document', doc_id, n, uri FROM ({MAIL_LINKS})",
-)
-def links_union(spark, sf_dir):
-    web = web_links(spark, sf_dir).select(F.lit("page").alias("kind"), F.col("page_id").alias("key"), "n", "uri")
-    return web.unionByName(mail_links(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("key"), "n", "uri"))
-
-
 OUTLINE = (
     f"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '{structure.HEADING}')) AS tag, generate_subscripts(regexp_extract_all(html, '{structure.HEADING}'), 1) AS n FROM pages) "
     r"SELECT page_id, CAST(n - 1 AS INTEGER) AS n, CAST(substr(tag, 3, 1) AS INTEGER) AS depth, trim(regexp_replace(regexp_replace(tag, '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')) AS title FROM t"
@@ -290,15 +274,6 @@ def outline(spark, sf_dir):
     return structure.outline(table(spark, sf_dir, "pages"))
 
 
-@query(
-    "link_hosts",
-    f"SELECT regexp_extract(uri, '^https?://([^/:?#]+)', 1) AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({WEB_LINKS}) GROUP BY 1",
-)
-def link_hosts(spark, sf_dir):
-    host = F.regexp_extract("uri", "^https?://([^/:?#]+)", 1).alias("host")
-    return web_links(spark, sf_dir).groupBy(host).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"))
-
-
 # --- pages ---------------------------------------------------------------------------------
 
 SPEC = "2,1,3-end,2"

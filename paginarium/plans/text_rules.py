@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paginarium.functions import text, wrapping as w
 from paginarium.operators import search, structure
-from paginarium.plans.registry import PAGE_LINES, query, table
+from paginarium.plans.registry import MAIL_LINKS, PAGE_LINES, mail_links, query, table
 
 
 def quoted(value: str) -> str:
@@ -187,6 +187,29 @@ def web_addresses(spark, sf_dir):
     return structure.web_addresses(with_literals(rows, ADDRESSES), "page_id", F.col("text"))
 
 
+WEB_LINKS = addresses_sql("page_id", "SELECT page_id, regexp_replace(url || ' ' || html, '[\"''<>]', ' ', 'g') AS text FROM pages", "text")
+
+
+@query("web_links", WEB_LINKS)
+def web_links(spark, sf_dir):
+    return structure.web_links(table(spark, sf_dir, "pages"), "page_id", F.concat_ws(" ", "url", "html"))
+
+
+@query("links_union", f"SELECT 'page' AS kind, page_id AS key, n, uri FROM ({WEB_LINKS}) UNION ALL SELECT 'document', doc_id, n, uri FROM ({MAIL_LINKS})")
+def links_union(spark, sf_dir):
+    web = web_links(spark, sf_dir).select(F.lit("page").alias("kind"), F.col("page_id").alias("key"), "n", "uri")
+    return web.unionByName(mail_links(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("key"), "n", "uri"))
+
+
+HOST = "(?i)^https?://([^/:?#]+)"
+
+
+@query("link_hosts", f"SELECT lower(regexp_extract(uri, '{HOST}', 1)) AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({WEB_LINKS}) GROUP BY 1")
+def link_hosts(spark, sf_dir):
+    host = F.lower(F.regexp_extract("uri", HOST, 1)).alias("host")
+    return web_links(spark, sf_dir).groupBy(host).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"))
+
+
 # --- needles of several words ------------------------------------------------------------------
 
 PHRASES = ["of\nthe of  the OF THE ofthe of\u00a0the", "o\u00adf t\u00adhe end", "of, the"]
