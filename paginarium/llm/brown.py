@@ -383,7 +383,6 @@ def word_classes(spark: SparkSession, texts: DataFrame, words: DataFrame, keys:
                 break
         # no later round reads what this one was made of, unless it is the best so far
         forget(spark, [f"{base}/near{t}" for t in range(turn) if t != chosen])
-        spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the rounds before
         now = exchanged(near, pair, turn)
     return best.where("bucket IS NOT NULL").select("slice", "bucket", "low", "cls"), found
 

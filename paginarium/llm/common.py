@@ -37,11 +37,12 @@ def settle(spark: SparkSession, df: DataFrame, name: str = "t", compression: str
 
 
 def forget(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that ``settle`` wrote and nothing reads any more."""
+    """Delete tables that ``settle`` wrote and nothing reads any more, and let Spark drop shuffle files without a user."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
+    jvm.System.gc()
 
 
 def id_remainder(doc_id: str | Column = "doc_id", mod: int = 5) -> Column:

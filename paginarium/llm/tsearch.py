@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paginarium.llm.common import settle
+from paginarium.llm.common import forget, settle, shared_dir
 from paginarium.llm.components import components
 
 WIDTH = 5
@@ -244,8 +244,8 @@ def with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, name
     return dealt.join(each.select(key, F.explode(F.sequence(F.lit(0), salted() - 1)).alias("salt"), name), [key, "salt"]).drop("salt")
 
 
-def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes that are similar, by probing one set in the other."""
+def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
+    """Those pairs (a, b) of classes that are similar, by probing one set in the other. All pairs are written to ``path`` first."""
 
     def flat_sets(column) -> tuple[np.ndarray, np.ndarray]:
         """All sets of a batch in one array as it lies in the batch, and where each begins."""
@@ -265,7 +265,7 @@ def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
 
     names = classes.select("rid", "key")
     named = pairs.select("a", "b").distinct().join(names.select(F.col("rid").alias("a"), F.col("key").alias("ka")), "a")
-    named = settle(spark, named.join(names.select(F.col("rid").alias("b"), F.col("key").alias("kb")), "b"), "pairs")
+    named = settle(spark, named.join(names.select(F.col("rid").alias("b"), F.col("key").alias("kb")), "b"), path=path)
     if named.isEmpty():
         return named.select("a", "b")
     sets = sets_of(docs, named.select(F.col("ka").alias("key")).union(named.select("kb")))
@@ -344,20 +344,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ``component`` numbers the components of documents with words (null without words),
     also where no member has an id.
     """
-    hot = hot_shingles(docs)
+    hot, base = hot_shingles(docs), shared_dir(spark)
     facts = settle(spark, described(docs, hot).withColumn("row", F.monotonically_increasing_id()), "facts")
     some = facts.where("n > 0").groupBy("key")
     classes = settle(spark, some.agg(F.min("row").alias("rid"), F.min("doc_id").alias("first_doc"), F.first("signs").alias("signs")), "classes")
     postings = some.agg(F.min("row").alias("rid"), F.first("n").alias("n"), F.first("short").alias("short")).select(F.posexplode("short").alias("at", "h"), "rid", "n")
     sizes = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = settle(spark, postings.join(sizes, "h"), "shared")
+    shared = settle(spark, postings.join(sizes, "h"), path=f"{base}/shared")
     # a member that shares most of what it has is the likeliest to be like the others
     central = shared.groupBy("rid").agg((F.sum("size") / F.first("n")).alias("weight"))
-    lists = settle(spark, shared.join(central, "rid"), "lists")
+    lists = settle(spark, shared.join(central, "rid"), path=f"{base}/lists")
+    forget(spark, [f"{base}/shared"])
 
     links, joined = None, None
-    for _ in range(STARS):
-        found = settle(spark, verified(spark, docs, classes, to_heads(with_components(lists, joined))), "links")
+    for turn in range(STARS):
+        found = settle(spark, verified(spark, docs, classes, to_heads(with_components(lists, joined)), f"{base}/pairs{turn}"), "links")
+        forget(spark, [f"{base}/pairs{turn}"])
         links = found if links is None else settle(spark, links.union(found), "links")
         joined = components(spark, links)
 
@@ -367,7 +369,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     left_over = with_components(lists, joined).withColumn("after", F.count(F.lit(1)).over(own))
     left_over = left_over.withColumn("before", F.row_number().over(own.orderBy("at")) - 1).withColumn("after", F.col("after") - F.col("before") - 1)
     left_over = left_over.join(classes.select("rid", "signs"), "rid")
-    mixed = settle(spark, left_over.select("h", "rid", "n", "c", "at", "before", "after", "signs"), "mixed")
+    mixed = settle(spark, left_over.select("h", "rid", "n", "c", "at", "before", "after", "signs"), path=f"{base}/mixed")
+    forget(spark, [f"{base}/lists"])
     most = F.least("abefore", "bbefore") + 1 + F.least("aafter", "bafter")
     left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at", "before", "after", "signs")]) for s in "ab")
     across = (
@@ -375,8 +378,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .groupBy("arid", "brid").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
         .where(enough(F.col("hits"))).select(F.col("arid").alias("a"), F.col("brid").alias("b"))
     )
-    second = verified(spark, docs, classes, across)
-    final = components(spark, settle(spark, links.union(second), "links"))
+    second = settle(spark, links.union(verified(spark, docs, classes, across, f"{base}/pairs")), "links")
+    forget(spark, [f"{base}/mixed", f"{base}/pairs"])
+    final = components(spark, second)
 
     named = classes.select("key", "rid", "first_doc").join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
     smallest = named.groupBy("c").agg(F.min("first_doc").alias("component_id"))
