@@ -38,3 +38,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select("v", "v").distinct())
+
+
+def named(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, component_id, component) of classes (key, rid, first_doc): component_id is a component's smallest document."""
+    each = classes.select("key", "rid", "first_doc").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
+    smallest = each.groupBy("c").agg(F.min("first_doc").alias("component_id"))
+    return each.join(smallest, "c").select("key", "component_id", F.col("c").alias("component"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from paginarium.llm import automaton, brown, counterfactual, dawg, packing, qda, rans, shuffle, toivonen, topk, tsearch, webp
+from paginarium.llm import automaton, brown, counterfactual, dawg, minhash, packing, qda, rans, shuffle, toivonen, topk, tsearch, webp
 
 QUERIES = {
     "op1_rans_tokens": rans.op1,
@@ -16,12 +16,14 @@ QUERIES = {
     "op8_two_pass_shuffle": shuffle.op8,
     "op9_threshold_topk": topk.op9,
     "op10_webp_lossless": webp.op10,
+    "op11_minhash_bayes": minhash.op11,
     "op12_conversation_dawg": dawg.op12,
     "op13_toivonen_phrases": toivonen.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op9_threshold_topk": topk.ORACLE,
+    "op11_minhash_bayes": minhash.op11,
     "op12_conversation_dawg": dawg.ORACLE,
     "op13_toivonen_phrases": toivonen.ORACLE,
 }

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paginarium.llm.common import forget, settle, shared_dir
-from paginarium.llm.components import components
+from paginarium.llm.components import components, named
 
 WIDTH = 5
 HOT = 1 << 17
@@ -75,8 +75,8 @@ def _mixed(s: np.ndarray) -> np.ndarray:
     return s ^ (s >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of every text; null counts as empty.
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of every text's shingles of ``width`` words (at most five); null counts as empty.
 
     Words stand between ASCII white space, A-Z in lower case. Arrow cuts a slice of
     the texts into words and numbers them, and each distinct word is hashed once.
@@ -93,13 +93,13 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
         h = hashes[coded.indices.to_numpy(zero_copy_only=False)][full]
         counts = np.bincount(parent[full], minlength=end - at)
-        n = len(h) - WIDTH + 1
-        s = _mixed(sum((h[k : n + k] * _FACTORS[k] for k in range(1, WIDTH)), h[:n] * _FACTORS[0])) if n > 0 else h[:0]
+        n = len(h) - width + 1
+        s = _mixed(sum((h[k : n + k] * _FACTORS[k] for k in range(1, width)), h[:n] * _FACTORS[0])) if n > 0 else h[:0]
         first = np.cumsum(counts) - counts
         for begin, size in zip(first.tolist(), counts.tolist()):
-            if size >= WIDTH:
-                yield np.unique(s[begin : begin + size - WIDTH + 1])
-            elif size:  # the whole sequence, apart from all five-word shingles by its length
+            if size >= width:
+                yield np.unique(s[begin : begin + size - width + 1])
+            elif size:  # the whole sequence, apart from all full shingles by its length
                 yield _mixed((h[begin : begin + size] * _FACTORS[:size]).sum(keepdims=True) + np.array([size], np.uint64) * np.uint64(0xD1B54A32D192ED03))
             else:
                 yield np.zeros(0, np.uint64)
@@ -195,7 +195,7 @@ def key_bit(key) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, shingles) of the wanted keys, and maybe a few others, recomputed from the texts.
 
     A bit filter of fixed size, built from the wanted keys, keeps most other sets from
@@ -212,7 +212,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen: set[bytes] = set()  # of this task, so that a set with many copies is mostly sent once
         for batch in batches:
             keys, sets, size = [], [], 0
-            for s in shingle_sets(batch.column(0)):
+            for s in shingle_sets(batch.column(0), width):
                 key = set_key(s)
                 if len(s) and key not in seen and packed[(bit := _spark_bit(key)) >> 5] >> (bit & 31) & 1:
                     if len(seen) >= SEEN:
@@ -244,8 +244,8 @@ def with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, name
     return dealt.join(each.select(key, F.explode(F.sequence(F.lit(0), salted() - 1)).alias("salt"), name), [key, "salt"]).drop("salt")
 
 
-def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
-    """Those pairs (a, b) of classes that are similar, by probing one set in the other. All pairs are written to ``path`` first."""
+def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, path: str, width: int = WIDTH, percent: int = 80) -> DataFrame:
+    """Those pairs (a, b) of classes that are similar to at least ``percent``, by probing one set in the other. All pairs are written to ``path`` first."""
 
     def flat_sets(column) -> tuple[np.ndarray, np.ndarray]:
         """All sets of a batch in one array as it lies in the batch, and where each begins."""
@@ -260,16 +260,16 @@ def verified(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: Da
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(y, x)
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[k] = 100 * common >= 80 * (len(x) + len(y) - common)
+                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     names = classes.select("rid", "key")
-    named = pairs.select("a", "b").distinct().join(names.select(F.col("rid").alias("a"), F.col("key").alias("ka")), "a")
-    named = settle(spark, named.join(names.select(F.col("rid").alias("b"), F.col("key").alias("kb")), "b"), path=path)
-    if named.isEmpty():
-        return named.select("a", "b")
-    sets = sets_of(docs, named.select(F.col("ka").alias("key")).union(named.select("kb")))
-    both = with_sets(with_sets(named, named, sets, "ka", "x"), named, sets, "kb", "y")
+    keyed = pairs.select("a", "b").distinct().join(names.select(F.col("rid").alias("a"), F.col("key").alias("ka")), "a")
+    keyed = settle(spark, keyed.join(names.select(F.col("rid").alias("b"), F.col("key").alias("kb")), "b"), path=path)
+    if keyed.isEmpty():
+        return keyed.select("a", "b")
+    sets = sets_of(docs, keyed.select(F.col("ka").alias("key")).union(keyed.select("kb")), width)
+    both = with_sets(with_sets(keyed, keyed, sets, "ka", "x"), keyed, sets, "kb", "y")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -382,9 +382,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     forget(spark, [f"{base}/mixed", f"{base}/pairs"])
     final = components(spark, second)
 
-    named = classes.select("key", "rid", "first_doc").join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
-    smallest = named.groupBy("c").agg(F.min("first_doc").alias("component_id"))
-    by_key = named.join(smallest, "c").select("key", "component_id", F.col("c").alias("component"))
+    by_key = named(classes, final)
     return (
         facts.select("doc_id", "n", "key", "text_hash").join(by_key, "key", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
