@@ -5,9 +5,11 @@ proposes phrases of one to five words: those met at least ``LOWERED`` of the thr
 share of times. A full pass counts, exactly, every proposed phrase and the negative
 border: phrases that weren't proposed but whose two phrases of one word less were (all
 words not proposed, too). If a phrase of the border reaches the threshold, longer ones above it may
-too and haven't been counted, so it joins the proposal and another pass counts what has
-become reachable, until no pass finds such a phrase. The result doesn't depend on the
-sample; only the number of passes does.
+too and haven't been counted, so it joins the proposal and an expansion pass counts what has
+become reachable. That pass follows a phrase it counts for the first time as if it were
+frequent, so it reaches phrases of any length above a failure and closes the mining at once:
+whatever is frequent has shorter phrases that are proposed, found, or counted in the same
+pass. The result doesn't depend on the sample; only the work does.
 
 Passes count 64-bit hashes of phrases. What is proposed reaches the tasks as a table of
 bits, 16 a phrase and at most ``MOST_BITS``, whose size the driver thus bounds; a phrase
@@ -41,11 +43,11 @@ from paginarium.llm.common import forget, settle, shared_dir
 LEAST, LONGEST, FIRST = 100, 5, 2000
 SHARE, LOWERED = 0.1, 0.4
 MOST_BITS = 1 << 28
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Hashes a task holds before it sums them up and sends them.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Spelled phrases a task holds before it sends them.
-SPELLED = 200_000
+SPELLED = 1_000_000
 PARTS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -86,7 +88,7 @@ class Words:
         until = np.cumsum([len(r) + 1 for r in raw])
         self.text = np.searchsorted(until, self.starts, side="right")
         self.langs = langs
-        n = 1 << max(12, len(self.bytes).bit_length())
+        n = (len(self.bytes) >> 18) + 1 << 18
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[: len(self.bytes)])])
         spelled = (sums[self.ends] - sums[self.starts]) * _powers(_UNBASE, n)[self.starts]
         seeds = np.array([xxhash.xxh64_intdigest(lang.encode(), 7) for lang in langs], np.uint64)
@@ -126,9 +128,14 @@ def slices(batches, most: int) -> Iterator[Words]:
         yield Words(texts, langs)
 
 
-def met(words: Words, proposed: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def met(words: Words, proposed: np.ndarray | None, before: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, positions, hashes, whether proposed) of the phrases to count: all words, then the
-    phrases whose two shorter ones were proposed (all phrases without a proposal)."""
+    phrases whose two shorter ones were proposed (all phrases without a proposal).
+
+    After a pass with the proposal ``before`` only what that didn't count is left, and
+    such phrases count as proposed.
+    """
+    done = {} if before is None else {k: at for k, at, _, _ in met(words, before)}
     at, hashes, held = np.arange(len(words.one)), words.one, None
     for k in range(1, LONGEST + 1):
         if k > 1:
@@ -139,7 +146,12 @@ def met(words: Words, proposed: np.ndarray | None) -> Iterator[tuple[int, np.nda
             at, hashes = at[: len(keep)][keep], hashes[: len(keep)][keep]
             hashes = words.longer(at, hashes, k)
         here = np.ones(len(at), bool) if proposed is None else has(proposed, hashes)
-        yield k, at, hashes, here
+        if before is None:
+            yield k, at, hashes, here
+        else:
+            new = np.isin(at, done.get(k, at[:0]), assume_unique=True, invert=True)
+            here |= new
+            yield k, at[new], hashes[new], here[new]
         held = np.zeros(len(words.one) + 1, bool)
         held[at] = here
 
@@ -161,10 +173,7 @@ def counted(docs: DataFrame, proposed=None, before=None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
         for words in slices(batches, SLICE_BYTES):
-            done = {} if old is None else {k: at for k, at, _, _ in met(words, old)}
-            for k, at, hashes, _ in met(words, bits):
-                if k in done:
-                    hashes = hashes[~np.isin(at, done[k], assume_unique=True)]
+            for _, _, hashes, _ in met(words, bits, old):
                 held.append(hashes)
                 size += len(hashes)
             if size > HELD:
@@ -194,14 +203,13 @@ def spelled(docs: DataFrame, frequent) -> DataFrame:
     """(lang, phrase, words, n) of the phrases with hashes in ``frequent``; phrase '' has all words of a language."""
 
     def run(batches):
-        bits, held, totals = frequent.value, {}, {}
+        bits = frequent.value
+        places, said, counts, totals = {}, [], np.zeros(1024, np.int64), {}
 
         def sent():
-            rows = [tuple(x) for x in held.values()] + [(lang, "", 0, n) for lang, n in totals.items()]
+            rows = [(*what, n) for what, n in zip(said, counts.tolist())] + [(lang, "", 0, n) for lang, n in totals.items()]
             columns = zip(*rows) if rows else ([],) * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "n"])
-            held.clear(), totals.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "words", "n"])
 
         for words in slices(batches, SLICE_BYTES):
             for k, at, hashes, here in met(words, bits):
@@ -210,13 +218,16 @@ def spelled(docs: DataFrame, frequent) -> DataFrame:
                         totals[words.langs[text]] = totals.get(words.langs[text], 0) + int(n)
                 at, hashes = at[here], hashes[here]
                 found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                for h, i, m in zip(found.tolist(), at[first].tolist(), n.tolist()):
-                    if (row := held.get((k, h))) is not None:
-                        row[3] += m
-                    else:
-                        held[k, h] = [words.langs[words.text[i]], words.spelled(i, k), k, m]
-            if len(held) > SPELLED:
+                place = np.fromiter((places.setdefault(h, len(places)) for h in found.tolist()), np.int64, len(found))
+                for new in np.flatnonzero(place >= len(said)).tolist():
+                    i = int(at[first[new]])
+                    said.append((words.langs[words.text[i]], words.spelled(i, k), k))
+                if len(counts) < len(said):
+                    counts = np.concatenate([counts, np.zeros(len(said), np.int64)])
+                counts[place] += n
+            if len(said) > SPELLED:
                 yield sent()
+                places, said, counts, totals = {}, [], np.zeros(1024, np.int64), {}
         yield sent()
 
     return docs.mapInArrow(run, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
@@ -230,19 +241,15 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # a word met once in the sample says nothing, however small the sample
     proposal = settle(spark, counted(sample).where(F.col("n") >= max(2, int(LEAST * SHARE * LOWERED))).select("h"), path=f"{base}/proposal")
     size = bits_for(proposal.count())
-    bits, before, turn = sc.broadcast(bits_of(proposal, size)), None, 0
-    frequent = None
-    while True:
-        found = settle(spark, counted(texts, bits, before).where(F.col("n") >= LEAST).select("h"), path=f"{base}/frequent{turn}")
-        frequent = found if frequent is None else frequent.union(found)
-        more = bits_of(found, size)
-        fresh = more & ~bits.value
-        if not fresh.any():
-            break
-        before, bits, turn = bits, sc.broadcast(bits.value | more), turn + 1
+    bits = sc.broadcast(bits_of(proposal, size))
+    frequent = settle(spark, counted(texts, bits).where(F.col("n") >= LEAST).select("h"), path=f"{base}/frequent")
+    more = bits_of(frequent, size)
+    if (more & ~bits.value).any():  # the border holds frequent phrases
+        found = counted(texts, sc.broadcast(bits.value | more), bits).where(F.col("n") >= LEAST).select("h")
+        frequent = frequent.union(settle(spark, found, path=f"{base}/above"))
     kept = sc.broadcast(bits_of(frequent, bits_for(frequent.count())))
     phrases = settle(spark, spelled(texts, kept).where((F.col("n") >= LEAST) | (F.col("phrase") == "")), "phrases")
-    forget(spark, [f"{base}/proposal", *(f"{base}/frequent{k}" for k in range(turn + 1))])
+    forget(spark, [f"{base}/proposal", f"{base}/frequent", f"{base}/above"])
     return phrases
 
 
