@@ -305,6 +305,10 @@ def salted(size: str = "size") -> F.Column:
     return F.ceil(F.col(size) / SALTED).cast("int")
 
 
+def salted_count() -> F.Column:
+    return F.ceil(F.count(F.lit(1)) / SALTED).cast("int")
+
+
 def with_components(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
     """The lists on which more than one component is left, with each member's component ``c``."""
     placed = lists.withColumn("c", F.col("rid"))
@@ -338,6 +342,28 @@ def to_heads(lists: DataFrame) -> DataFrame:
     return counted.where(enough(F.col("hits"))).select("a", "b")
 
 
+def across(mixed: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) across components, of all members of each list.
+
+    A list is dealt in blocks of ``SALTED`` members; two blocks (i, j), i <= j, are a key
+    of the join: a block stands on the left of itself and all later ones, on the right of
+    itself and all earlier. So no key holds more than a block on either side.
+    """
+    counts = mixed.groupBy("h").agg(salted_count().alias("blocks"))
+    rows = mixed.join(counts, "h").withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    side = lambda s: [F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at", "before", "after", "signs")]
+    left = rows.select("h", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *side("a"))
+    right = rows.select("h", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *side("b"))
+    most = F.least("abefore", "bbefore") + 1 + F.least("aafter", "bafter")
+    once = (F.col("i") < F.col("j")) | (F.col("arid") < F.col("brid"))
+    met = left.join(right, ["h", "i", "j"]).where(
+        once & (F.col("ac") != F.col("bc")) & enough(most) & similar_sizes("an", "bn") & in_place("aat", "bat", "an", "bn") & may_be_similar("asigns", "bsigns", "an", "bn")
+    )
+    pair = [F.least("arid", "brid").alias("a"), F.greatest("arid", "brid").alias("b")]
+    sizes = [F.first(F.when(F.col("arid") < F.col("brid"), F.col(x)).otherwise(F.col(y))).alias(x) for x, y in (("an", "bn"), ("bn", "an"))]
+    return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("hits"), *sizes).where(enough(F.col("hits"))).select("a", "b")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, component) for every document, repeated rows included.
 
@@ -371,14 +397,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     left_over = left_over.join(classes.select("rid", "signs"), "rid")
     mixed = settle(spark, left_over.select("h", "rid", "n", "c", "at", "before", "after", "signs"), path=f"{base}/mixed")
     forget(spark, [f"{base}/lists"])
-    most = F.least("abefore", "bbefore") + 1 + F.least("aafter", "bafter")
-    left, right = (mixed.select("h", *[F.col(k).alias(f"{s}{k}") for k in ("rid", "n", "c", "at", "before", "after", "signs")]) for s in "ab")
-    across = (
-        left.join(right, "h").where(enough(most) & (F.col("arid") < F.col("brid")) & (F.col("ac") != F.col("bc")) & similar_sizes("an", "bn") & in_place("aat", "bat", "an", "bn") & may_be_similar("asigns", "bsigns", "an", "bn"))
-        .groupBy("arid", "brid").agg(F.count(F.lit(1)).alias("hits"), F.first("an").alias("an"), F.first("bn").alias("bn"))
-        .where(enough(F.col("hits"))).select(F.col("arid").alias("a"), F.col("brid").alias("b"))
-    )
-    second = settle(spark, links.union(verified(spark, docs, classes, across, f"{base}/pairs")), "links")
+    second = settle(spark, links.union(verified(spark, docs, classes, across(mixed), f"{base}/pairs")), "links")
     forget(spark, [f"{base}/mixed", f"{base}/pairs"])
     final = components(spark, second)
 
