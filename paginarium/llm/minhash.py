@@ -16,8 +16,8 @@ full sets, so no pair is linked wrongly, and a link is missed with a probability
 some 4e-9 at most, the more similar the less.
 
 Documents with the same set form one class from the start. Large groups don't multiply:
-each member of a bucket is first compared with the bucket's two most central members,
-which is linear; only buckets on which more than one component is left then compare all
+each document is first compared with the two it shares most bands with among the most central
+members of its buckets, which is linear; only buckets on which more than one component is left then compare all
 pairs across components. There a pair meets in the first band it agrees on and nowhere
 else, and a bucket's members are dealt in blocks of ``BLOCK``, of which two at a time make
 one key of the join: no key holds more than a block on either side. The first batches
@@ -50,6 +50,8 @@ BANDS, ROWS, LANE = 36, 5, 12
 BATCHES = (12, 24, 36)
 MISS = 1e-9
 BLOCK = 500
+#: Heads that a document is compared with before pairs across components are.
+HEADS = 2
 #: Shingles multiplied at a time.
 AT_ONCE = 1024
 
@@ -117,15 +119,20 @@ def with_signs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def to_heads(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of each bucket's members with its two most central ones."""
+    """Likely pairs (a, b) of members with heads of their buckets, the two most central ones of each.
+
+    Of all heads that a document meets, the two that it meets most often are compared with it,
+    so there are at most two pairs a document; what they don't join is left to ``across``.
+    """
     member = F.struct("weight", (-F.col("rid")).alias("last"), "n")
     bucket = ["band", "value"]
     one = buckets.groupBy(*bucket).agg(F.max(member).alias("one"))
     marked = buckets.join(one, bucket)
     two = marked.where("rid <> -one.last").groupBy(*bucket).agg(F.max(member).alias("two"))
-    pairs = marked.join(two, bucket).select(F.explode(F.array("one", "two")).alias("o"), "rid", "n").where("-o.last <> rid").where(similar_sizes(F.col("o.n"), F.col("n")))
-    head = -F.col("o.last")
-    pairs = pairs.select(F.least(head, "rid").alias("a"), F.greatest(head, "rid").alias("b")).distinct()
+    met = marked.join(two, bucket).select("rid", "n", F.explode(F.array("one", "two")).alias("o")).where("-o.last <> rid").where(similar_sizes(F.col("o.n"), F.col("n")))
+    often = met.groupBy("rid", (-F.col("o.last")).alias("head")).agg(F.count(F.lit(1)).alias("hits"), F.first("o.weight").alias("weight"))
+    best = often.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("hits", "weight", "head")), asc=False), 1, HEADS).alias("best"))  # at most two a band
+    pairs = best.select("rid", F.explode("best.head").alias("head")).select(F.least("head", "rid").alias("a"), F.greatest("head", "rid").alias("b")).distinct()
     return with_signs(pairs, classes).where(likely(F.col("x"), F.col("y"))).select("a", "b")
 
 
