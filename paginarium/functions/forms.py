@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paginarium.functions.numbers import js_number
+
 #: Number styles: grouping mark and decimal mark.
 STYLES = ((",", "."), ("", "."), (".", ","), ("", ","))
 
@@ -16,11 +18,15 @@ def six_places(x: Column) -> Column:
 
 
 def simple_calculate(op: str, value: Column) -> Column:
-    """An aggregate over field values; without values 0, or 1 for a product."""
+    """An aggregate over field values; without fields 0, or 1 for a product.
+
+    A field without a value counts as zero, so it divides an average and ends a product.
+    """
     kinds = {"SUM": F.sum, "AVG": F.avg, "PRD": F.product, "MIN": F.min, "MAX": F.max}
     if op.upper() not in kinds:
         raise ValueError(f"unknown operation {op!r}")
-    return six_places(F.coalesce(kinds[op.upper()](value), F.lit(1.0 if op.upper() == "PRD" else 0.0)))
+    each = F.coalesce(value.cast("double"), F.lit(0.0))
+    return six_places(F.coalesce(kinds[op.upper()](each), F.lit(1.0 if op.upper() == "PRD" else 0.0)))
 
 
 def simple(op: str, a: Column, b: Column) -> Column:
@@ -39,8 +45,12 @@ def merge_change(value: Column, change: str, start: int, end: int) -> Column:
 
 
 def is_number(text: Column) -> Column:
-    """One decimal mark of either kind, a sign only first, an exponent only with its own sign."""
-    return text.rlike(r"^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-][0-9]+)?$")
+    """Digits, one decimal mark of either kind anywhere, a sign only first, an exponent only with its own sign.
+
+    Spaces around it don't count; what is empty then is none, and each part may lack its digits.
+    """
+    bare = F.trim(text)
+    return (bare != "") & bare.rlike(r"^[+-]?[0-9]*(?:[.,][0-9]*(?:[eE][+-][0-9]*)?|[eE][+-][0-9]*(?:[.,][0-9]*)?)?\z")
 
 
 def with_marks(text: Column, style: int) -> Column:
@@ -87,8 +97,8 @@ def extract_numbers(text: Column) -> Column:
 
 
 def make_number(text: Column) -> Column:
-    """Either decimal mark; what isn't a number counts 0."""
-    return F.coalesce(F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
+    """A text as a script reads a number, with either decimal mark (hexadecimal too); what isn't a number counts 0."""
+    return F.coalesce(js_number(F.replace(text, F.lit(","), F.lit("."))), F.lit(0.0))
 
 
 def masked(text: Column, mask: str) -> Column:

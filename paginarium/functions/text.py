@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters a list item may start with.
-BULLETS = "•·‣◦▪*–-"
+from paginarium.functions.wrapping import SPACES, TIGHT, WIDE
+
+# Signs a list item may start with (the last range: private use), numerals of lists,
+# and what a finished paragraph ends in.
+BULLETS = r"•·‣◦▪*–\-\x{E000}-\x{F8FF}"
+DIGITS, NUMERALS = "0-9０-９", "〇零一二三四五六七八九十百"
+FINISHED = ".!?:;…\"')\\]”’。！？：；」』）】》"
+#: The label of a numbered line, in the first or the second group: a number in full-width brackets or before an
+#: enumeration comma needs no space after it; ``1.``, ``2)`` and ``2.1`` do. Groups have up to three numerals.
+NUMBERED = (
+    f"^(?:(（(?:[{DIGITS}]{{1,3}}|[{NUMERALS}]{{1,3}})）|[{NUMERALS}]{{1,3}}、|(?:[{DIGITS}]{{1,3}}\\.)*[{DIGITS}]{{1,3}}、)[{SPACES}]*"
+    f"|((?:[{DIGITS}]{{1,3}}\\.)*[{DIGITS}]{{1,3}}[.)]|(?:[{DIGITS}]{{1,3}}\\.)+[{DIGITS}]{{1,3}})[{SPACES}]+)[^{SPACES}]"
+)
+#: Dots of a leader, spaces between them or not, at least.
+LEADER = 5
 #: Latin ligatures and what they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-CARET_SET = r"([\\`*_\[\]<>#|])"
 
 
 def lines(text: Column) -> Column:
@@ -28,13 +40,19 @@ def running_key(line: Column) -> Column:
 
 
 def starts_with_bullet(line: Column) -> Column:
-    return line.rlike(r"^[•·‣◦▪*–\-][ \t]")
+    return line.rlike(f"^[{BULLETS}][{SPACES}]")
 
 
 def leading_number(line: Column) -> Column:
-    """The label of a numbered item (``12.`` or ``3)``), without its mark, or null."""
-    found = F.regexp_extract(line, r"^([0-9]{1,3})[.)][ \t]", 1)
-    return F.when(found != "", found)
+    """The label of a numbered line with its marks (``12.``, ``2.1``, ``（一）``), or null."""
+    return F.when(line.rlike(NUMBERED), F.concat(F.regexp_extract(line, NUMBERED, 1), F.regexp_extract(line, NUMBERED, 2)))
+
+
+def item_text(line: Column) -> Column:
+    """A list item without its label or bullets."""
+    label = leading_number(line)
+    rest = F.when(label.isNotNull(), F.substring(line, F.length(label) + 1, F.length(line))).otherwise(F.regexp_replace(line, f"^[{BULLETS}]+", ""))
+    return F.regexp_replace(rest, f"^[{SPACES}]+", "")
 
 
 def line_class(line: Column) -> Column:
@@ -48,17 +66,14 @@ def without_ligatures(text: Column) -> Column:
 
 
 def short_leaders(text: Column) -> Column:
-    """Rows of five or more dots, as in a table of contents, become three."""
-    return F.regexp_replace(text, r"\.{5,}", "...")
-
-
-def markdown_escape(text: Column) -> Column:
-    return F.regexp_replace(text, CARET_SET, r"\\$1")
+    """Runs of dots and spaces with five dots or more, as in a table of contents, become three dots between two spaces."""
+    return F.regexp_replace(text, rf"[{SPACES}]*\.(?: *\.){{{LEADER - 1},}}[. ]*", " ... ")
 
 
 def carries_on(before: Column, after: Column) -> Column:
-    """Whether a paragraph goes on over a page break: no closing mark, then lower case."""
-    return ~F.trim(before).rlike(r"[.!?:;]$") & F.trim(after).rlike(r"^[a-zà-öø-ÿ]")
+    """Whether a paragraph goes on over a page break: it ends in no sign that finishes a sentence or closes a
+    quote or bracket, and what follows starts in lower case or in a script that has no capitals and no spaces."""
+    return ~before.rlike(f"[{FINISHED}][{SPACES}]*$") & after.rlike(rf"^[{SPACES}]*[\p{{Ll}}ªº{WIDE}{TIGHT}]")
 
 
 def roman(number: Column) -> Column:

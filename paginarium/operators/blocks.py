@@ -20,8 +20,10 @@ def blocks(lines: Column) -> Column:
 def rendered(block: Column) -> Column:
     """A block as Markdown: a paragraph in one line, items one by one under their marks."""
     paragraph = wrapping.escaped(wrapping.stripped(wrapping.joined(block["lines"])))
-    bullet = lambda x: F.concat(F.lit("- "), wrapping.escaped(wrapping.stripped(F.regexp_replace(x, r"^[•·‣◦▪*–\-][ \t]+", ""))))
-    item = lambda x: F.concat(F.regexp_extract(x, "^([0-9]{1,3})", 1), F.lit(". "), wrapping.escaped(wrapping.stripped(F.regexp_replace(x, r"^[0-9]{1,3}[.)][ \t]+", ""))))
+    plain = lambda x: wrapping.escaped(wrapping.stripped(text.item_text(x)))
+    bullet = lambda x: F.concat(F.lit("- "), plain(x))
+    number = lambda x: F.regexp_extract(text.leading_number(x), "([0-9０-９〇零一二三四五六七八九十百]+)[^0-9０-９〇零一二三四五六七八九十百]*$", 1)
+    item = lambda x: F.concat(F.translate(number(x), "０１２３４５６７８９", "0123456789"), F.lit(". "), plain(x))
     return (
         F.when(block["kind"] == "body", paragraph).when(block["kind"] == "bullet", F.array_join(F.transform(block["lines"], bullet), "\n"))
         .otherwise(F.array_join(F.transform(block["lines"], item), "\n"))

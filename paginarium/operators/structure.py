@@ -123,9 +123,14 @@ def weighted_mode(rows: DataFrame, by: str, value: str, weight: Column) -> DataF
     return votes.groupBy(by).agg(F.max(F.struct("votes", value))[value].alias(value))
 
 
-def newest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The row of each key that comes first in ``order``; later entries shadow earlier ones."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("nth = 1").drop("nth")
+def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of each key that is last by ``order``; later entries shadow earlier ones.
+
+    An aggregate, so a key with a third of all rows is summed up where its rows lie. The
+    null key is a key; of rows equal in ``order`` the greatest by their other columns stays.
+    """
+    row = F.struct(*order, *[c for c in rows.columns if c != key and c not in order])
+    return rows.groupBy(key).agg(F.max(row).alias("row")).select(key, "row.*").select(*rows.columns)
 
 
 def capped_counts(rows: DataFrame, kind: str, cap: int = 4096) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from paginarium.functions import forms, geometry as g, text, wrapping as w
 from paginarium.operators import blocks
 from paginarium.plans.page_rules import BOX_SQL
-from paginarium.plans.registry import CLASS, PAGE_LINES, query, table
-from paginarium.plans.text_rules import joined_sql, literal_rows, with_literals
+from paginarium.plans.registry import CLASS, LABELS, PAGE_LINES, RULES, WHITE, literal_rows, query, table, with_literals
+from paginarium.plans.text_rules import joined_sql
 
-DOCUMENTS = ["Intro line that is wrap-\nped here\n- first item\n- second * item\n\n1. one\n2) two\nEnd of\nit.", "• a\n• b", "only", ""]
+DOCUMENTS = ["Intro line that is wrap-\nped here\n- first item\n- second * item\n\n1. one\n2) two\nEnd of\nit.", "• a\n• b", "only", "", *RULES[7:]]
 
 
 def stripped_sql(x: str) -> str:
@@ -21,16 +21,16 @@ def escaped_sql(x: str) -> str:
     return rf"regexp_replace(regexp_replace({x}, '([*_`\[\]\\])', '\\\1', 'g'), '(^|\n)([#>+\-]|\\\*)', '\1\\\2', 'g')"
 
 
-ITEM = {
-    "bullet": "'- ' || " + escaped_sql(stripped_sql(r"regexp_replace(line, '^[•·‣◦▪*–\-][ \t]+', '')")),
-    "numbered": "regexp_extract(line, '^([0-9]{1,3})', 1) || '. ' || " + escaped_sql(stripped_sql(r"regexp_replace(line, '^[0-9]{1,3}[.)][ \t]+', '')")),
-}
+BARE = escaped_sql(stripped_sql(r"regexp_replace(line, '^[-•·‣◦▪*–\x{E000}-\x{F8FF}]+', '')"))
+LABELLED = " ".join(f"WHEN regexp_matches(line, '^{p}[{WHITE}]{n}[^{WHITE}]') THEN regexp_extract(line, '^({p})', 1)" for p, n in LABELS)
+NUMBER = "translate(regexp_extract(label, '([0-9０-９〇零一二三四五六七八九十百]+)[^0-9０-９〇零一二三四五六七八九十百]*$', 1), '０１２３４５６７８９', '0123456789')"
+ITEM = {"bullet": f"'- ' || {BARE}", "numbered": f"{NUMBER} || '. ' || " + escaped_sql(stripped_sql("substr(line, length(label) + 1)"))}
 
 
 @query(
     "markdown_documents",
     f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL {literal_rows(DOCUMENTS)}), l AS (SELECT doc_id, {PAGE_LINES} AS ls FROM d),
-e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l), c AS (SELECT *, {CLASS} AS class FROM e),
+e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l), c AS (SELECT *, {CLASS} AS class, CASE {LABELLED} END AS label FROM e),
 m AS (SELECT *, CASE WHEN lag(class) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM class THEN 1 ELSE 0 END AS new FROM c),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM m),
 b AS (SELECT doc_id, block, class, list(line ORDER BY i) AS body, string_agg(CASE class WHEN 'bullet' THEN {ITEM['bullet']} WHEN 'numbered' THEN {ITEM['numbered']} END, chr(10) ORDER BY i) AS items FROM r GROUP BY doc_id, block, class),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paginarium.functions import forms, text
+from paginarium.functions import forms, text, wrapping
 from paginarium.operators import lookup, pages, search, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def literal_rows(values: list[str], key: str = "doc_id", column: str = "text") -> str:
+    """The literal rows in SQL: keys -1, -2, ..."""
+    return f"SELECT * FROM (VALUES {', '.join(f'(CAST({-1 - k} AS BIGINT), {quoted(v)})' for k, v in enumerate(values))}) AS literal({key}, {column})"
+
+
+def with_literals(rows: DataFrame, values: list[str]) -> DataFrame:
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return rows.unionByName(rows.sparkSession.createDataFrame([(-1 - k, v) for k, v in enumerate(values)], schema))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("page"), "role", "text")
 
@@ -123,25 +137,42 @@ def running_key(spark, sf_dir):
     return each.groupBy(text.running_key(F.col("line")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
+# White space of Unicode, and literal cases of the rules below.
+WHITE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+RULES = [
+    "Intro ..... 4", "a . . . . . 7", "a.\t..... . b", "one ... two", "x. . . .y", ".....", "ﬁt . . . . .ﬂy",
+    "2.1 Scope", "（1）显示", "（一）子", "一、款", "1.1、項", "12) b", "1234. no", "3.x", "7.", "１２. wide", "2.1.3 deep", "2.1", " private", "• nbsp", "•tight", "-- two", "（1234）x", "( 1) x", "12.  ",
+    "# no > heading\n> quote\n+ plus *x* <a> | b\n#tag", "\\_`[]",
+]
+WITH_RULES = f"SELECT doc_id, text FROM documents UNION ALL {literal_rows(RULES)}"
+
+
+def with_rules(spark, sf_dir) -> DataFrame:
+    return with_literals(table(spark, sf_dir, "documents").select("doc_id", "text"), RULES)
+
+
 @query(
     "ligature_normalize",
-    r"SELECT doc_id, regexp_replace(" + "replace(" * 7 + "text" + "".join(f", '{a}', '{b}')" for a, b in text.LIGATURES.items()) + r", '\.{5,}', '...', 'g') AS text FROM documents",
+    "SELECT doc_id, regexp_replace(" + "replace(" * 7 + "text" + "".join(f", '{a}', '{b}')" for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")))
+    + rf", '[{WHITE}]*[.] *[.] *[.] *[.] *[.][. ]*', ' ... ', 'g') AS text FROM ({WITH_RULES})",
 )
 def ligature_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.short_leaders(text.without_ligatures(F.col("text"))).alias("text"))
+    return with_rules(spark, sf_dir).select("doc_id", text.short_leaders(text.without_ligatures(F.col("text"))).alias("text"))
 
 
-@query("markdown_escape", r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]<>#|])', '\\\1', 'g') AS text FROM documents")
+@query("markdown_escape", rf"SELECT doc_id, regexp_replace(regexp_replace(text, '([*_`\[\]\\])', '\\\1', 'g'), '(^|\n)(#|>|[+]|-|\\[*])', '\1\\\2', 'g') AS text FROM ({WITH_RULES})")
 def markdown_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.markdown_escape(F.col("text")).alias("text"))
+    return with_rules(spark, sf_dir).select("doc_id", wrapping.escaped(F.col("text")).alias("text"))
 
 
-CLASS = r"""CASE WHEN regexp_matches(line, '^[•·‣◦▪*–\-][ \t]') THEN 'bullet' WHEN regexp_matches(line, '^[0-9]{1,3}[.)][ \t]') THEN 'numbered' ELSE 'body' END"""
+D, N = "[0-9０-９]{1,3}", "[〇零一二三四五六七八九十百]{1,3}"
+LABELS = [(f"（(?:{D}|{N})）", "*"), (f"{N}、", "*"), (rf"(?:{D}[.])*{D}、", "*"), (rf"(?:{D}[.])*{D}[.)]", "+"), (rf"(?:{D}[.])+{D}", "+")]
+CLASS = rf"""CASE WHEN regexp_matches(line, '^[-•·‣◦▪*–\x{{E000}}-\x{{F8FF}}][{WHITE}]') THEN 'bullet' WHEN {' OR '.join(f"regexp_matches(line, '^{p}[{WHITE}]{n}[^{WHITE}]')" for p, n in LABELS)} THEN 'numbered' ELSE 'body' END"""
 
 
-@query("line_classes", f"WITH l AS (SELECT doc_id, unnest({PAGE_LINES}) AS line FROM documents) SELECT {CLASS} AS class, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM l GROUP BY 1")
+@query("line_classes", f"WITH l AS (SELECT doc_id, unnest({PAGE_LINES}) AS line FROM ({WITH_RULES})) SELECT {CLASS} AS class, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM l GROUP BY 1")
 def line_classes(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.lines(F.col("text"))).alias("line"))
+    each = with_rules(spark, sf_dir).select("doc_id", F.explode(text.lines(F.col("text"))).alias("line"))
     return each.groupBy(text.line_class(F.col("line")).alias("class")).agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("doc_id").alias("documents"))
 
 
@@ -173,7 +204,7 @@ def running_lines(spark, sf_dir):
 
 @query(
     "list_group_islands",
-    f"""WITH l AS (SELECT doc_id, {PAGE_LINES} AS ls FROM documents),
+    f"""WITH l AS (SELECT doc_id, {PAGE_LINES} AS ls FROM ({WITH_RULES})),
 e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l),
 c AS (SELECT doc_id, i, {CLASS} AS class FROM e),
 g AS (SELECT *, CASE WHEN lag(class) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM class THEN 1 ELSE 0 END AS changed FROM c),
@@ -181,7 +212,7 @@ n AS (SELECT *, sum(changed) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN U
 SELECT doc_id, CAST(grp AS BIGINT) AS "group", class, CAST(min(i) AS INTEGER) AS first_line, count(*) AS n_lines FROM n GROUP BY doc_id, grp, class""",
 )
 def list_group_islands(spark, sf_dir):
-    return structure.list_groups(table(spark, sf_dir, "documents"))
+    return structure.list_groups(with_rules(spark, sf_dir))
 
 
 @query(
@@ -210,18 +241,30 @@ def line_diff(spark, sf_dir):
     return structure.consecutive_diff(turns(spark, sf_dir), "conv_id", "page")
 
 
-CARRIES = r"NOT regexp_matches(trim(before), '[.!?:;]$') AND regexp_matches(trim(text), '^[a-zà-öø-ÿ]')"
+#: Literal pairs of pages (what the first ends in, what the second starts with).
+BREAKS = [("the parser recovers from a", "broken table"), ("the end.", "and yet"), ("he said “no”", "then left"), ("(see below)", "for more"), ("trailing  \n", "  lower"), ("買賣有價", "證券"), ("申報事項。", "證券"), ("ภาษา", "ไทย"), ("Intro", "The"), ("été", "Ça"), ("ends…", "ça"), ("no. 5", "ªbc"), ("a", "1b")]
+BROKEN = [(-1 - k, page, "user", pair[page]) for k, pair in enumerate(BREAKS) for page in (0, 1)]
+BROKEN_TURNS = "turns AS (SELECT conv_id, CAST(turn + 1 AS INTEGER) AS page, role, text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({c}, {t}, '{r}', {quoted(x)})" for c, t, r, x in BROKEN) + ")))"
+CARRIES = (
+    rf"right(regexp_replace(before, '[{WHITE}]+$', ''), 1) NOT IN ('.', '!', '?', ':', ';', '…', chr(34), chr(39), ')', ']', '”', '’', '。', '！', '？', '：', '；', '」', '』', '）', '】', '》') "
+    rf"AND regexp_matches(text, '^[{WHITE}]*[\p{{Ll}}ªº\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Myanmar}}\p{{Khmer}}]')"
+)
+
+
+def broken_turns(spark, sf_dir) -> DataFrame:
+    literal = spark.createDataFrame([(c, t + 1, r, x) for c, t, r, x in BROKEN], "conv_id long, page int, role string, text string")
+    return turns(spark, sf_dir).unionByName(literal)
 
 
 @query(
     "carries_on",
-    f"WITH {TURNS}, b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY page) AS before FROM turns) SELECT conv_id, page, coalesce({CARRIES}, false) AS carries_on FROM b",
+    f"WITH {BROKEN_TURNS}, b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY page) AS before FROM turns) SELECT conv_id, page, coalesce({CARRIES}, false) AS carries_on FROM b",
 )
 def carries_on(spark, sf_dir):
     from pyspark.sql import Window
 
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("page"))
-    each = turns(spark, sf_dir).withColumn("before", before)
+    each = broken_turns(spark, sf_dir).withColumn("before", before)
     return each.select("conv_id", "page", F.coalesce(text.carries_on(F.col("before"), F.col("text")), F.lit(False)).alias("carries_on"))
 
 
@@ -346,10 +389,18 @@ def _six(x: str) -> str:
     return f"floor({x} * 1e6 + 0.49) / 1e6"
 
 
+#: Fields without a value: order, quantity.
+UNFILLED = [(-1, 3.0), (-1, None), (-2, None), (-3, 2.0), (-3, -5.0), (-3, None), (-4, 7.0)]
+
+
 def _calculate(op: str, sql: str):
-    @query(f"af_simple_{op.lower()}", f"SELECT l_orderkey, {_six(f'CAST({sql}(l_quantity) AS DOUBLE)')} AS value FROM lineitem GROUP BY l_orderkey")
+    rows = ", ".join(f"({k}, {'NULL' if v is None else v})" for k, v in UNFILLED)
+    filled = f"(SELECT l_orderkey, CASE WHEN l_quantity IS NULL THEN 0 ELSE l_quantity END AS q FROM (SELECT l_orderkey, l_quantity FROM lineitem UNION ALL SELECT * FROM (VALUES {rows})))"
+
+    @query(f"af_simple_{op.lower()}", f"SELECT l_orderkey, {_six(f'CAST({sql}(q) AS DOUBLE)')} AS value FROM {filled} GROUP BY l_orderkey")
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(forms.simple_calculate(op, F.col("l_quantity")).alias("value"))
+        rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").union(spark.createDataFrame(UNFILLED, "l_orderkey long, l_quantity double"))
+        return rows.groupBy("l_orderkey").agg(forms.simple_calculate(op, F.col("l_quantity")).alias("value"))
 
 
 for _op, _sql in (("SUM", "sum"), ("AVG", "avg"), ("PRD", "product"), ("MIN", "min"), ("MAX", "max")):
@@ -409,11 +460,24 @@ def af_extract_nums(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(forms.extract_numbers(source), "|").alias("numbers"))
 
 
-@query("af_make_number", "SELECT p_partkey, coalesce(TRY_CAST(replace(replace(p_brand, 'Brand#', ''), ',', '.') AS DOUBLE), 0) AS brand, coalesce(TRY_CAST(p_name AS DOUBLE), 0) AS name FROM part")
+#: Literal texts of fields that are read as numbers.
+TYPED = ["0x1F", "12d", "7f", "1,5", "  345 ", "e-5", ".", "+", "-1e5", "1e-9", "-1.23e+23", "1,000,000", "560,024", "1%", "", "  ", "0123", ".5", "1e+3", "+-5", "1e-9.5", "e-", "2e+1e+1", "12 3", "\t7"]
+TYPED_PARTS = f"(SELECT p_partkey, replace(p_brand, 'Brand#', '') AS s FROM part UNION ALL SELECT p_partkey, p_name FROM part UNION ALL {literal_rows(TYPED, 'p_partkey', 's')})"
+
+
+def typed(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    both = part.select("p_partkey", F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")).alias("s")).union(part.select("p_partkey", "p_name"))
+    return with_literals(both, TYPED)
+
+
+@query(
+    "af_make_number",
+    rf"""WITH t AS (SELECT p_partkey, s, replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), ',', '.') AS x FROM {TYPED_PARTS})
+SELECT p_partkey, s, CASE WHEN regexp_matches(x, '^0[xX][0-9A-Fa-f]+$') THEN CAST(TRY_CAST(x AS BIGINT) AS DOUBLE) WHEN regexp_matches(x, '^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$') THEN TRY_CAST(ltrim(x, '+') AS DOUBLE) ELSE 0 END AS number FROM t""",
+)
 def af_make_number(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", forms.make_number(F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit(""))).alias("brand"), forms.make_number(F.col("p_name")).alias("name")
-    )
+    return typed(spark, sf_dir).select("p_partkey", "s", forms.make_number(F.col("s")).alias("number"))
 
 
 @query(
@@ -462,7 +526,7 @@ def diagnostic_counts(spark, sf_dir):
     "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1",
 )
 def newest_wins(spark, sf_dir):
-    found = structure.newest(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")])
+    found = structure.newest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
     return found.select("user_id", "event_id", "event_type", "value")
 
 
@@ -609,7 +673,7 @@ def unreferenced_objects(spark, sf_dir):
 
 @query(
     "rejoined_paragraphs",
-    f"""WITH {TURNS}, b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY page) AS before FROM turns),
+    f"""WITH {BROKEN_TURNS}, b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY page) AS before FROM turns),
 c AS (SELECT *, CASE WHEN coalesce({CARRIES}, false) THEN 0 ELSE 1 END AS starts FROM b),
 g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS paragraph FROM c)
 SELECT conv_id, CAST(paragraph AS BIGINT) AS paragraph, min(page) AS first_page, string_agg(trim(text), ' ' ORDER BY page) AS text FROM g GROUP BY conv_id, paragraph""",
@@ -619,7 +683,7 @@ def rejoined_paragraphs(spark, sf_dir):
 
     order = Window.partitionBy("conv_id").orderBy("page")
     goes_on = F.coalesce(text.carries_on(F.lag("text").over(order), F.col("text")), F.lit(False))
-    each = turns(spark, sf_dir).withColumn("starts", F.when(goes_on, 0).otherwise(1))
+    each = broken_turns(spark, sf_dir).withColumn("starts", F.when(goes_on, 0).otherwise(1))
     each = each.withColumn("paragraph", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("page", F.trim("text").alias("t")))), lambda x: x["t"])
     return each.groupBy("conv_id", "paragraph").agg(F.min("page").alias("first_page"), F.array_join(parts, " ").alias("text"))
@@ -636,11 +700,14 @@ def af_simple(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *cols)
 
 
-@query("af_is_number", r"SELECT p_partkey, regexp_matches(replace(p_brand, 'Brand#', ''), '^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-][0-9]+)?$') AS brand, regexp_matches(p_name, '^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-][0-9]+)?$') AS name FROM part")
+@query(
+    "af_is_number",
+    rf"""WITH t AS (SELECT p_partkey, s, trim(s, ' ') AS x FROM {TYPED_PARTS})
+SELECT p_partkey, s, x <> '' AND NOT regexp_matches(x, '[^-+0-9.,eE]') AND length(regexp_replace(x, '[^.,]', '', 'g')) <= 1 AND length(regexp_replace(x, '[^eE]', '', 'g')) <= 1
+  AND NOT regexp_matches(x, '[eE]([^-+]|$)') AND NOT regexp_matches(x, '[^eE][-+]') AS number FROM t""",
+)
 def af_is_number(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", forms.is_number(F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit(""))).alias("brand"), forms.is_number(F.col("p_name")).alias("name")
-    )
+    return typed(spark, sf_dir).select("p_partkey", "s", forms.is_number(F.col("s")).alias("number"))
 
 
 @query(

@@ -6,26 +6,11 @@ the table's rows on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paginarium.functions import text, wrapping as w
 from paginarium.operators import search, structure
-from paginarium.plans.registry import MAIL_LINKS, PAGE_LINES, mail_links, query, table
-
-
-def quoted(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
-
-
-def literal_rows(values: list[str], key: str = "doc_id", column: str = "text") -> str:
-    """The literal rows in SQL: keys -1, -2, ..."""
-    return f"SELECT * FROM (VALUES {', '.join(f'(CAST({-1 - k} AS BIGINT), {quoted(v)})' for k, v in enumerate(values))}) AS literal({key}, {column})"
-
-
-def with_literals(rows: DataFrame, values: list[str]) -> DataFrame:
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return rows.unionByName(rows.sparkSession.createDataFrame([(-1 - k, v) for k, v in enumerate(values)], schema))
+from paginarium.plans.registry import MAIL_LINKS, PAGE_LINES, literal_rows, mail_links, query, quoted, table, with_literals
 
 
 # --- joining lines ---------------------------------------------------------------------
