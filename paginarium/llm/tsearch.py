@@ -53,7 +53,7 @@ HITS = 3
 #: A shingle is reported by a task if so many of the task's documents have it.
 LOCAL = 2
 #: Text cut into words at a time, in bytes (a longer text is a slice by itself).
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 FILTER_BITS = 1 << 24
 #: Keys a task remembers to have sent.
 SEEN = 500_000
@@ -146,7 +146,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
             for found in shingle_sets(batch.column(0)):
                 held.append(found)
                 size += len(held[-1])
-                if size > 1_000_000:
+                if size > 500_000:
                     yield report()
                     held, size = [], 0
         if held:
