@@ -104,6 +104,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
             else:
                 yield np.zeros(0, np.uint64)
         at = end
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages, what a batch took needn't be
 
 
 def set_key(shingles: np.ndarray) -> bytes:
