@@ -16,18 +16,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running_sums(values: Column) -> Column:
+def running_sums(values: Column, levels: int = 2) -> Column:
     """For each element the sum of those before it.
 
-    Sums of strides are added up first, then the elements within a stride: some
-    n * (STRIDE + n / STRIDE**2) additions in one row, no shuffle and no sort.
+    Sums of strides are added up first, by the same rule one level further down, then the elements
+    within a stride: with two levels some n * STRIDE additions in one row up to a million
+    elements, no shuffle and no sort.
     """
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
     stride = lambda i: F.floor(i / STRIDE).cast("int")
 
     def of(v: Column) -> Column:
         strides = F.transform(F.sequence(F.lit(0), stride(F.size(v) - 1)), lambda c: total(F.slice(v, c * STRIDE + 1, F.lit(STRIDE))))
-        before = let(strides, lambda s: F.transform(s, lambda x, c: total(F.slice(s, F.lit(1), c))))
+        before = running_sums(strides, levels - 1) if levels > 0 else let(strides, lambda s: F.transform(s, lambda x, c: total(F.slice(s, F.lit(1), c))))
         return let(before, lambda b: F.transform(v, lambda x, i: F.get(b, stride(i)) + total(F.slice(v, stride(i) * STRIDE + 1, i % STRIDE))))
 
     return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<bigint>")))

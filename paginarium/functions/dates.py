@@ -158,6 +158,38 @@ def scanned(text: Column, pattern: str, now: int) -> Column:
     return _instant_of(text, expression, fields, now)
 
 
+def guessed(text: Column, now: int) -> Column:
+    """The instant that a text's first two or three numbers (of up to four digits) give, the rest from ``now``.
+
+    Two are month and day, or day and month where only that fits. Three are year, month and day
+    (the first beyond 12), or month, day and year, or day, month and year (the last beyond 31).
+    Numbers that fit no order leave ``now``; a day beyond its month runs over into the next;
+    null with fewer than two numbers.
+    """
+    start = dates_at(now)
+    kept = [F.lit(start[k]) for k in ("year", "month", "day")]
+    month, day = (lambda n: n.between(1, 12)), (lambda n: n.between(1, 31))
+
+    def of(g: Column) -> Column:
+        a, b, c = (F.get(g, F.lit(k)) for k in range(3))
+        orders = [
+            ((F.size(g) == 2) & month(a) & day(b), (kept[0], a, b)), ((F.size(g) == 2) & day(a) & month(b), (kept[0], b, a)),
+            ((F.size(g) > 2) & (a > 12) & month(b) & day(c), (a, b, c)), ((F.size(g) > 2) & month(a) & day(b) & (c > 31), (c, a, b)), ((F.size(g) > 2) & day(a) & month(b) & (c > 31), (c, b, a)),
+        ]
+        found = F.struct(*[k.alias(n) for k, n in zip(kept, "ymd")])
+        for fits, ymd in reversed(orders):
+            found = F.when(fits, F.struct(*[v.alias(n) for v, n in zip(ymd, "ymd")])).otherwise(found)
+        time = make_time(F.lit(start["hour"]), F.lit(start["minute"]), F.lit(start["second"]))
+        return F.when(F.size(g) > 1, let(found, lambda d: make_date(make_day(d["y"], d["m"], d["d"]), time)))
+
+    return let(F.transform(F.regexp_extract_all(text, F.lit("([0-9]{1,4})")), lambda x: x.cast("int")), of)
+
+
+def parsed(text: Column, pattern: str, now: int) -> Column:
+    """The instant a text gives by a pattern, or else by its numbers alone; null where neither fits."""
+    return F.coalesce(scanned(text, pattern, now), guessed(text, now))
+
+
 def _expression(pattern: str) -> tuple[str, list[tuple[str, int]]]:
     expression, fields = "", []
     for piece in LETTERS.split(pattern):

@@ -62,18 +62,18 @@ def joined(lines: Column) -> Column:
     """All lines of a paragraph as one text.
 
     How a line joins depends on the last word before it alone, so the patterns never run
-    over the text as a whole.
+    over the text as a whole; what comes before that word is kept in pieces and put together once.
     """
 
     def step(state: Column, line: Column) -> Column:
         def cut(both: Column) -> Column:
-            return let(F.regexp_extract(both, LAST_WORD, 1), lambda last: F.struct(F.concat(state["done"], F.substring(both, F.lit(1), F.length(both) - F.length(last))).alias("done"), last.alias("last")))
+            return let(F.regexp_extract(both, LAST_WORD, 1), lambda last: F.struct(F.array_append(state["done"], F.substring(both, F.lit(1), F.length(both) - F.length(last))).alias("done"), last.alias("last")))
 
         return let(stripped(line), lambda n: let(join_two(state["last"], n), cut))
 
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
     tail = F.regexp_extract(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), f"([{SPACES}]+)$", 1)
-    return F.concat(F.aggregate(lines, start, step, lambda s: F.concat(s["done"], s["last"])), tail)
+    return F.concat(F.aggregate(lines, start, step, lambda s: F.concat(F.array_join(s["done"], ""), s["last"])), tail)
 
 
 def word_count(text: Column) -> Column:

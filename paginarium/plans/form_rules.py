@@ -231,3 +231,39 @@ def function_values(spark, sf_dir):
         "l_orderkey", "l_linenumber", nine(numbers.interpolate(x, 0.5, 2.5, 10, 30)).alias("line"), nine(numbers.exponential(x, 0.1, 0.8, 1.5)).alias("power"),
         nine(numbers.stitching(x, parts, *STITCHED)).alias("stitched"), numbers.interpolate(x, 1, 1, 7, 9).alias("flat"),
     )
+
+
+# --- dates without a pattern ------------------------------------------------------------------
+
+#: 2023-11-14 22:13:20.
+AT_HAND = 1_700_000_000_000
+WRITTEN = ["2024-02-31", "12/25", "25/12", "25.13.", "3 4 1999", "14/3/1999", "1999/3/14", "99/3/14", "13-1-2", "1/2/3", "20240115", "no date", "7", "", "31 31 31", "Jan 5, 2020 10:30", "0/0", "10 11 12 13", "12345/6/7"]
+WRITTEN_SQL = f"""(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 3 THEN strftime(o_orderdate, '%d %m') ELSE 'on ' || strftime(o_orderdate, '%m-%d') END AS s FROM orders
+  UNION ALL {literal_rows(WRITTEN, 'o_orderkey', 's')})"""
+GUESSED_SQL = f"""w AS {WRITTEN_SQL}, g AS (SELECT o_orderkey, s, list_transform(regexp_extract_all(s, '[0-9]{{1,4}}'), lambda x: CAST(x AS INTEGER)) AS g FROM w),
+o AS (SELECT o_orderkey, s, CASE len(g) WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN g[1] BETWEEN 1 AND 12 AND g[2] BETWEEN 1 AND 31 THEN [2023, g[1], g[2]] WHEN g[1] BETWEEN 1 AND 31 AND g[2] BETWEEN 1 AND 12 THEN [2023, g[2], g[1]] ELSE [2023, 11, 14] END
+  ELSE CASE WHEN g[1] > 12 AND g[2] BETWEEN 1 AND 12 AND g[3] BETWEEN 1 AND 31 THEN g[1:3] WHEN g[1] BETWEEN 1 AND 12 AND g[2] BETWEEN 1 AND 31 AND g[3] > 31 THEN [g[3], g[1], g[2]] WHEN g[1] BETWEEN 1 AND 31 AND g[2] BETWEEN 1 AND 12 AND g[3] > 31 THEN [g[3], g[2], g[1]] ELSE [2023, 11, 14] END END AS d FROM g),
+m AS (SELECT o_orderkey, s, CAST(coalesce(epoch(CAST(make_date(d[1], d[2], 1) AS TIMESTAMP)) * 1000 + (d[3] - 1)::BIGINT * 86400000 + 80000000, -1) AS BIGINT) AS ms FROM o)"""
+
+
+def written_dates(spark, sf_dir):
+    at, kind = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    s = F.when(kind == 0, F.date_format(at, "yyyy-MM-dd")).when(kind == 1, F.date_format(at, "MM/dd/yyyy")).when(kind == 2, F.date_format(at, "dd.MM.yyyy")).when(kind == 3, F.date_format(at, "dd MM")).otherwise(F.concat(F.lit("on "), F.date_format(at, "MM-dd")))
+    return with_literals(table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s")), WRITTEN)
+
+
+@query("guessed_dates", f"WITH {GUESSED_SQL} SELECT o_orderkey, s, ms FROM m")
+def guessed_dates(spark, sf_dir):
+    """Dates read by their numbers alone; -1 where there are too few."""
+    return written_dates(spark, sf_dir).select("o_orderkey", "s", F.coalesce(dates.guessed(F.col("s"), AT_HAND), F.lit(-1)).alias("ms"))
+
+
+@query(
+    "parsed_dates",
+    f"""WITH {GUESSED_SQL}, p AS (SELECT *, regexp_extract(s, '^([0-9]{{1,2}}).([0-9]{{1,2}}).([0-9]{{1,4}})', ['d', 'm', 'y']) AS f FROM m),
+q AS (SELECT *, TRY_CAST(f.d AS INTEGER) AS d, TRY_CAST(f.m AS INTEGER) AS mon, TRY_CAST(f.y AS INTEGER) AS y FROM p)
+SELECT o_orderkey, s, CASE WHEN s = '' THEN {AT_HAND} WHEN mon BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN CAST(epoch(CAST(make_date(CASE WHEN y < 50 THEN 2000 + y WHEN y < 100 THEN 1900 + y ELSE y END, mon, 1) AS TIMESTAMP)) * 1000 + (d - 1)::BIGINT * 86400000 + 80000000 AS BIGINT) ELSE ms END AS ms FROM q""",
+)
+def parsed_dates(spark, sf_dir):
+    """Dates read by a pattern, and by their numbers where the pattern doesn't fit; -1 where neither does."""
+    return written_dates(spark, sf_dir).select("o_orderkey", "s", F.coalesce(dates.parsed(F.col("s"), "dd/mm/yyyy", AT_HAND), F.lit(-1)).alias("ms"))

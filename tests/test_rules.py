@@ -169,3 +169,70 @@ def test_needles_of_several_parts(spark):
     assert find("a ") == [(3, 0, 2)]
     assert find("software") == [(4, 0, 9)]
     assert find("   ") == [] and find("") == []
+
+
+def test_list_labels_and_breaks(spark):
+    from paginarium.functions import text
+
+    lines = ["2.1 Scope", "（1）显示", "（一）子", "一、款", "1.1、項", "12) b", "1234. no", "3.x", "7.", "2.1", "１２. wide", "2.1.3 deep"]
+    frame = spark.createDataFrame([(x,) for x in lines], "x string")
+    found = [r[0] for r in frame.select(text.leading_number(F.col("x"))).collect()]
+    assert found == ["2.1", "（1）", "（一）", "一、", "1.1、", "12)", None, None, None, None, "１２.", "2.1.3"]
+    leaders = {"Intro ..... 4": "Intro ... 4", "a . . . . . 7": "a ... 7", "one ... two": "one ... two", ".....": " ... ", "x. . . .y": "x. . . .y"}
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in leaders], "x string").select(text.short_leaders(F.col("x"))).collect()] == list(leaders.values())
+    pairs = [("a damaged", "table"), ("It ends.", "and yet"), ("買賣有價", "證券"), ("事項。", "證券"), ("Intro", "The"), ("he said “no”", "then"), ("(x)", "y")]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in frame.select(text.carries_on(F.col("a"), F.col("b"))).collect()] == [True, False, True, False, False, False, False]
+
+
+def test_numbers_of_fields(spark):
+    from paginarium.functions import forms
+
+    valid = {"": False, "  ": False, "xyz00": False, "1%": False, "0x234": False, "+123": True, "  345 ": True, "-1e5": False, "-2e": False, "e-5": True, "1e-9": True, "-1.23e+23": True, "1,000,000": False, "560,024": True, ".356089": True, "1e-9.5": True, ".": True, "1-2": False, "5\n": False}
+    frame = spark.createDataFrame([(x,) for x in valid], "x string")
+    assert [r[0] for r in frame.select(forms.is_number(F.col("x"))).collect()] == list(valid.values())
+    made = {"0x1F": 31.0, "12d": 0.0, "7f": 0.0, "1,5": 1.5, " 2 ": 2.0, "junk": 0.0, "": 0.0}
+    frame = spark.createDataFrame([(x,) for x in made], "x string")
+    assert [r[0] for r in frame.select(forms.make_number(F.col("x"))).collect()] == list(made.values())
+    fields = spark.createDataFrame([(4.0,), (None,), (-2.0,)], "x double")
+    assert [fields.agg(forms.simple_calculate(op, F.col("x"))).first()[0] for op in ("SUM", "PRD", "MIN", "MAX")] == [2.0, 0.0, -2.0, 4.0]
+    assert fields.agg(forms.simple_calculate("AVG", F.col("x"))).first()[0] == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_guessed_dates(spark):
+    import datetime
+
+    from paginarium.functions import dates
+
+    now = 1_700_000_000_000
+    cases = {"12/25": (2023, 12, 25), "25/12": (2023, 12, 25), "2024-2-31": (2024, 3, 2), "3 4 1999": (1999, 3, 4), "14/3/1999": (1999, 3, 14), "1/2/3": (2023, 11, 14), "20240115": (2023, 11, 14), "7": None, "none": None, "25.13.": (2023, 11, 14), "1999/3/14 10:30": (1999, 3, 14)}
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in cases], "x string").select(dates.guessed(F.col("x"), now)).collect()]
+    at = lambda d: None if d is None else int((datetime.datetime(*d, 22, 13, 20) - datetime.datetime(1970, 1, 1)).total_seconds() * 1000)
+    # eight digits are two numbers of four, which are no month and day
+    assert found == [at(d) for d in cases.values()]
+
+
+def test_long_rows_take_time_in_proportion(spark):
+    import time
+
+    from paginarium.functions.arrays import running_sums
+
+    def took(n):
+        frame = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("v")).select(running_sums(F.col("v")).alias("s"))
+        began = time.time()
+        last = frame.select(F.element_at("s", -1)).first()[0]
+        assert last == n * (n - 1) // 2
+        return time.time() - began
+
+    took(1000)
+    small, large = took(30_000), took(300_000)
+    assert large < 30 * max(small, 0.2)
+
+
+def test_newest_is_an_aggregate(spark):
+    from paginarium.operators import structure
+
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (None, 1, "c"), (None, 2, None), (2, None, "d")], "k int, at int, v string")
+    found = structure.newest(rows, "k", ["at"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 7, "b"), (None, 2, None), (2, None, "d")], key=str)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
