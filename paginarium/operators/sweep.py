@@ -32,7 +32,7 @@ def islands(intervals: DataFrame, keys: list[str], start: str, end: str, name: s
         met = starts.withColumn("_reached", F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         new = F.when(F.col("_reached").isNull() | (F.col("_s") >= F.col("_reached") + slack), 1).otherwise(0)
         numbered = met.withColumn("_new", new).select(*keys, F.col("_s").alias(start), (F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int").alias(name))
-        return _with_lost(_together(rows, numbered, [*keys, start]), intervals, sound, name)
+        return _numbered(intervals, numbered, [*keys, start], sound, name)
     starts = starts.withColumn("_strip", F.floor(F.col("_s") / strip))
     strips = starts.groupBy(*keys, "_strip").agg(F.max("_e").alias("_most"))
     earlier = Window.partitionBy(*keys).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,21 +44,22 @@ def islands(intervals: DataFrame, keys: list[str], start: str, end: str, name: s
     sums = begun.groupBy(*keys, "_strip").agg(F.sum("_new").alias("_n"))
     sums = sums.select(*keys, "_strip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_sum"))
     numbered = _together(begun, sums, [*keys, "_strip"]).select(*keys, F.col("_s").alias(start), (F.col("_sum") + F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int").alias(name))
-    return _with_lost(_together(rows, numbered, [*keys, start]), intervals, sound, name)
+    return _numbered(intervals, numbered, [*keys, start], sound, name)
 
 
-def _with_lost(found: DataFrame, intervals: DataFrame, sound: Column, name: str) -> DataFrame:
-    return found.select(*intervals.columns, name).union(intervals.where(~F.coalesce(sound, F.lit(False))).select(*intervals.columns, F.lit(None).cast("int").alias(name)))
+def _numbered(intervals: DataFrame, numbered: DataFrame, keys: list[str], sound: Column, name: str) -> DataFrame:
+    found = _together(intervals, numbered.withColumnRenamed(name, "_found"), keys, "left")
+    return found.select(*intervals.columns, F.when(sound, F.col("_found")).alias(name))
 
 
-def _together(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _together(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """The join on ``keys`` where null equals null; ``left``'s keys stay."""
     other = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     same = [left[k].eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return left.join(other, on).drop(*[f"_r{i}" for i in range(len(keys))])
+    return left.join(other, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
 def visual_lines(boxes: DataFrame, page: str, wide: Column | float, strip: float = 64.0, row_strip: float | None = None) -> DataFrame:
