@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,25 +33,29 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> Da
     return left.select(*keys, F.col(value).alias("left")).join(right.select(*keys, F.col(value).alias("right")), keys, "full_outer")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(node, steps): nodes that the roots reach over (src, dst) edges, with the fewest steps.
-
-    A round joins the newest nodes with the edges; it ends when a round finds nothing
-    or at ``depth``, the bound of the file model's trees. Rounds are checkpointed in the
-    folder that ``spark.checkpoint.dir`` names; that setting is needed.
-    """
-    context = edges.sparkSession.sparkContext
+def use_checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that ``spark.checkpoint.dir`` names; without it there are none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(folder)
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, steps): nodes that the roots reach over (src, dst) edges, with the fewest steps.
+
+    A round joins the newest nodes with the edges; it ends when a round finds nothing, however deep
+    the graph; cycles add nothing. Rounds are checkpointed in the folder that
+    ``spark.checkpoint.dir`` names; that setting is needed.
+    """
+    use_checkpoint_folder(edges.sparkSession)
     found = roots.select("node").distinct().withColumn("steps", F.lit(0)).checkpoint()
-    newest = found
-    for k in range(1, depth + 1):
+    newest, k = found, 0
+    while not newest.isEmpty():
+        k += 1
         step = newest.join(edges, newest.node == edges.src).select(F.col("dst").alias("node")).distinct()
         newest = step.join(found.select("node"), "node", "left_anti").withColumn("steps", F.lit(k)).checkpoint()
-        if newest.isEmpty():
-            break
         found = found.unionByName(newest)
     return found

@@ -57,6 +57,25 @@ def outline(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return found.select(key, "n", F.substring("tag", 3, 1).cast("int").alias("depth"), title.alias("title"))
 
 
+#: What of a marked-up page holds no elements, the tags looked for, and tags that never hold others (fixed values).
+NO_ELEMENTS, TAG = "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "</?[a-z][a-z0-9]*"
+VOID = ["<br", "<hr", "<img", "<input", "<link", "<meta"]
+
+
+def elements(pages: DataFrame, page: str, html: str) -> DataFrame:
+    """(page, n, tag, depth): the elements of marked-up pages in order, depth 1 at the top.
+
+    The depth is what stands open before a tag, so pages whose tags don't pair still have one (0 or less after
+    too many closing tags). The window over a page holds what its one row held.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(html, NO_ELEMENTS, ""), F.lit(TAG), F.lit(0))
+    each = pages.select(page, F.posexplode(tags).alias("n", "tag")).where(~F.col("tag").isin(VOID))
+    change = F.when(F.col("tag").startswith("</"), -1).otherwise(1)
+    before = F.sum(change).over(Window.partitionBy(page).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    found = each.withColumn("depth", (F.coalesce(before, F.lit(0)) + 1).cast("int"))
+    return found.where(~F.col("tag").startswith("</")).withColumn("tag", F.substring("tag", 2, 100))
+
+
 def line_changes(pages: DataFrame, doc: str, page: str) -> DataFrame:
     """(doc, page, removed, added): how each page's lines differ from the page before, as sets in order."""
     before = F.lag("lines", 1).over(Window.partitionBy(doc).orderBy(page))
