@@ -206,3 +206,13 @@ def test_lines_without_such_letters_stay_whole(spark):
     assert [(x.k, x.first, x.length, x.direction) for x in runs] == [
         (1, 0, 0, "neutral"), (1, 0, 2, "left"), (1, 2, 1, "neutral"), (1, 3, 2, "right"), (1, 5, 1, "neutral"), (1, 6, 1, "weak"), (2, 0, 1, "neutral"), (2, 1, 1, "left"),
     ]
+
+
+def test_elements_of_awkward_pages(spark):
+    from paginarium.operators import structure
+
+    pages = [(1, "<!DOCTYPE html><div><p>a<br>b</p><script>var t='<p>';</script><ul><li>x<li>y</ul></div>"), (2, "</div></p><p><b>z</b>"), (3, ""), (4, None), (5, "<!-- <p> --><i>1 < 2</i>")]
+    found = structure.elements(spark.createDataFrame(pages, "page_id int, html string"), "page_id", "html").orderBy("page_id", "n").collect()
+    assert [(x.page_id, x.tag, x.depth) for x in found] == [
+        (1, "div", 1), (1, "p", 2), (1, "ul", 2), (1, "li", 3), (1, "li", 4), (2, "p", -1), (2, "b", 0), (5, "i", 1),
+    ]
