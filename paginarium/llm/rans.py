@@ -155,14 +155,16 @@ def id_type(path: str) -> str:
 def tokenised(docs: DataFrame, path: str, end_id: int, partitions: int) -> DataFrame:
     """(shard, seq, before, doc_id, ids) in ascending doc_id order; ids as one binary.
 
-    ``shard`` numbers the ranges of doc_id, ``seq`` the rows of a shard, ``before``
+    ``shard`` numbers the ranges of (doc_id, hash of the text), so rows without an id, or
+    with one that repeats, are spread too; ``seq`` numbers the rows of a shard, ``before``
     counts the shard's ids before the row. Ids are packed by ``id_type(path)``.
     """
     kind = id_type(path)
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     ranged = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        .repartitionByRange(partitions, *order)
+        .sortWithinPartitions(*order)
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     )
 

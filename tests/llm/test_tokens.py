@@ -102,6 +102,26 @@ def test_token_files(spark, docs, tmp_path):
     assert rans.read_corpus(spark, out + "-empty").count() == 0
 
 
+def test_rows_without_an_id_are_spread(spark, tmp_path):
+    from collections import Counter
+
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k} " * (k % 5)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tokens = rans.tokenised(docs, BYTE, 2, 8).select("shard", "seq", "doc_id").collect()
+    assert max(Counter(r["shard"] for r in tokens).values()) < 300
+    ids = [r["doc_id"] for r in sorted(tokens, key=lambda r: (r["shard"], r["seq"]))]
+    assert ids == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    out = f"file://{tmp_path}/spread"
+    rans.write_corpus(spark, docs, BYTE, 2, out)
+    found = rans.read_corpus(spark, out).collect()
+    want = {(i, len(ids_of(BYTE, t)) + 1, crc([*ids_of(BYTE, t), 2])) for i, t in rows}
+    assert len(found) == 900 and {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found} == want
+    at = 0
+    for r in sorted(found, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_crc_of_joined_parts():
     a, b = bytes(range(200)), b"second part" * 99
     assert rans.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
