@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Characters by direction. Letters are right-to-left in the blocks of Hebrew, Arabic and their
@@ -24,26 +29,96 @@ def kind(c: Column) -> Column:
     return found.when(c.rlike(f"^{SEPARATOR}"), "S").when(c.rlike(f"^{TERMINATOR}"), "T").when(c.rlike(f"^{LEFT}"), "L").otherwise("O")
 
 
-def characters(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, i, c, kind): the characters of lines in the order seen."""
-    each = lines.where(F.col(text) != "").select(*keys, F.posexplode(F.split(text, "", -1)).alias("i", "c"))
-    return each.select("*", kind(F.col("c")).alias("kind"))
+#: Kinds, and their numbers in the arrays below.
+KINDS = "LRNSTWO"
+LEFTS, RIGHTS, NUMBERS, SEPARATORS, TERMINATORS, _, OTHERS = range(7)
+
+
+@functools.cache
+def _packed_kinds(version: str) -> bytes:
+    spark = SparkSession.active()
+    points = spark.range(0, 0x110000, 1, 8).where(~F.col("id").between(0xD800, 0xDFFF))
+    marked = F.concat(F.lit("0000FEFF"), F.lpad(F.hex("id"), 8, "0"))  # a mark of its own, so U+FEFF is not taken for one
+    told = points.select("id", kind(F.decode(F.unhex(marked), "UTF-32")).alias("kind")).where("kind <> 'O'").toArrow()
+    table = np.full(0x110000, OTHERS, np.uint8)
+    table[np.asarray(told["id"])] = np.array([KINDS.index(k) for k in told["kind"].to_pylist()], np.uint8)
+    return zlib.compress(table.tobytes())
+
+
+def kind_table() -> bytes:
+    """The ``kind`` of every code point, asked of Spark once: a table of fixed size, packed, that goes with the functions below."""
+    return _packed_kinds(SparkSession.active().version)
+
+
+@functools.cache
+def _unpacked(table: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(table), np.uint8)
+
+
+class _Lines:
+    """The characters of a batch of lines end to end: code points, the line and the place in it of each."""
+
+    def __init__(self, texts: pa.Array):
+        found = [t or "" for t in texts.to_pylist()]
+        self.size = np.fromiter(map(len, found), np.int64, len(found))
+        self.point = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32)
+        self.line = np.repeat(np.arange(len(found)), self.size)
+        self.first = np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.last = self.first + np.repeat(self.size, self.size) - 1
+        self.all = np.arange(len(self.point))
+
+    def before(self, holds: np.ndarray) -> np.ndarray:
+        """For each character the nearest one before it in its line of which something holds, or -1."""
+        found = np.concatenate([[-1], np.maximum.accumulate(np.where(holds, self.all, -1))])[:-1]
+        return np.where(found >= self.first, found, -1)
+
+    def after(self, holds: np.ndarray) -> np.ndarray:
+        n = len(self.all)
+        found = np.concatenate([np.minimum.accumulate(np.where(holds, self.all, n)[::-1])[::-1], [n]])[1:]
+        return np.where(found <= self.last, found, -1)
+
+    def nearest(self, values: np.ndarray, holds: np.ndarray, nothing) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these characters on either side; ``nothing`` where there is none."""
+        return tuple(np.where(at >= 0, values[at], nothing) if len(values) else values for at in (self.before(holds), self.after(holds)))
+
+    def texts(self, points: np.ndarray) -> pa.Array:
+        whole = points.astype(np.uint32).tobytes().decode("utf-32-le")
+        ends = np.cumsum(self.size)
+        return pa.array([whole[a:b] for a, b in zip((ends - self.size).tolist(), ends.tolist())], pa.string())
+
+
+def runs_of(text: Column) -> Column:
+    """The runs of one direction of a line, in order: an array of (n, first, length, direction), as ``segments`` has them."""
+    table = kind_table()
+
+    def found(texts: pa.Array) -> pa.Array:
+        own = _Lines(texts)
+        way = np.array([0, 1, 2, 2, 2, 2, 3], np.int8)[_unpacked(table)[own.point]]
+        head = own.all == own.first
+        at = np.flatnonzero(head | np.concatenate([[True], way[1:] != way[:-1]])) if len(way) else own.all
+        length = np.diff(np.append(at, len(way)))
+        # an empty neutral run goes before a line's first one of another direction
+        lead = head[at] & (way[at] != 3)
+        times = 1 + lead
+        n = np.repeat(at, times)
+        empty = np.zeros(len(n), bool)
+        empty[(np.cumsum(times) - times)[lead]] = True
+        line = own.line[n]
+        counts = np.bincount(line, minlength=len(texts))
+        number = np.arange(len(n)) - np.repeat(np.cumsum(counts) - counts, counts)
+        fields = [pa.array(number), pa.array((n - own.first[n]).astype(np.int32)), pa.array(np.where(empty, 0, np.repeat(length, times))), pa.array(np.where(empty, "neutral", np.array(["left", "right", "weak", "neutral"])[way[n]]), pa.string())]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays(fields, ["n", "first", "length", "direction"]))
+
+    return F.arrow_udf(found, "array<struct<n:bigint,first:int,length:bigint,direction:string>>")(text)
 
 
 def segments(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, n, first, length, direction): runs of one direction (left, right, weak, neutral) in each line.
 
     As readers count them, a line that doesn't start with a neutral character has an empty neutral run
-    first. Null and empty lines have no runs. ``rights_lead`` tells lines apart by these runs.
+    first. Null and empty lines have no runs. ``rights_lead`` tells lines apart by these runs. Within the row, no shuffle.
     """
-    way = F.when(F.col("kind") == "L", "left").when(F.col("kind") == "R", "right").when(F.col("kind") == "O", "neutral").otherwise("weak")
-    order = Window.partitionBy(*keys).orderBy("i")
-    each = characters(lines, keys, text).select(*keys, "i", way.alias("direction"))
-    start = F.coalesce(F.lag("direction").over(order), F.lit("neutral")) != F.col("direction")
-    each = each.withColumn("n", F.sum(start.cast("int")).over(order))
-    runs = each.groupBy(*keys, "n").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("length"), F.first("direction").alias("direction"))
-    empty = each.where((F.col("i") == 0) & (F.col("n") == 1)).select(*keys, F.lit(0).cast("long").alias("n"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("length"), F.lit("neutral").alias("direction"))
-    return runs.unionByName(empty)
+    return lines.select(*keys, F.explode(runs_of(F.col(text))).alias("run")).select(*keys, "run.*")
 
 
 def rights_lead(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,55 +135,70 @@ def logical_order(lines: DataFrame, doc: str, line: str, text: str) -> DataFrame
     neighbours share, else the line's. Then runs of level 2 and of level 1 are turned round, and brackets
     in right-to-left runs are mirrored. Lines without right-to-left letters before or in them are as seen.
 
-    Characters are rows of their line only for lines that need it; what a character needs of its neighbours
-    are running values of the line from both ends, and the two turns are sums of positions: nothing is quadratic.
+    Characters never become rows: an Arrow function reorders a batch of lines in numpy. What a character needs of its
+    neighbours are running values of the line from both ends, and the two turns are sums of positions: nothing is
+    quadratic. Only whole lines are moved, once, to be put in order within their document.
     """
     counted = lines.select(doc, line, F.coalesce(text, F.lit("")).alias("text"))
-    kinds = F.transform(F.split("text", "", -1), kind)
-    suspect = F.col("text").rlike(RIGHT)
-    # lines are looked at by character only where a pattern finds letters of the right kind
-    rights = F.when(suspect, F.size(F.filter(kinds, lambda k: k == "R"))).otherwise(0)
-    lefts = F.when(suspect, F.size(F.filter(kinds, lambda k: k == "L"))).otherwise(F.col("text").rlike(LEFT).cast("int"))
-    counted = counted.select("*", rights.alias("rights"), lefts.alias("lefts"))
+    counted = counted.select("*", _letters(F.col("text")).alias("letters")).select(doc, line, "text", "letters.*")
     own = F.when(F.col("rights") + F.col("lefts") > 0, F.col("rights") > F.col("lefts"))
     before = Window.partitionBy(doc).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
     flagged = counted.select("*", F.coalesce(F.last(own, ignorenulls=True).over(before), F.lit(False)).alias("right_to_left"))
     turns = (F.col("rights") > 0) | ((F.col("lefts") == 0) & F.col("right_to_left"))
-    flagged = flagged.select(doc, line, "text", "right_to_left", turns.alias("turns"))
-    keys = [doc, line, "right_to_left"]
-    on, back = Window.partitionBy(*keys).orderBy("i"), Window.partitionBy(*keys).orderBy(F.desc("i"))
-    past, ahead = on.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
-
-    def nearest(value: Column) -> tuple[Column, Column]:
-        return F.last(value, ignorenulls=True).over(past), F.last(value, ignorenulls=True).over(ahead)
-
-    k = F.col("kind")
-    each = characters(flagged.where("turns"), keys, "text")
-    inside = (k == "S") & (F.lag("kind").over(on) == "N") & (F.lead("kind").over(on) == "N")
-    each = each.withColumn("kind", F.when(F.coalesce(inside, F.lit(False)), "N").otherwise(k))
-    a, b = nearest(F.when(k != "T", k))
-    each = each.withColumn("kind", F.when((k == "T") & (F.coalesce(a == "N", F.lit(False)) | F.coalesce(b == "N", F.lit(False))), "N").when(k.isin("L", "R", "N"), k).otherwise("O"))
-    a, b = nearest(F.when(k.isin("L", "R"), k))
-    latin = ~F.col("right_to_left") & (k == "N") & (F.coalesce(a == "L", F.lit(False)) | (a.isNull() & (F.coalesce(b, F.lit("L")) == "L")))
-    each = each.withColumn("kind", F.when(latin, "L").otherwise(k))
-    whole = F.when(F.col("right_to_left"), "R").otherwise("L")
-    a, b = nearest(F.when(k != "O", F.when(k == "N", "R").otherwise(k)))
-    a, b = F.coalesce(a, whole), F.coalesce(b, whole)
-    settled = F.when(k != "O", k).when(a == b, a).otherwise(whole)
-    base = F.col("right_to_left").cast("int")
-    each = each.withColumn("settled", settled)
-    level = F.when(F.col("settled") == "L", base * 2).when(F.col("settled") == "R", 1).otherwise(2)
-    each = each.select(*keys, "i", "c", level.alias("level"))
-    place = F.col("i")
-    for least in (2, 1):
-        # a run of this level or more: from behind the last lower character to before the next
-        lower = F.when(F.col("level") < least, F.col("i"))
-        a, b = nearest(lower)
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int")
-        each = each.withColumn(f"_sum{least}", F.when(F.col("level") >= least, F.coalesce(a, F.lit(-1)) + F.coalesce(b, n)))
-        place = F.coalesce(F.col(f"_sum{least}") - place, place)
-    shown = F.when(F.col("level") % 2 == 1, F.translate("c", MIRRORS, TURNED)).otherwise(F.col("c"))
-    read = each.select(*keys, F.struct(place.alias("at"), shown.alias("c")).alias("at"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("at")), lambda x: x["c"]), "")
-    kept = flagged.where("NOT turns OR text = ''").select(*keys, "text")
-    return kept.unionByName(read.groupBy(*keys).agg(joined.alias("text"))).select(doc, line, "text", "right_to_left")
+    return flagged.select(doc, line, _read(F.col("text"), F.col("right_to_left"), turns).alias("text"), "right_to_left")
+
+
+def _letters(text: Column) -> Column:
+    """How many right-to-left and left-to-right letters a line has: (rights, lefts)."""
+    table = kind_table()
+
+    def found(texts: pa.Array) -> pa.Array:
+        own = _Lines(texts)
+        k = _unpacked(table)[own.point]
+        count = lambda which: pa.array(np.bincount(own.line[k == which], minlength=len(texts)))
+        return pa.StructArray.from_arrays([count(RIGHTS), count(LEFTS)], ["rights", "lefts"])
+
+    return F.arrow_udf(found, "struct<rights:bigint,lefts:bigint>")(text)
+
+
+def _read(text: Column, right_to_left: Column, turns: Column) -> Column:
+    """Lines in the order read; those that don't turn stay."""
+    table = kind_table()
+    mirrored = [ord(c) for c in MIRRORS], [ord(c) for c in TURNED]
+
+    def found(texts: pa.Array, rights: pa.Array, turns: pa.Array) -> pa.Array:
+        at = np.flatnonzero(np.asarray(turns))
+        out = texts.to_pylist()
+        for k, read in zip(at.tolist(), reordered(texts.take(pa.array(at)), np.asarray(rights)[at]).to_pylist()):
+            out[k] = read
+        return pa.array(out, pa.string())
+
+    def reordered(texts: pa.Array, rtl: np.ndarray) -> pa.Array:
+        own = _Lines(texts)
+        k = _unpacked(table)[own.point].astype(np.int64)
+        rtl = rtl[own.line]
+        nothing = -1
+        # a single separator between digits, then terminators beside a number
+        p, q = (np.where(ok, np.roll(k, by), nothing) for ok, by in ((own.all > own.first, 1), (own.all < own.last, -1)))
+        k = np.where((k == SEPARATORS) & (p == NUMBERS) & (q == NUMBERS), NUMBERS, k)
+        a, b = own.nearest(k, k != TERMINATORS, nothing)
+        k = np.where((k == TERMINATORS) & ((a == NUMBERS) | (b == NUMBERS)), NUMBERS, np.where(k <= NUMBERS, k, OTHERS))
+        a, b = own.nearest(k, k <= RIGHTS, nothing)
+        k = np.where(~rtl & (k == NUMBERS) & ((a == LEFTS) | ((a == nothing) & (b != RIGHTS))), LEFTS, k)
+        whole = np.where(rtl, RIGHTS, LEFTS)
+        a, b = own.nearest(np.where(k == NUMBERS, RIGHTS, k), k != OTHERS, nothing)
+        a, b = np.where(a == nothing, whole, a), np.where(b == nothing, whole, b)
+        settled = np.where(k != OTHERS, k, np.where(a == b, a, whole))
+        level = np.where(settled == LEFTS, 2 * rtl, np.where(settled == RIGHTS, 1, 2))
+        place = own.all
+        for least in (2, 1):
+            # a run of this level or more: from behind the last lower character to before the next
+            a, b = own.before(level < least), own.after(level < least)
+            place = np.where(level >= least, np.where(a >= 0, a, own.first - 1) + np.where(b >= 0, b, own.last + 1) - place, place)
+        turned = np.arange(0x110000, dtype=np.uint32)
+        turned[mirrored[0]] = mirrored[1]
+        read = np.empty(len(k), np.uint32)
+        read[place] = np.where(level % 2 == 1, turned[own.point], own.point)
+        return own.texts(read)
+
+    return F.arrow_udf(found, "string")(text, right_to_left, turns)

@@ -36,11 +36,10 @@ SELECT doc_id, line, string_agg(first || '+' || length || direction[1], ' ' ORDE
 def bidi_segments(spark, sf_dir):
     """Runs of one direction in each changed line, and which lines read from the right by them."""
     changed = lines(spark, sf_dir).where("line % 3 = 1 OR doc_id < 0")
-    runs = bidi.segments(changed, ["doc_id", "line"], "text")
-    word = F.concat(F.col("first").cast("string"), F.lit("+"), F.col("length").cast("string"), F.substring("direction", 1, 1))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), word.alias("word"))))
-    shown = runs.groupBy("doc_id", "line").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("runs"))
-    return shown.join(bidi.rights_lead(runs, ["doc_id", "line"]), ["doc_id", "line"])
+    runs = changed.where("text <> ''").select("doc_id", "line", bidi.runs_of(F.col("text")).alias("runs"))
+    word = lambda r: F.concat(r["first"].cast("string"), F.lit("+"), r["length"].cast("string"), F.substring(r["direction"], 1, 1))
+    many = lambda way: F.size(F.filter("runs", lambda r: r["direction"] == way))
+    return runs.select("doc_id", "line", F.array_join(F.transform("runs", word), " ").alias("runs"), (many("right") > many("left")).alias("right_to_left"))
 
 
 PAST, AHEAD = "(PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
