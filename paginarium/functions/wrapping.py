@@ -6,6 +6,10 @@ strings.
 
 from __future__ import annotations
 
+import re
+from unicodedata import category
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,39 +45,56 @@ def pieces(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACES}]+", -1), lambda x: x != "")
 
 
-def keeps_hyphen(before: Column, after: Column) -> Column:
-    """Whether the hyphen between two halves is the word's own: a compound, a capital or a digit."""
-    return after.rlike(CAPITAL) | before.rlike(COMPOUND_END) | after.rlike(COMPOUND_START)
+def _python(pattern: str) -> str:
+    """A pattern as Python writes it."""
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\U" + m[1].rjust(8, "0"), pattern)
 
 
-def join_two(text: Column, following: Column) -> Column:
-    """A line joined onto a text across a line break; neither has white space at the break."""
-    body = F.substring(text, F.lit(1), F.length(text) - 1)
-    vanishes = F.lit(False)
-    for end, start in VANISHING:
-        vanishes = vanishes | ((text.rlike(end) if end else F.lit(True)) & (following.rlike(start) if start else F.lit(True)))
-    return (
-        F.when(text.rlike(WRAPPED) & following.rlike(GOES_ON), F.concat(body, F.when(keeps_hyphen(body, following), "-").otherwise(""), following))
-        .when((text != "") & ~vanishes, F.concat(text, F.lit(" "), following)).otherwise(F.concat(text, following))
-    )
+WHITE_SIGNS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{_python(SPACES)}]", c))
+HYPHEN_SIGNS = "-\u2010\xad"
+WORD_TURNED, FIRST_WORD, WIDE_SIGN, TIGHT_SIGN = (re.compile(_python(p)) for p in (f"[^{SPACES}]*", f"[^{SPACES}]*", f"[{WIDE}]", f"[{TIGHT}]"))
 
 
-def joined(lines: Column) -> Column:
-    """All lines of a paragraph as one text.
+def _join_two(word: str, line: str) -> str:
+    """A line joined onto the last word of a text across a line break; neither has white space at the break."""
+    if not word or not line:
+        return word + " " if word and not word.endswith("\u200b") else word + line
+    end, start = word[-1], line[0]
+    if end in HYPHEN_SIGNS and word[-2:-1].isalpha() and category(start)[0] in "LN":
+        # the hyphen is the word's own in a compound, before a capital or a digit
+        own = category(start) == "Lu" or category(start)[0] == "N" or any(h in word[:-1] for h in HYPHEN_SIGNS) or any(h in FIRST_WORD.match(line)[0] for h in HYPHEN_SIGNS)
+        return word[:-1] + "-" * own + line
+    if end == "\u200b" or start == "\u200b" or (WIDE_SIGN.match(end) and WIDE_SIGN.match(start)) or (TIGHT_SIGN.match(end) and TIGHT_SIGN.match(start)):
+        return word + line
+    return f"{word} {line}"
+
+
+def _joined(lines: list[str]) -> str:
+    done, last = [], ""
+    for line in lines:
+        both = _join_two(last, line.strip(WHITE_SIGNS))
+        word = WORD_TURNED.match(both[::-1]).end()
+        done.append(both[: len(both) - word])
+        last = both[len(both) - word :]
+    return "".join(done) + last + (lines[-1][len(lines[-1].rstrip(WHITE_SIGNS)) :] if lines else "")
 
-    How a line joins depends on the last word before it alone, so the patterns never run
-    over the text as a whole; what comes before that word is kept in pieces and put together once.
+
+def joined_each(paragraphs: Column) -> Column:
+    """Each paragraph, an array of lines, as one text. Not for use within a lambda: an Arrow function joins the lines of a batch of rows.
+
+    How a line joins depends on the last word before it alone; what comes before that word
+    is kept in pieces and put together once.
     """
 
-    def step(state: Column, line: Column) -> Column:
-        def cut(both: Column) -> Column:
-            return let(F.regexp_extract(both, LAST_WORD, 1), lambda last: F.struct(F.array_append(state["done"], F.substring(both, F.lit(1), F.length(both) - F.length(last))).alias("done"), last.alias("last")))
+    def found(paragraphs: pa.Array) -> pa.Array:
+        return pa.array([None if row is None else [None if lines is None else _joined(lines) for lines in row] for row in paragraphs.to_pylist()], pa.list_(pa.string()))
 
-        return let(stripped(line), lambda n: let(join_two(state["last"], n), cut))
+    return F.arrow_udf(found, "array<string>")(paragraphs)
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
-    tail = F.regexp_extract(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), f"([{SPACES}]+)$", 1)
-    return F.concat(F.aggregate(lines, start, step, lambda s: F.concat(F.array_join(s["done"], ""), s["last"])), tail)
+
+def joined(lines: Column) -> Column:
+    """All lines of a paragraph as one text (see ``joined_each``)."""
+    return F.get(joined_each(F.array(lines)), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

@@ -17,9 +17,9 @@ def blocks(lines: Column) -> Column:
     return let(lines, found)
 
 
-def rendered(block: Column) -> Column:
-    """A block as Markdown: a paragraph in one line, items one by one under their marks."""
-    paragraph = wrapping.escaped(wrapping.stripped(wrapping.joined(block["lines"])))
+def rendered(block: Column, whole: Column) -> Column:
+    """A block as Markdown: a paragraph in one line (``whole``: its lines joined), items one by one under their marks."""
+    paragraph = wrapping.escaped(wrapping.stripped(whole))
     plain = lambda x: wrapping.escaped(wrapping.stripped(text.item_text(x)))
     bullet = lambda x: F.concat(F.lit("- "), plain(x))
     number = lambda x: F.regexp_extract(text.leading_number(x), "([0-9０-９〇零一二三四五六七八九十百]+)[^0-9０-９〇零一二三四五六七八九十百]*$", 1)
@@ -33,7 +33,9 @@ def rendered(block: Column) -> Column:
 def markdown(documents: DataFrame, key: str) -> DataFrame:
     """(key, blocks, markdown): every document's blocks, a blank line between two. Within the row, no shuffle."""
     found = documents.select(key, F.coalesce(blocks(text.lines(F.col("text"))), F.array().cast("array<struct<kind:string,lines:array<string>>>")).alias("found"))
-    return found.select(key, F.size("found").alias("blocks"), F.array_join(F.transform("found", rendered), "\n\n").alias("markdown"))
+    body = F.transform("found", lambda b: F.when(b["kind"] == "body", b["lines"]))
+    found = found.select(key, "found", wrapping.joined_each(body).alias("whole"))
+    return found.select(key, F.size("found").alias("blocks"), F.array_join(F.zip_with("found", "whole", rendered), "\n\n").alias("markdown"))
 
 
 def without_repeats(lines: Column, back: int = 5) -> Column:
