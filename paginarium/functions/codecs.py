@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paginarium.functions.arrays import let
-
 # Characters of the document encoding at 18 to 1F, at 80 to 9E and at A0; 7F, 9F and AD have none,
 # all other bytes stand for the character of their own number.
 LOW, HIGH, AT_A0 = "˘ˇˆ˙˝˛˚˜", "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž", "€"
@@ -14,7 +16,7 @@ MARKED = LOW + HIGH + AT_A0
 BYTES = "".join(map(chr, [*range(0x18, 0x20), *range(0x80, 0x9F), 0xA0]))
 WITHOUT = "\x7f\x9f\xad"
 #: Bytes of a name that are written as ``#`` and two digits.
-ESCAPED = r"[\x{80}-\x{FF}\x{00}\t\n\f\r #%()/<>\[\]{}]"
+IS_ESCAPED = np.isin(np.arange(256), [*range(0x80, 0x100), *b"\x00\t\n\f\r #%()/<>[]{}"])
 DIGITS = "0123456789ABCDEF"
 
 
@@ -68,15 +70,33 @@ def hex_string(data: Column) -> Column:
 
 def name_spelled(data: Column) -> Column:
     """A name's bytes as written in a file: what is no plain character becomes ``#`` and two digits."""
-    each = lambda c: F.when(c.rlike(ESCAPED), F.concat(F.lit("#"), F.hex(F.encode(c, "ISO-8859-1")))).otherwise(c)
-    return F.array_join(F.transform(F.split(latin(data), "", -1), each), "")
+
+    def found(data: pa.Array) -> pa.Array:
+        given = [d or b"" for d in data.to_pylist()]
+        sizes = np.fromiter(map(len, given), np.int64, len(given))
+        own = np.frombuffer(b"".join(given), np.uint8)
+        escaped = IS_ESCAPED[own]
+        at = np.concatenate([[0], np.cumsum(1 + 2 * escaped.astype(np.int64))])  # where each byte is written
+        out = np.empty(at[-1], np.uint8)
+        out[at[:-1]] = np.where(escaped, ord("#"), own)
+        begin, codes, digits = at[:-1][escaped], own[escaped], np.frombuffer(DIGITS.encode(), np.uint8)
+        out[begin + 1], out[begin + 2] = digits[codes >> 4], digits[codes & 15]
+        ends = at[np.concatenate([[0], np.cumsum(sizes)])]
+        whole = out.tobytes()
+        return pa.array([None if d is None else whole[a:b] for d, a, b in zip(data.to_pylist(), ends[:-1].tolist(), ends[1:].tolist())], pa.binary()).cast(pa.string())
+
+    return F.arrow_udf(found, "string")(data)
 
 
 def name_bytes(spelled: Column) -> Column:
     """The bytes of a written name (characters of the same numbers): a ``#`` takes the next two characters as digits,
     others than digits count as 0; without two characters after it, it stands for itself."""
-    digit = lambda c: F.greatest(F.instr(F.lit(DIGITS), F.upper(c)) - 1, F.lit(0))
-    value = lambda x: digit(F.substring(x, 2, 1)) * 16 + digit(F.substring(x, 3, 1))
-    pieces = F.regexp_extract_all(spelled, F.lit(r"(?s)#..|[^#]++|#"), F.lit(0))
-    each = lambda x: F.when(x.startswith("#") & (F.length(x) == 3), F.char(value(x).cast("long"))).otherwise(x)
-    return F.encode(let(pieces, lambda p: F.array_join(F.transform(p, each), "")), "ISO-8859-1")
+
+    def value(pair: re.Match) -> str:
+        high, low = (max(DIGITS.find(c.upper()), 0) for c in pair[1])
+        return chr(high * 16 + low)
+
+    def found(spelled: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else re.sub("(?s)#(..)", value, s) for s in spelled.to_pylist()], pa.string())
+
+    return F.encode(F.arrow_udf(found, "string")(spelled), "ISO-8859-1")
