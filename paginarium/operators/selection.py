@@ -124,8 +124,9 @@ def around_range(boxes: Column, first: Column, last: Column, least: float = 0.01
     ``boxes`` is an array of (x0, y0, x1, y1, object, made) in order; made characters and boxes narrower or lower than ``least``
     are passed over. A range in which all are gives one empty box; an empty range or one beyond the end gives none.
     """
-    end = F.least(last, F.size(boxes))
-    part = F.when((first < F.size(boxes)) & (end > first), F.slice(boxes, first + 1, end - first))
+    def within(all_boxes: Column) -> Column:
+        end = F.least(last, F.size(all_boxes))
+        return F.when((first < F.size(all_boxes)) & (end > first), F.slice(all_boxes, first + 1, end - first))
 
     def of(kept: Column) -> Column:
         def edge(own: Column, name: str, pick) -> Column:
@@ -139,4 +140,6 @@ def around_range(boxes: Column, first: Column, last: Column, least: float = 0.01
         return F.when(F.size(kept) > 0, F.transform(runs(F.transform(kept, lambda b: b["object"])), one)).otherwise(nothing)
 
     kept = lambda p: F.filter(p, lambda b: ~b["made"] & (b["x1"] - b["x0"] >= least) & (b["y1"] - b["y0"] >= least))
-    return F.when(part.isNull(), F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")).otherwise(let(kept(part), of))
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    # boxes, the range and what is kept of it are worked out once each
+    return let(let(boxes, within), lambda part: F.when(part.isNull(), none).otherwise(let(kept(part), of)))
