@@ -25,3 +25,9 @@ def test_the_words_around_a_range_are_split_once(spark):
 def test_texts_are_walked_by_batch_functions(spark, name, slow):
     found = plan(spark, name)
     assert slow not in found and "ArrowEvalPython" in found
+
+
+def test_a_date_is_scanned_once(spark):
+    """What scans dates stands below the join with the orders, above what makes the dates distinct."""
+    found = plan(spark, "scanned_dates")
+    assert found.index("Join") < found.index("make_date") < found.index("Aggregate")
