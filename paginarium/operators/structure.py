@@ -62,14 +62,18 @@ NO_ELEMENTS, TAG = "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "</?[
 VOID = ["<br", "<hr", "<img", "<input", "<link", "<meta"]
 
 
+def tags(html: str) -> Column:
+    """The opening and closing tags of a marked-up page in order, outside scripts, styles and comments."""
+    return F.regexp_extract_all(F.regexp_replace(html, NO_ELEMENTS, ""), F.lit(TAG), F.lit(0))
+
+
 def elements(pages: DataFrame, page: str, html: str) -> DataFrame:
     """(page, n, tag, depth): the elements of marked-up pages in order, depth 1 at the top.
 
     The depth is what stands open before a tag, so pages whose tags don't pair still have one (0 or less after
     too many closing tags). The window over a page holds what its one row held.
     """
-    tags = F.regexp_extract_all(F.regexp_replace(html, NO_ELEMENTS, ""), F.lit(TAG), F.lit(0))
-    each = pages.select(page, F.posexplode(tags).alias("n", "tag")).where(~F.col("tag").isin(VOID))
+    each = pages.select(page, F.posexplode(tags(html)).alias("n", "tag")).where(~F.col("tag").isin(VOID))
     change = F.when(F.col("tag").startswith("</"), -1).otherwise(1)
     before = F.sum(change).over(Window.partitionBy(page).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     found = each.withColumn("depth", (F.coalesce(before, F.lit(0)) + 1).cast("int"))

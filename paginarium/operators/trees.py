@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,69 @@ def parents_by_depth(rows: DataFrame, by: str, at: str, depth: str, levels: int)
     return found.select(*rows.columns, F.try_element_at("path", F.lit(-1)).alias("parent"), "path", "below")
 
 
+def placed(sizes: np.ndarray, depth: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(parent, root, steps, below) of the entries of many outlines end to end, ``sizes`` entries each, with depths from 1 to ``levels``.
+
+    Parents are as in ``parents_by_depth``; parent (-1 at a root) and root are places in the whole. One pass a level each way, over all outlines at once.
+    """
+    n = len(depth)
+    at, last = np.arange(n), np.cumsum(sizes)
+    first, stop = np.repeat(last - sizes, sizes), np.repeat(last, sizes)
+    parent, root, steps, seen = np.full(n, -1, np.int64), at.copy(), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    for level in range(1, levels + 1):
+        own = np.flatnonzero(depth == level)
+        # what stands above has a smaller depth, so its own root is known by now
+        own = own[seen[own] >= first[own]]
+        up = seen[own]
+        parent[own], root[own], steps[own] = up, root[up], steps[up] + 1
+        seen = np.maximum.accumulate(np.where(depth <= level, at, -1))
+    end, after = stop.copy(), np.full(n, n, np.int64)
+    for level in range(1, levels + 1):
+        own = np.flatnonzero(depth == level)
+        after = np.minimum.accumulate(np.where(depth <= level, at, n)[::-1])[::-1]
+        inner = own[own + 1 < n]
+        end[inner] = np.minimum(stop[inner], after[inner + 1])
+    return parent, root, steps, end - at - 1
+
+
+#: Tags of pages that are placed at once; a page with more is placed alone.
+TAGS = 1_000_000
+
+
+def placed_elements(tags: Column, void: list[str], levels: int) -> Column:
+    """The elements of a page, an array of (n, parent, root, depth, below), out of the array of its ``tags``.
+
+    Parents are those of ``parents_by_depth`` over ``structure.elements``; ``n``, ``parent`` (null at a root) and ``root`` are places among
+    the tags, ``depth`` counts the steps up to the root, ``below`` the elements under this one. An Arrow function works on a batch of pages.
+    """
+
+    def part(tags: pa.Array) -> pa.Array:
+        rows = len(tags)
+        each = np.repeat(np.arange(rows), np.asarray(tags.value_lengths().fill_null(0)))
+        flat = tags.flatten()
+        place = np.arange(len(flat)) - np.searchsorted(each, each)
+        holds = ~np.asarray(pc.is_in(flat, value_set=pa.array(void, flat.type)))
+        each, place, closes = each[holds], place[holds], np.asarray(pc.starts_with(flat, "</"))[holds]
+        change = np.where(closes, -1, 1)
+        before = np.cumsum(change) - change
+        before = before - before[np.searchsorted(each, each)]
+        opens = ~closes
+        each, place, depth = each[opens], place[opens], np.clip(before[opens] + 1, 1, levels)
+        sizes = np.bincount(each, minlength=rows)
+        parent, root, steps, below = placed(sizes, depth, levels)
+        ids = [place.astype(np.int32), pa.array(place[parent].astype(np.int32), mask=parent < 0), place[root].astype(np.int32)]
+        elements = pa.StructArray.from_arrays([pa.array(v) for v in (*ids, steps, below)], ["n", "parent", "root", "depth", "below"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), elements)
+
+    def found(tags: pa.Array) -> pa.Array:
+        sizes = np.asarray(tags.value_lengths().fill_null(0)).astype(np.int64)
+        starts = np.unique((np.cumsum(sizes) - sizes) // TAGS, return_index=True)[1]
+        edges = [0, *starts[1:].tolist(), len(tags)]
+        return pa.concat_arrays([part(tags.slice(a, b - a)) for a, b in zip(edges, edges[1:])])
+
+    return F.arrow_udf(found, "array<struct<n:int,parent:int,root:int,depth:bigint,below:bigint>>")(tags)
+
+
 #: Named values of a node, each with how the value of those above meets its own.
 Carry = dict[str, tuple[Column, Callable[[Column, Column], Column]]]
 
@@ -52,8 +118,9 @@ def rooted(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     go. Nodes on a cycle, or under one, reach no root: they keep null in all three.
 
     A round doubles the reach of every pointer, so a tree of depth d takes log2(d) rounds of equi-joins and
-    one pre-aggregated sum; a parent of a third of all nodes is a skewed key of the probing side alone, which
-    adaptive joins split. Rounds are checkpointed in the folder that ``spark.checkpoint.dir`` names.
+    one pre-aggregated sum, and one more where there is a cycle: a round that brings no node to its root is the
+    last, as only nodes on cycles and under them are left. A parent of a third of all nodes is a skewed key of the
+    probing side alone, which adaptive joins split. Rounds are checkpointed in the folder that ``spark.checkpoint.dir`` names.
     """
     return _doubled(nodes, node, parent, {})
 
@@ -76,8 +143,8 @@ def _doubled(nodes: DataFrame, node: str, parent: str, carry: Carry) -> DataFram
         "node", "jump", F.coalesce("jump", "node").alias("root"), F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long").alias("depth"),
         F.lit(1).cast("long").alias("size"), *carry,
     ).checkpoint()
-    n, reach = state.count(), 1
-    while reach <= n and not state.where("jump IS NOT NULL").isEmpty():
+    before, moving = None, state.where("jump IS NOT NULL").count()
+    while moving and moving != before:
         above = state.select(F.col("node").alias("a_node"), F.col("jump").alias("a_jump"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), *[F.col(c).alias(f"a_{c}") for c in carry])
         sums = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("s_node")).agg(F.try_sum("size").alias("more"))
         met = state.join(above, state["jump"] == above["a_node"], "left").join(sums, state["node"] == sums["s_node"], "left")
@@ -88,7 +155,7 @@ def _doubled(nodes: DataFrame, node: str, parent: str, carry: Carry) -> DataFram
             "node", F.col("a_jump").alias("jump"), F.coalesce("a_root", "root").alias("root"), (F.col("depth") + F.when(moves, F.col("a_depth")).otherwise(0)).alias("depth"),
             F.try_add("size", F.coalesce("more", F.lit(0))).alias("size"), *joined,
         ).checkpoint()
-        reach *= 2
+        before, moving = moving, state.where("jump IS NOT NULL").count()
     ends = F.col("jump").isNull()
     return state.select("node", *[F.when(ends, c).alias(name) for name, c in (("root", F.col("root")), ("depth", F.col("depth")), ("below", F.col("size") - 1), *((c, F.col(c)) for c in carry))])
 
